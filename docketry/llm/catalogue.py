@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from docketry.llm import pigeonring
+from docketry.llm import byte_bpe, mixing, pigeonring, sentences, splitting
+from docketry.session import cut
 from docketry.tables import table
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,3 +34,62 @@ def p1_found(spark, folder):
 def p1_groups(spark, folder):
     pairs, members = pigeonring.similar_pairs(table(spark, folder, "filing_section"), "section_id", "content", similarity=0.8, k=5, least_words=5)
     return pigeonring.groups(pairs, members).withColumnRenamed("id", "section_id")
+
+
+def _p2_sql(columns: str) -> str:
+    runs = r"list_max(list_transform(regexp_split_to_array(content, '[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}.!?;。！？；।]+'), lambda r: length(r)))"
+    return f"""
+    with c as (select distinct chunk_id, content from document_chunk where length(content) > 8000 and chunk_id is not null)
+    select {columns} from (select distinct chunk_id, case when {runs} > 8000 then 'hard' else 'soft' end as cut_kind from c)
+    """
+
+
+SQL["p2_found"] = _p2_sql("chunk_id, cut_kind")
+
+
+@_query
+def p2_found(spark, folder):
+    found = splitting.oversized_chunks(table(spark, folder, "document_chunk"))
+    return found.filter("piece_no = 1").select("chunk_id", F.when(F.col("longest_run") > 8000, "hard").otherwise("soft").alias("cut_kind"))
+
+
+@_query
+def p2_pieces(spark, folder):
+    return splitting.oversized_chunks(table(spark, folder, "document_chunk"))
+
+
+@_query
+def p6_ids(spark, folder):
+    return byte_bpe.encode(table(spark, folder, "documents"))
+
+
+@_query
+def p7_found(spark, folder):
+    targets = table(spark, folder, "mix_target")
+    sizes = mixing.document_sizes(table(spark, folder, "documents"), targets)
+    return mixing.source_totals(sizes, targets).filter("short").select("source")
+
+
+def _mixed(spark, folder):
+    targets = table(spark, folder, "mix_target")
+    return mixing.mix(cut(mixing.document_sizes(table(spark, folder, "documents"), targets)), targets)
+
+
+@_query
+def p7_mix(spark, folder):
+    return _mixed(spark, folder)[0]
+
+
+@_query
+def p7_shares(spark, folder):
+    return mixing.reached_shares(*_mixed(spark, folder))
+
+
+@_query
+def p8_found(spark, folder):
+    return sentences.split_sentences(table(spark, folder, "documents"))
+
+
+@_query
+def p8_sentences(spark, folder):
+    return sentences.split_sentences(table(spark, folder, "documents"), with_text=True)
