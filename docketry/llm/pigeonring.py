@@ -12,7 +12,7 @@ Steps, each a Spark job over all rows:
 1. a histogram of shingle hashes in ``BUCKETS`` bins (fixed size, 8 MB) gives one global
    order of shingles, rare ones first; any order is exact, a rare-first one is fast;
 2. each set emits its first ``|x| - ceil(t |x|) + 1`` shingles as keys (two sets with the
-   wanted similarity share one of them), with a ring of parity bits, 16 per segment. The
+   wanted similarity share one of them), with a ring of parity bits, BITS per segment. The
    bits in which two rings differ in a segment never outnumber b_i, so a chain that is too
    long in bits is too long in truth and nothing is lost;
 3. a join on the key tests size, chains and then the whole ring within the join condition,
@@ -36,7 +36,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected
@@ -44,7 +44,9 @@ from docketry.llm.shingles import set_prints, shingle_sets
 from docketry.session import cut
 
 SEGMENTS = 8
-BITS = 16
+BITS = 32
+#: The ring as 64-bit words of two segments each.
+RING = [f"ring{i}" for i in range(SEGMENTS * BITS // 64)]
 BUCKETS = 1 << 20
 SLICES = 64
 BITMAP = 1 << 23
@@ -61,7 +63,7 @@ def token_histogram(texts: DataFrame, k: int, least_words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            _, _, hashes = shingle_sets(batch.column(0), k, least_words)
+            _, _, hashes = shingle_sets(batch.column(0), k, least_words, distinct=False)
             total += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         if total.any():
             cells = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(SLICES, width)
@@ -84,7 +86,7 @@ def token_histogram(texts: DataFrame, k: int, least_words: int) -> np.ndarray:
 
 
 def _rings(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Parity bits of each set, SEGMENTS x BITS, as two signed 64-bit words."""
+    """Parity bits of each set, SEGMENTS x BITS, as signed 64-bit words."""
     documents = len(offsets) - 1
     owner = np.repeat(np.arange(documents), np.diff(offsets))
     slot = ((hashes >> np.uint64(40)) % np.uint64(SEGMENTS * BITS)).astype(np.int64)
@@ -92,32 +94,43 @@ def _rings(offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(documents, -1), axis=1, bitorder="little").view(np.int64)
 
 
-def _prefixes(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(document, key): the rarest ``n - ceil(t n) + 1`` shingles of each set, without those
+def _prefixes(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, rank): the rarest ``n - ceil(t n) + 1`` shingles of each set, without those
     that no other set can hold (their bin was counted once)."""
     size = np.diff(offsets)
     owner = np.repeat(np.arange(len(size)), size)
     often = counts[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    order = np.lexsort((hashes, often, owner))
+    # Within a set: rare first, equally rare ones as they stand (the same order in all sets).
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | often.astype(np.uint64), kind="stable")
     rank = np.arange(len(hashes)) - np.repeat(offsets[:-1], size)
     length = size - (-(-size * t.numerator // t.denominator)) + 1
     chosen = (rank < np.repeat(length, size)) & (often[order] > 1)
     picked = order[chosen]
-    return owner[picked], hashes[picked]
+    return owner[picked], hashes[picked], rank[chosen]
 
 
-def _chain_test(tau: Column, length: int = 3) -> Column:
-    """Whether some start of the ring has chains within budget at every length up to ``length``."""
-    per_word = SEGMENTS // 2
-    differ = [F.expr(f"bit_count((a.ring{i // per_word} ^ b.ring{i // per_word}) & {(((1 << BITS) - 1) << (BITS * (i % per_word))) - (1 << 64 if i % per_word == per_word - 1 else 0)}L)") for i in range(SEGMENTS)]
-    viable = F.lit(False)
+def _chain_test(tau: str, length: int = 3) -> str:
+    """SQL: whether some start of the ring has chains within budget at every length up to ``length``."""
+    low, high = (1 << BITS) - 1, -(1 << BITS)
+    differ = [f"bit_count((a.{RING[i // 2]} ^ b.{RING[i // 2]}) & {low if i % 2 == 0 else high}L)" for i in range(SEGMENTS)]
+    starts = []
     for start in range(SEGMENTS):
-        held, sums = F.lit(True), F.lit(0)
-        for step in range(length):
-            sums = sums + differ[(start + step) % SEGMENTS]
-            held = held & (sums * SEGMENTS <= tau * (step + 1))
-        viable = viable | held
-    return viable
+        chain = [differ[(start + step) % SEGMENTS] for step in range(length)]
+        starts.append(" and ".join(f"({' + '.join(chain[: n + 1])}) * {SEGMENTS} <= {tau} * {n + 1}" for n in range(length)))
+    return "(" + " or ".join(f"({s})" for s in starts) + ")"
+
+
+def _pair_test(t: Fraction) -> str:
+    """SQL: sizes, position of the shared key, chains and whole ring of two key rows a and b.
+
+    Position: a key at rank r leaves at most size - r shared shingles if it is the first one
+    that both share. At the first one a similar pair always passes, so none is lost.
+    """
+    rest = (1 - t) / (1 + t)
+    tau = f"((a.size + b.size) * {rest.numerator} div {rest.denominator})"
+    shared = f"least(a.size - a.rank, b.size - b.rank) * {(1 + t).numerator * t.denominator} >= (a.size + b.size) * {t.numerator * (1 + t).denominator}"
+    ring = " + ".join(f"bit_count(a.{r} ^ b.{r})" for r in RING)
+    return f"a.key = b.key and a.print < b.print and {shared} and {_chain_test(tau)} and {ring} <= {tau}"
 
 
 def similar_pairs(documents: DataFrame, id_column: str, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -145,21 +158,18 @@ def similar_pairs(documents: DataFrame, id_column: str, text_column: str, simila
                     fresh[i] = True
             if not fresh.any():
                 continue
-            owner, key = _prefixes(offsets, hashes, counts.value, t)
+            owner, key, rank = _prefixes(offsets, hashes, counts.value, t)
             rings = _rings(offsets, hashes)
             use = fresh[owner]
-            owner, key = owner[use], key[use]
+            owner, key, rank = owner[use], key[use], rank[use]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(prints[owner].view(np.int64)), pa.array(np.diff(offsets)[owner].astype(np.int32)), pa.array(rings[owner, 0]), pa.array(rings[owner, 1])],
-                names=["key", "print", "size", "ring0", "ring1"],
+                [pa.array(key.view(np.int64)), pa.array(prints[owner].view(np.int64)), pa.array(np.diff(offsets)[owner].astype(np.int32)), pa.array(rank.astype(np.int32))]
+                + [pa.array(rings[owner, i]) for i in range(len(RING))],
+                names=["key", "print", "size", "rank", *RING],
             )
 
-    rows = texts.mapInArrow(keys, "key long, print long, size int, ring0 long, ring1 long")
-    tau = F.expr(f"((a.size + b.size) * {rest.numerator}) div {rest.denominator}")
-    whole_ring = F.expr("bit_count(a.ring0 ^ b.ring0) + bit_count(a.ring1 ^ b.ring1)") <= tau
-    sizes = F.expr(f"a.size * {t.numerator} <= b.size * {t.denominator} and b.size * {t.numerator} <= a.size * {t.denominator}")
-    rows = rows.repartition("key")
-    found = rows.alias("a").join(rows.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.print") < F.col("b.print")) & sizes & _chain_test(tau) & whole_ring)
+    rows = texts.mapInArrow(keys, "key long, print long, size int, rank int, " + ", ".join(f"{r} long" for r in RING)).repartition("key")
+    found = rows.alias("a").join(rows.alias("b"), F.expr(_pair_test(t)))
     candidates = cut(found.select(F.col("a.print").alias("print_a"), F.col("b.print").alias("print_b")).distinct())
     marks = spark.sparkContext.broadcast(_bitmap(candidates))
 
