@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import byte_bpe, mixing, pigeonring, sentences, splitting
+from docketry.llm import byte_bpe, forest, mixing, pigeonring, sentences, splitting
 from docketry.session import cut
 from docketry.tables import table
 from pyspark.sql import functions as F
@@ -93,3 +93,23 @@ def p8_found(spark, folder):
 @_query
 def p8_sentences(spark, folder):
     return sentences.split_sentences(table(spark, folder, "documents"), with_text=True)
+
+
+@_query
+def p5_found(spark, folder):
+    vectors = forest.compressed_vectors(table(spark, folder, "filing_section"), "section_id", "embedding_compressed", 64)
+    near = forest.neighbours(vectors, k=5, least_cosine=0.9)
+    return near.select(F.least("id_a", "id_b").alias("section_id_a"), F.greatest("id_a", "id_b").alias("section_id_b")).distinct()
+
+
+@_query
+def p5_nearest(spark, folder):
+    """Of every section whose load_id is divisible by 100: its 5 nearest among all sections.
+
+    Most of these vectors have no close neighbour, so nearly all of the collection is near
+    the border; large leaves and many probes keep the recall.
+    """
+    sections = table(spark, folder, "filing_section")
+    vectors = forest.compressed_vectors(sections, "section_id", "embedding_compressed", 64)
+    asked = sections.filter("load_id % 100 = 0").select("section_id")
+    return forest.neighbours(vectors, k=5, trees=4, leaf=4096, probes=96, queries=asked).select(F.col("id_a").alias("section_id"), F.col("id_b").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
