@@ -15,9 +15,10 @@ Steps, each a Spark job over all rows:
    wanted similarity share one of them), with a ring of parity bits, BITS per segment. The
    bits in which two rings differ in a segment never outnumber b_i, so a chain that is too
    long in bits is too long in truth and nothing is lost;
-3. a join on the key tests size, chains and then the whole ring within the join condition,
-   so that failing pairs are never written; sort-merge with adaptive skew splitting copes with
-   hot keys;
+3. rows meet by key, sorted, and are paired in numpy passes over whole batches: sizes and
+   positions, then chains of growing length, then the whole ring; failing pairs are never
+   written. The histogram tells beforehand which keys may be hot: their rows are spread over
+   blocks and meet block by block, so that no task gets an unbounded group;
 4. the surviving pairs get the full Hamming check on the sets themselves. The sets are made
    again from the texts, only for documents that pass a bitmap of fixed size.
 
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected
-from docketry.llm.shingles import set_prints, shingle_sets
+from docketry.llm.shingles import mix, set_prints, shingle_sets
 from docketry.session import cut
 
 SEGMENTS = 8
@@ -49,6 +50,10 @@ BITS = 32
 RING = [f"ring{i}" for i in range(SEGMENTS * BITS // 64)]
 BUCKETS = 1 << 20
 SLICES = 64
+#: Most rows of a key that meet in one group, about; hotter keys are spread over blocks.
+GROUP = 4096
+#: Rows that are paired in one go.
+ROWS = 100_000
 BITMAP = 1 << 23
 
 
@@ -109,31 +114,101 @@ def _prefixes(offsets: np.ndarray, hashes: np.ndarray, counts: np.ndarray, t: Fr
     return owner[picked], hashes[picked], rank[chosen]
 
 
-def _chain_test(tau: str, length: int = 3) -> str:
-    """SQL: whether some start of the ring has chains within budget at every length up to ``length``."""
-    low, high = (1 << BITS) - 1, -(1 << BITS)
-    differ = [f"bit_count((a.{RING[i // 2]} ^ b.{RING[i // 2]}) & {low if i % 2 == 0 else high}L)" for i in range(SEGMENTS)]
-    starts = []
-    for start in range(SEGMENTS):
-        chain = [differ[(start + step) % SEGMENTS] for step in range(length)]
-        starts.append(" and ".join(f"({' + '.join(chain[: n + 1])}) * {SEGMENTS} <= {tau} * {n + 1}" for n in range(length)))
-    return "(" + " or ".join(f"({s})" for s in starts) + ")"
+def _spread(key: np.ndarray, print_: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) with the rows of keys that may be hot repeated for every pair of blocks.
 
-
-def _pair_test(t: Fraction) -> str:
-    """SQL: sizes, position of the shared key, chains and whole ring of two key rows a and b.
-
-    Position: a key at rank r leaves at most size - r shared shingles if it is the first one
-    that both share. At the first one a similar pair always passes, so none is lost.
+    A key counted more than GROUP times has B = ceil(count / GROUP) blocks; a row of block i
+    goes to the meetings of i with every other block and to that of i alone.
     """
+    blocks = -(-often // GROUP)
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return np.arange(len(key)), key
+    cold = np.flatnonzero(blocks <= 1)
+    many = blocks[hot].astype(np.int64)
+    row = np.repeat(hot, many)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    own = ((print_[row] >> np.uint64(17)) % np.repeat(many, many).astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    met = mix(key[row] ^ mix((low.astype(np.uint64) << np.uint64(32)) | high.astype(np.uint64)))
+    return np.concatenate([cold, row]), np.concatenate([key[cold], met])
+
+
+def _within_budget(x: np.ndarray, y: np.ndarray, tau: np.ndarray, length: int) -> np.ndarray:
+    """The chain test and the whole ring on parity bits x and y (rows, words of 2 segments).
+
+    Chains of length 1 are tried at every start, then those still alive grow by one segment.
+    """
+    differ = np.bitwise_count((x ^ y).view(np.uint32)).astype(np.int64)  # rows x SEGMENTS
+    budget = tau[:, None]
+    alive = np.ones(differ.shape, np.bool_)
+    sums = np.zeros_like(differ)
+    for step in range(length):
+        sums += np.roll(differ, -step, axis=1)
+        alive &= sums * SEGMENTS <= budget * (step + 1)
+    return alive.any(axis=1) & (differ.sum(axis=1) <= tau)
+
+
+def _pairing(t: Fraction, length: int):
+    """A mapInArrow function over rows sorted by key: pairs that pass all filters."""
     rest = (1 - t) / (1 + t)
-    tau = f"((a.size + b.size) * {rest.numerator} div {rest.denominator})"
-    shared = f"least(a.size - a.rank, b.size - b.rank) * {(1 + t).numerator * t.denominator} >= (a.size + b.size) * {t.numerator * (1 + t).denominator}"
-    ring = " + ".join(f"bit_count(a.{r} ^ b.{r})" for r in RING)
-    return f"a.key = b.key and a.print < b.print and {shared} and {_chain_test(tau)} and {ring} <= {tau}"
+    up, down = (1 + t).numerator * t.denominator, t.numerator * (1 + t).denominator
+
+    def pairs_of(key: np.ndarray, prints: np.ndarray, size: np.ndarray, rank: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        firsts, seconds = [], []
+        left = size - rank
+        at, apart = np.arange(len(key) - 1), 1
+        while len(at):
+            at = at[at + apart < len(key)]
+            at = at[key[at] == key[at + apart]]
+            # Position: a key at rank r leaves at most size - r shared shingles if it is the
+            # first one that both share. There a similar pair always passes, so none is lost.
+            total = size[at] + size[at + apart]
+            near = at[np.minimum(left[at], left[at + apart]) * up >= total * down]
+            near = near[prints[near] != prints[near + apart]]
+            if len(near):
+                tau = (size[near] + size[near + apart]) * rest.numerator // rest.denominator
+                near = near[_within_budget(ring[near], ring[near + apart], tau, length)]
+                firsts.append(prints[near])
+                seconds.append(prints[near + apart])
+            apart += 1
+        if not firsts:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b = np.concatenate(firsts), np.concatenate(seconds)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+
+        def meet(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            a, b = pairs_of(*(np.concatenate(c) for c in zip(*parts)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["print_a", "print_b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, prints, size, rank = (batch.column(i).to_numpy() for i in range(4))
+            ring = np.stack([batch.column(4 + i).to_numpy() for i in range(len(RING))], axis=1)
+            part = (key, prints, size.astype(np.int64), rank.astype(np.int64), ring)
+            held.append(part)
+            rows += len(key)
+            if rows < ROWS or key[0] == key[-1]:
+                continue
+            # The last key may go on in the next batch; it waits.
+            last = int(np.searchsorted(key, key[-1]))
+            held[-1] = tuple(c[:last] for c in part)
+            yield meet(held)
+            held = [tuple(c[last:] for c in part)]
+            rows = len(key) - last
+        if held:
+            yield meet(held)
+
+    return run
 
 
-def similar_pairs(documents: DataFrame, id_column: str, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(documents: DataFrame, id_column: str, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1, chain: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of near-duplicate texts.
 
     ``pairs`` has one row (print_a, print_b, shared, size_a, size_b) for each two different
@@ -162,15 +237,17 @@ def similar_pairs(documents: DataFrame, id_column: str, text_column: str, simila
             rings = _rings(offsets, hashes)
             use = fresh[owner]
             owner, key, rank = owner[use], key[use], rank[use]
+            row, met = _spread(key, prints[owner], counts.value[(key & np.uint64(BUCKETS - 1)).astype(np.int64)])
+            owner, rank = owner[row], rank[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(prints[owner].view(np.int64)), pa.array(np.diff(offsets)[owner].astype(np.int32)), pa.array(rank.astype(np.int32))]
+                [pa.array(met.view(np.int64)), pa.array(prints[owner].view(np.int64)), pa.array(np.diff(offsets)[owner].astype(np.int32)), pa.array(rank.astype(np.int32))]
                 + [pa.array(rings[owner, i]) for i in range(len(RING))],
                 names=["key", "print", "size", "rank", *RING],
             )
 
-    rows = texts.mapInArrow(keys, "key long, print long, size int, rank int, " + ", ".join(f"{r} long" for r in RING)).repartition("key")
-    found = rows.alias("a").join(rows.alias("b"), F.expr(_pair_test(t)))
-    candidates = cut(found.select(F.col("a.print").alias("print_a"), F.col("b.print").alias("print_b")).distinct())
+    rows = texts.mapInArrow(keys, "key long, print long, size int, rank int, " + ", ".join(f"{r} long" for r in RING))
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairing(t, chain), "print_a long, print_b long")
+    candidates = cut(met.distinct())
     marks = spark.sparkContext.broadcast(_bitmap(candidates))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
