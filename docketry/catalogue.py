@@ -6,7 +6,7 @@ from importlib import import_module
 
 from docketry import registry
 
-MODULES = ["docketry.operators.skew", "docketry.operators.nested_queries"]
+MODULES = ["docketry.operators." + m for m in ("skew", "nested_queries", "graph", "ranking")]
 
 
 def _load() -> None:
