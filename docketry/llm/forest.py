@@ -240,8 +240,10 @@ def neighbours(
     count = bodies.count()
     if count == 0:
         return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, cosine double, rank int")
-    # A bounded sample, the same in every run: the smallest prints (prints are hashes).
-    picked = bodies.orderBy("print").limit(sample).select("vector").collect()
+    # A bounded sample, the same in every run: prints are hashes, so those below a line hold
+    # about ``sample`` vectors wherever they lie.
+    line = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample / count)))
+    picked = bodies.filter(F.col("print") <= line).select("vector").limit(2 * sample).collect() or bodies.select("vector").limit(1).collect()
     fitted = _unit(np.frombuffer(b"".join(r[0] for r in picked), np.float32).reshape(len(picked), -1)).astype(np.float32)
     depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
     forest = spark.sparkContext.broadcast(Forest.fit(fitted, trees, depth, seed) if depth else None)

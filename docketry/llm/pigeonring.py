@@ -304,21 +304,23 @@ def _bitmap(candidates: DataFrame) -> np.ndarray:
             for column in batch.columns:
                 bits[(column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITMAP - 1)).astype(np.int64)] = True
         if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+            parts = np.packbits(bits, bitorder="little").reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "bits"])
 
     def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for bits in batch.column(1):
+            for at, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
                 part = np.frombuffer(bits.as_buffer(), np.uint8)
-                total = part.copy() if total is None else total | part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "bits"])
+                held[at] = held[at] | part if at in held else part.copy()
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["slice", "bits"])
 
     shape = "slice int, bits binary"
+    width = (BITMAP >> 3) // SLICES
     total = np.zeros(BITMAP >> 3, np.uint8)
-    for row in candidates.mapInArrow(mark, shape).repartition(1).mapInArrow(either, shape).collect():
-        total |= np.frombuffer(row["bits"], np.uint8)
+    for row in candidates.mapInArrow(mark, shape).repartition(16, "slice").mapInArrow(either, shape).collect():
+        total[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return total
 
 
