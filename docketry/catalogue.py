@@ -6,7 +6,7 @@ from importlib import import_module
 
 from docketry import registry
 
-MODULES = ["docketry.operators." + m for m in ("skew", "nested_queries", "graph", "ranking")]
+MODULES = ["docketry.operators." + m for m in ("skew", "nested_queries", "graph", "ranking", "terms", "retrieval")]
 
 
 def _load() -> None:

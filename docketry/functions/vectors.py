@@ -40,12 +40,16 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / F.nullif(n, F.lit(0.0))))
 
 
+def _times(v: Column, by: float) -> Column:
+    return F.transform(v, lambda x: x * by)
+
+
 def combine(weighted: list[tuple[Column, float]]) -> Column:
     """Weighted mean of unit vectors, shorter ones padded with zeros; null ones take no part
     and their weight does not count. Null if all are null. The result is not normalised again."""
     total, weights = F.array().cast("array<double>"), F.lit(0.0)
     for v, w in weighted:
-        part = F.coalesce(F.transform(unit(v), lambda x, w=w: x * w), F.array().cast("array<double>"))
+        part = F.coalesce(_times(unit(v), float(w)), F.array().cast("array<double>"))
         total = F.zip_with(total, part, lambda x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
         weights = weights + F.when(v.isNull(), F.lit(0.0)).otherwise(F.lit(float(w)))
     return F.when(weights > 0, F.transform(total, lambda x: x / weights))
