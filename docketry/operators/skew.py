@@ -37,15 +37,22 @@ def salted_aggregate(
     ``merge`` refers to the names in ``partial``. ``salt_by`` names the columns whose hash
     gives the salt.
     """
-    hot = heavy_keys(df, keys, heavy_share).withColumns({f"__h_{k}": F.col(k) for k in keys}).drop(*keys).withColumn("__hot", F.lit(True))
+    def free(name: str) -> str:
+        while name in df.columns or name in partial:
+            name += "_"
+        return name
+
+    salt, is_hot = free("__salt"), free("__hot")
+    own = {k: free(f"__heavy_{k}") for k in keys}
+    hot = heavy_keys(df, keys, heavy_share).select(*(F.col(k).alias(own[k]) for k in keys), F.lit(True).alias(is_hot))
     match = None
     for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+        same = F.col(k).eqNullSafe(F.col(own[k]))
         match = same if match is None else match & same
     salted = df.join(F.broadcast(hot), match, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        salt, F.when(F.col(is_hot), F.pmod(F.xxhash64(*salt_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     )
-    first = salted.groupBy(*keys, "__salt").agg(*(c.alias(n) for n, c in partial.items()))
+    first = salted.groupBy(*keys, salt).agg(*(c.alias(n) for n, c in partial.items()))
     return first.groupBy(*keys).agg(*(c.alias(n) for n, c in merge.items()))
 
 
