@@ -19,6 +19,7 @@ a text without any end mark is one sentence per block; repeated documents repeat
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -205,6 +206,8 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
         kind = _kind(mark[: core - at])
         after = rest if rest.isascii() and "<" not in rest and "&" not in rest else _INVISIBLE.sub("", _NOISE.sub("", rest))
         before = _INVISIBLE.sub("", block[max(last, edge - _REACH) : edge])
+        if not (before.isascii() and after.isascii()):
+            before, after = unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", after)
         if last >= edge - _REACH:
             before = before.lstrip()
         elif edge - _REACH > 0:

@@ -29,7 +29,7 @@ IMBALANCE = 4.0
 
 #: The end marks at which a text may be cut.
 END_MARKS = ".!?;。！？；।"
-_BOUNDARY = re.compile(rf"(?P<blank>\n[^\S\n]*\n\s*)|(?P<line>\n)|(?P<mark>[{END_MARKS}]+[\"'”’»）)」』\]]*\s?)|(?P<space>\s+)")
+_BOUNDARY = re.compile(rf"(?P<blank>\n[^\S\n]*\n\s*)|(?P<line>\n)|(?P<mark>[{END_MARKS}]+[\"'”’»）)」』\]]*[^\S\n]?)|(?P<space>\s+)")
 _FREE_RUN = re.compile(rf"[^\s{END_MARKS}]+")
 
 
