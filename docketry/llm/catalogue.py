@@ -112,4 +112,4 @@ def p5_nearest(spark, folder):
     sections = table(spark, folder, "filing_section")
     vectors = forest.compressed_vectors(sections, "section_id", "embedding_compressed", 64)
     asked = sections.filter("load_id % 100 = 0").select("section_id")
-    return forest.neighbours(vectors, k=5, trees=4, leaf=4096, probes=96, queries=asked).select(F.col("id_a").alias("section_id"), F.col("id_b").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
+    return forest.neighbours(vectors, k=5, trees=4, leaf=4096, probes=64, queries=asked).select(F.col("id_a").alias("section_id"), F.col("id_b").alias("neighbour_id"), "rank", F.round("cosine", 6).alias("cosine"))
