@@ -10,8 +10,9 @@ from docketry.functions.fixed import STOP_WORDS
 def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased words of ASCII letters and digits, longer than two, without stop words."""
     plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
-    stop = F.array(*(F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)))
-    return F.filter(F.split(plain, r"[\s]+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    # IN over literals becomes a hash look-up; array_contains would walk the list per word.
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return F.filter(F.split(plain, r"[\s]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
 
 
 def with_bigrams(words: Column) -> Column:

@@ -202,7 +202,7 @@ def shred(records: DataFrame, payload: str, keys: list[str], plan: Plan) -> Data
                 names=[*keys, "node_table", "node_id", "parent_table", "parent_id", "parent_key", "position", "columns"],
             )
 
-    return chosen.mapInArrow(run, ", ".join(f"`{k}` {t}" for k, t in zip(keys, types)) + ", " + SHRED_COLUMNS)
+    return chosen.mapInArrow(run, ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, types)), SHRED_COLUMNS]))
 
 
 def figure(column: Column) -> Column:

@@ -9,6 +9,7 @@ from docketry.functions.fixed import FINANCIAL_TERMS, STOP_WORDS, SYNONYMS
 from docketry.functions.text import terms, with_bigrams
 from docketry.operators.graph import SECTION_SQL, latest
 from docketry.registry import query
+from docketry.session import cut
 from docketry.tables import table
 
 
@@ -17,10 +18,9 @@ def term_counts(docs: DataFrame, key: str, text: str, bigrams: bool = True) -> D
 
     Counted inside each document first, so the shuffle carries one row per distinct term.
     """
-    words = terms(F.col(text))
-    features = with_bigrams(words) if bigrams else words
-    # Terms of a document are counted within its row: sorted runs need no shuffle.
-    return docs.filter(F.col(text).isNotNull()).select(key, F.explode(features).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    words = docs.filter(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("__w"))
+    features = with_bigrams(F.col("__w")) if bigrams else F.col("__w")
+    return words.select(key, F.explode(features).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def is_financial(term: Column) -> Column:
@@ -37,28 +37,35 @@ def vocabulary(counts: DataFrame, documents: Column | int, min_df: int = 2, max_
     """
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.lit(max_df) * documents))) if isinstance(documents, int) else df
-    order = [F.desc(is_financial(F.col("term"))), F.desc("df"), F.asc("term")]
+    # As a column: an expression in the order would be evaluated at every comparison.
+    order = [F.desc("__fin"), F.desc("df"), F.asc("term")]
     # Take the best first (a bounded heap per task), then number the few that are left.
-    best = df.orderBy(*order).limit(most)
+    best = df.withColumn("__fin", is_financial(F.col("term"))).orderBy(*order).limit(most)
     return best.withColumn("term_id", F.row_number().over(Window.orderBy(*order)) - 1).select("term_id", "term", "df")
 
 
 def tfidf(counts: DataFrame, vocab: DataFrame, documents: int, key: str) -> DataFrame:
     """(key, term, weight): share of the term among the document's known terms times ln(N / df)."""
-    known = counts.join(vocab.select("term", "df"), "term")
+    # The vocabulary is bounded (``most`` terms), so it goes to the counts and they stay put.
+    known = counts.join(F.broadcast(vocab.select("term", "df")), "term")
     total = F.sum("n").over(Window.partitionBy(key))
     return known.withColumn("weight", F.col("n") / total * F.log(F.lit(documents) / F.col("df"))).select(key, "term", "n", "weight")
 
 
-def bm25(counts: DataFrame, lengths: DataFrame, key: str, wanted: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score): BM25 of every document that has any of the ``wanted`` terms (column term).
+def bm25_search(docs: DataFrame, key: str, text: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score, matched): BM25 of every document that has any of the words.
 
-    The query's terms are few, so they are sent to the postings; statistics are over all documents.
+    One pass over the texts keeps each document's length and its hits only; that small table
+    is cut and gives all statistics, which are over all documents with a text.
     """
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-    hits = counts.join(F.broadcast(wanted.select("term").distinct()), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(lengths, key).crossJoin(F.broadcast(stats))
+    found = terms(F.col(text))
+    base = cut(docs.filter(F.col(text).isNotNull()).select(key, found.alias("__w")).select(key, F.size("__w").alias("len"), F.filter("__w", lambda w: w.isin(*words)).alias("hits")))
+    stats = base.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+    hits = base.filter(F.size("hits") > 0)
+    df = hits.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    each = hits.select(key, "len", "hits", F.explode(F.array_distinct("hits")).alias("term"))
+    n = F.size(F.filter("hits", lambda w: w == F.col("term")))
+    scored = each.select(key, "len", "term", n.alias("n")).join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     return scored.groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
@@ -120,7 +127,7 @@ def document_frequency(spark, folder):
 
 def _vocabulary(spark, folder):
     docs = _sections(spark, folder).filter("content is not null").count()
-    counts = _counts(spark, folder)
+    counts = cut(_counts(spark, folder))
     return counts, vocabulary(counts, docs), docs
 
 
@@ -159,10 +166,7 @@ _BM25_SQL = f"""{_COUNT_SQL}, lengths as (select section_id, len(words) as len f
 
 
 def bm25_scores(spark, folder, words: list[str]) -> DataFrame:
-    own = _sections(spark, folder)
-    lengths = own.filter("content is not null").select("section_id", F.size(terms(F.col("content"))).alias("len"))
-    wanted = spark.createDataFrame([(w,) for w in words], "term string")
-    return bm25(term_counts(own, "section_id", "content", bigrams=False), lengths, "section_id", wanted)
+    return bm25_search(_sections(spark, folder), "section_id", "content", words)
 
 
 @query("text_search", f"{_BM25_SQL} select section_id, round(score, 6) as score, matched from bm25 order by score desc, section_id limit 20")

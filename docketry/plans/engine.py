@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.functions.text import snippet, terms, tokens_of_length
+from docketry.functions.text import snippet, tokens_of_length
 from docketry.functions.vectors import cosine
 from docketry.operators import facts, graph, insider, ranking, retrieval
 from docketry.operators import terms as text_terms
@@ -72,9 +72,8 @@ class Engine:
             scored = scored.select("section_id", cosine(F.col("v"), q).alias("score"))
             found.append(scored.filter(F.col("score") > least) if least is not None else scored)
         if mode != "semantic" and text and text.strip():
-            wanted = self.spark.createDataFrame([(w,) for w in text_terms.widened(text.lower().split())], "term string")
-            lengths = rows.filter("content is not null").select("section_id", F.size(terms(F.col("content"))).alias("len"))
-            found.append(text_terms.bm25(text_terms.term_counts(rows, "section_id", "content", bigrams=False), lengths, "section_id", wanted).select("section_id", "score"))
+            words = text_terms.widened(text.lower().split())
+            found.append(text_terms.bm25_search(rows, "section_id", "content", words).select("section_id", "score"))
         if not found:
             return rows.limit(0).select("section_id", "ticker", "filing_type", "filing_date", "section_type", F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
         best = found[0] if len(found) == 1 else retrieval.hybrid(found[0], found[1], "section_id")
