@@ -43,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A scan with fewer partitions than cores, spread over the cores by the ``by`` columns.
+
+    For work that costs far more CPU than its bytes suggest. A scan with as many partitions
+    as there are cores, as any large one has, stays as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
+
+
 _shipped: set[str] = set()
 
 
