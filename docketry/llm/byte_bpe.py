@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import spread
+
 #: Where the public vocabulary files lie; a parameter of every operator below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
@@ -281,7 +283,7 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
 
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, offsets: bool = False) -> DataFrame:
     """(id, ids[, starts]) of every document; ``starts`` are the byte places of the tokens."""
-    source = documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
+    source = spread(documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")), "__id")
     kind = source.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.session import cut
+from docketry.session import cut, spread
 
 BLOCK = 2048
 
@@ -65,7 +65,7 @@ def _print(vector: np.ndarray) -> int:
 
 def compressed_vectors(rows: DataFrame, id_column: str, column: str, width: int) -> DataFrame:
     """(id, print, vector): the usable vectors; ``vector`` holds 32-bit floats as bytes."""
-    source = rows.filter(F.col(id_column).isNotNull() & F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text"))
+    source = spread(rows.filter(F.col(id_column).isNotNull() & F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text")), "id")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

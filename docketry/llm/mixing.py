@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.byte_bpe import VOCABULARY, count_tokens
+from docketry.session import spread
 
 BLOCKS = 1024
 
@@ -43,7 +44,7 @@ def targets_table(targets: DataFrame) -> DataFrame:
 def document_sizes(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of the documents whose source is in the targets."""
     wanted = targets_table(targets).select("source")
-    chosen = documents.select("doc_id", clean_source("source").alias("source"), "text").join(F.broadcast(wanted), "source", "left_semi")
+    chosen = spread(documents.select("doc_id", clean_source("source").alias("source"), "text"), "doc_id").join(F.broadcast(wanted), "source", "left_semi")
     return count_tokens(chosen, ["doc_id", "source"], "text", vocabulary)
 
 
@@ -51,9 +52,11 @@ def source_totals(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target source: tokens, target_share and whether it falls short."""
     tokens = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents"))
     rows = targets_table(targets).join(tokens, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
-    every = rows.agg(F.sum("target_weight").alias("all_weight"), F.sum("tokens").alias("all_tokens"))
+    # One window over the target sources' rows, so that the texts are not counted twice.
+    every = Window.partitionBy()
+    rows = rows.withColumns({"all_weight": F.sum("target_weight").over(every), "all_tokens": F.sum("tokens").over(every)})
     share = F.coalesce(F.try_divide(F.col("target_weight"), F.col("all_weight")), F.lit(0.0))
-    return rows.crossJoin(F.broadcast(every)).select("source", "target_weight", "max_repeats", "tokens", "documents", share.alias("target_share"), "all_tokens", (F.col("tokens") * F.col("max_repeats") < share * F.col("all_tokens")).alias("short"))
+    return rows.select("source", "target_weight", "max_repeats", "tokens", "documents", share.alias("target_share"), "all_tokens", (F.col("tokens") * F.col("max_repeats") < share * F.col("all_tokens")).alias("short"))
 
 
 def entropy(shares: list[float]) -> float:

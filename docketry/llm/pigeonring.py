@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.components import connected
 from docketry.llm.shingles import mix, set_prints, shingle_sets
-from docketry.session import cut
+from docketry.session import cut, spread
 
 SEGMENTS = 8
 BITS = 32
@@ -216,7 +216,7 @@ def similar_pairs(documents: DataFrame, id_column: str, text_column: str, simila
     """
     t = Fraction(similarity).limit_denominator(1000)
     rest = (1 - t) / (1 + t)
-    source = documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    source = spread(documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "id")
     texts = source.select("text")
     spark = documents.sparkSession
     counts = spark.sparkContext.broadcast(token_histogram(texts, k, least_words))

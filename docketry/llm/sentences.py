@@ -27,6 +27,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import spread
+
 _LINE = r"(?:\r\n|[\n\r\v\f\x85  ])"
 #: A line break, then at least one line of white space only.
 _BLANK = re.compile(rf"{_LINE}(?:[^\S\n\r\v\f\x85  ]*{_LINE})+")
@@ -252,7 +254,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def split_sentences(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
     """(id, start_pos, end_pos[, sentence]) of every document, 0-based, end exclusive."""
-    source = documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
+    source = spread(documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")), "__id")
     kind = source.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
