@@ -7,7 +7,7 @@ from importlib import import_module
 from docketry import registry
 
 MODULES = [
-    *("docketry.operators." + m for m in ("skew", "nested_queries", "graph", "ranking", "terms", "retrieval", "insider", "facts", "content")),
+    *("docketry.operators." + m for m in ("skew", "nested_queries", "graph", "ranking", "terms", "retrieval", "insider", "facts", "content", "structure")),
     "docketry.sources.feeds",
     "docketry.streaming.events",
     "docketry.plans.questions",

@@ -179,3 +179,29 @@ def text_search(spark, folder):
     select word, term, levenshtein(term, word) as distance from (select distinct term from uni), q where abs(length(term) - length(word)) <= most and levenshtein(term, word) <= most""")
 def fuzzy_terms_query(spark, folder):
     return fuzzy_terms(_counts(spark, folder, bigrams=False), _WANTED)
+
+
+def batch_search(counts: DataFrame, documents: int, questions: DataFrame, question: str, text: str, key: str, k: int = 5) -> DataFrame:
+    """(question, key, score, rank): the ``k`` best documents for every question by summed idf.
+
+    Questions meet documents by their terms only; each pair is scored by the terms it shares.
+    """
+    asked = questions.select(F.col(question).alias("question"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    wanted = counts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    known = asked.join(F.broadcast(df), "term").withColumn("idf", F.log(F.lit(documents) / F.col("df")))
+    scored = wanted.join(F.broadcast(known), "term").groupBy("question", key).agg(F.round(F.sum("idf"), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+@query("batch_text_search", f"""{_COUNT_SQL}, q as (select distinct section_name as question from filing_section where section_name is not null),
+    a as (select distinct question, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^a-z0-9\\s]', ' ', 'g'), '[ \\t\\n\\r]+'), lambda w: length(w) > 2 and not list_contains([{_list(STOP_WORDS)}], w))) as term from q),
+    d as (select term, count(*) as df from uni where term in (select term from a) group by 1),
+    s as (select question, section_id, round(sum(ln((select documents from docs) / df)), 6) as score from a join uni using (term) join d using (term) group by 1, 2)
+    select question, section_id, score, row_number() over (partition by question order by score desc, section_id)::int as rank from s qualify rank <= 5""")
+def batch_text_search(spark, folder):
+    """The best sections for every section name read as a question."""
+    questions = table(spark, folder, "filing_section").filter("section_name is not null").select("section_name").distinct()
+    docs = _sections(spark, folder).filter("content is not null").count()
+    return batch_search(cut(_counts(spark, folder, bigrams=False)), docs, questions, "section_name", "section_name", "section_id")

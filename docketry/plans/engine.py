@@ -114,3 +114,33 @@ class Engine:
         result = {"question": question, "answer": self.answer(question, found), "sources": [r["section_id"] for r in found]}
         self.history.append(result)
         return result
+
+    def sql(self, text: str, **values) -> DataFrame:
+        """A parameterised statement over the tables of the model."""
+        for name in ("companies", "filings", "sections"):
+            getattr(self, name).createOrReplaceTempView(name)
+        return self.spark.sql(text, args=values)
+
+    def company(self, ticker: str) -> dict | None:
+        row = self.companies.filter(F.col("ticker") == ticker).first()
+        return row.asDict() if row else None
+
+    def health(self) -> dict[str, bool]:
+        """Which tables can be read."""
+        out = {}
+        for name in ("company", "filing", "filing_section", "xbrl_fact", "insider_transaction"):
+            try:
+                out[name] = bool(table(self.spark, self.folder, name).columns)
+            except Exception:  # a missing table is a finding, not an error
+                out[name] = False
+        return out
+
+    def report(self, questions: list[str], k: int = 5) -> tuple[DataFrame, str]:
+        """Ask all questions; one row each and a text with the averages."""
+        found = [(q, self.ask(q, k)) for q in questions]
+        rows = [(q, bool(r["sources"]), len(r["question"].tickers), len(r["sources"])) for q, r in found]
+        df = self.spark.createDataFrame(rows, "question string, answered boolean, companies int, sources int")
+        total = df.agg(F.count_if("answered").alias("answered"), F.coalesce(F.avg("companies"), F.lit(0.0)).alias("companies"), F.coalesce(F.avg("sources"), F.lit(0.0)).alias("sources")).first()
+        lines = [f"# Evaluation\n\n{total['answered']} of {len(rows)} questions answered; on average {total['companies']:.1f} companies and {total['sources']:.1f} sources.\n"]
+        lines += [f"## {q}\n\n{r['answer']}\n" for q, r in found]
+        return df, "\n".join(lines)

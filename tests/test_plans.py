@@ -76,3 +76,28 @@ def test_ingest(spark, tmp_path):
     ingest.save_vocabulary(spark.createDataFrame([(0, "x", 2)], "term_id int, term string, df long"), 9, str(tmp_path / "v"))
     vocab, n = ingest.load_vocabulary(spark, str(tmp_path / "v"))
     assert n == 9 and vocab.count() == 1
+
+
+def test_engine_helpers(spark, engine):
+    ticker = engine.companies.first()["ticker"]
+    assert engine.company(ticker)["ticker"] == ticker and engine.company("none") is None
+    assert engine.sql("select count(*) as n from companies where ticker = :t", t=ticker).first()["n"] == 1
+    assert all(engine.health().values())
+    df, text = engine.report(["notes due", "qqqq"], 2)
+    assert rows(df.select("question", "answered")) == [("notes due", True), ("qqqq", False)] and "1 of 2" in text
+
+
+def test_structure_and_embedder(spark):
+    from docketry.functions.embedder import hashing
+    from docketry.operators import structure
+
+    body = "word " * 40
+    text = f"Item 1. Business\n{body}\nItem 1A: Risk   Factors\n{body}\nItem 2 Properties short"
+    df = spark.createDataFrame([(1, text, "10-K"), (2, None, "10-K"), (3, text, "8-K")], "k int, t string, f string")
+    got = structure.filing_sections(df, "k", "t", "f").orderBy("begin_at").collect()
+    assert [(r["k"], r["section"], r["word_count"]) for r in got] == [(1, "Item 1", 43), (1, "Item 1A", 44)]
+    assert all(text[r["begin_at"] : r["end_at"]].strip() == r["content"] for r in got)
+    q = spark.createDataFrame([(1, f"Part I x Item 2. Management’s Discussion {body} Part II y Item 6 Exhibits {body}", "10-Q")], "k int, t string, f string")
+    assert [r["section"] for r in structure.filing_sections(q, "k", "t", "f").orderBy("begin_at").collect()] == ["Part I Item 2", "Part II Item 6"]
+    vectors = spark.createDataFrame([("revenue grew strongly",), ("revenue grew strongly",), (" ",), (None,)], "t string").select(hashing(16)("t").alias("v")).collect()
+    assert vectors[0]["v"] == vectors[1]["v"] and len(vectors[0]["v"]) == 16 and vectors[2]["v"] is None and vectors[3]["v"] is None
