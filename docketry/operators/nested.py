@@ -256,13 +256,20 @@ def owners_table(rows: DataFrame) -> DataFrame:
     return own.select("accession_number", F.col("position").alias("owner_no"), bare("name").alias("owner_name"), bare("relationship.officerTitle").alias("officer_title"), bare("relationship.isDirector").alias("is_director"))
 
 
+#: A transaction's node id, or that of one of its fills; holdings and underlying securities never match.
+TRADE_PATH = r"^\$\.(nonDerivative|derivative)(?:Table(?:\[1\])?\.transactions|Transaction)\[([0-9]+)\](?:\.fills\[([0-9]+)\])?$"
+
+
+def _kind() -> Column:
+    part = F.regexp_extract("node_id", TRADE_PATH, 1)
+    return F.when(part == "nonDerivative", F.lit("nd")).when(part == "derivative", F.lit("d"))
+
+
 def transactions_table(rows: DataFrame) -> DataFrame:
     """One row per transaction object: kind (``nd`` or ``d``), place, figures and fill entries."""
     c = F.col("columns")
-    # The path of the node says which list it is in; holdings and underlying securities never match.
-    path = F.regexp_extract("node_id", r"^\$\.((?:nonDerivativeTable(?:\[1\])?\.transactions|derivativeTable(?:\[1\])?\.transactions|nonDerivativeTransaction|derivativeTransaction))\[[0-9]+\]$", 1)
-    kind = F.when(path.startswith("nonDerivative"), F.lit("nd")).when(path.startswith("derivative"), F.lit("d"))
-    return rows.withColumn("txn_kind", kind).filter(F.col("txn_kind").isNotNull() & (F.size("columns") >= 0)).select(
+    own = rows.filter(~F.col("node_table").isin("fills")).withColumn("txn_kind", _kind()).filter("txn_kind is not null")
+    return own.select(
         "accession_number", "record_id", "node_id", "txn_kind", F.col("position").alias("txn_no"), F.coalesce(c["#fills"].cast("int"), F.lit(0)).alias("fill_entries"), first_figure(c, SHARES).alias("shares"), first_figure(c, PRICES).alias("price")
     )
 
@@ -276,8 +283,12 @@ def fills_table(rows: DataFrame) -> DataFrame:
 
 def trades(rows: DataFrame) -> DataFrame:
     """The traded lines of all forms: each fill, or the transaction itself (fill_no 0) where
-    it has no fill entries; only lines whose own shares and price are both figures."""
-    txns, fills = transactions_table(rows), fills_table(rows)
-    whole = txns.filter("fill_entries = 0").select("accession_number", "txn_kind", "txn_no", F.lit(0).alias("fill_no"), "shares", "price")
-    parts = fills.join(txns.select("accession_number", "node_id", "txn_kind", "txn_no"), ["accession_number", "node_id"]).select("accession_number", "txn_kind", "txn_no", "fill_no", "shares", "price")
-    return whole.unionByName(parts).filter("shares is not null and price is not null")
+    it has no fill entries; only lines whose own shares and price are both figures.
+
+    A node id names the kind and the place of the transaction, so fills need no join to it.
+    """
+    c = F.col("columns")
+    own = rows.withColumns({"txn_kind": _kind(), "txn_no": F.regexp_extract("node_id", TRADE_PATH, 2).try_cast("int"), "fill_no": F.coalesce(F.regexp_extract("node_id", TRADE_PATH, 3).try_cast("int"), F.lit(0))})
+    lines = own.filter((F.col("txn_kind").isNotNull()) & ((F.col("fill_no") > 0) | (F.coalesce(c["#fills"].cast("int"), F.lit(0)) == 0)))
+    found = lines.select("accession_number", "txn_kind", "txn_no", "fill_no", first_figure(c, SHARES).alias("shares"), first_figure(c, PRICES).alias("price"))
+    return found.filter("shares is not null and price is not null")
