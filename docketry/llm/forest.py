@@ -4,7 +4,7 @@ The trees are fitted on a bounded sample (``sample`` vectors, a documented param
 to all tasks; every vector is placed in all of them. A node cuts its vectors by a random
 direction at the sample's median there. The depth follows from the number of vectors and
 ``leaf``, so leaves keep their size as the collection grows; below the sample's resolution
-nodes cut at the last median known above them. A query walks all trees with one shared priority queue: the
+nodes cut at the centre of the last part of the sample known above them. A query walks all trees with one shared priority queue: the
 branch not taken waits with the smallest margin on its path, and the nearest branch over all
 trees is opened next, until ``probes`` leaves are found. Leaves are joined with their visitors by
 one shuffle of 8-bit vectors; within a leaf all candidates are ranked by matrix products in
@@ -133,10 +133,16 @@ def _unpack(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Forest:
-    """Directions (trees, depth, width) and, for each tree, one cut per inner node."""
+    """Directions (trees, depth, width) and the cuts of all nodes.
+
+    ``cuts`` has one per node of the upper levels, where the sample resolves nodes. Below, a
+    node cuts at the projected centre of the sample in its lowest such ancestor (``deep``), so
+    that dense places are cut in the middle too.
+    """
 
     directions: np.ndarray
     cuts: np.ndarray
+    deep: np.ndarray
     depth: int
 
     @staticmethod
@@ -147,6 +153,7 @@ class Forest:
         directions /= np.linalg.norm(directions, axis=2, keepdims=True)
         known = min(depth, most_known)
         cuts = np.zeros((trees, (1 << known) - 1), np.float32)
+        centres = np.zeros((trees, 1 << known if depth > known else 0, width))
         for tree in range(trees):
             node = np.zeros(len(sample), np.int64)
             for level in range(known):
@@ -156,13 +163,22 @@ class Forest:
                     inside = value[node == here]
                     cuts[tree, first + here] = np.median(inside) if len(inside) else 0.0
                 node = node * 2 + (value >= cuts[tree, first + node])
-        return Forest(directions.astype(np.float32), cuts, depth)
+            if depth > known:
+                held = np.bincount(node, minlength=1 << known)
+                for axis in range(width):
+                    centres[tree, :, axis] = np.bincount(node, sample[:, axis], 1 << known) / np.maximum(held, 1)
+        deep = np.einsum("tnw,tdw->tnd", centres, directions[:, known:]).astype(np.float32)
+        return Forest(directions.astype(np.float32), cuts, deep, depth)
 
     def cut_of(self, tree: np.ndarray | int, level: np.ndarray | int, node: np.ndarray) -> np.ndarray:
         """Where the node cuts. Nodes are places within their level."""
         known = int(math.log2(self.cuts.shape[1] + 1))
-        at = (1 << np.minimum(level, known - 1)) - 1 + (node >> np.maximum(level - known + 1, 0))
-        return np.where(np.asarray(level) < known, self.cuts[tree, at], 0.0)
+        above = (1 << np.minimum(level, known - 1)) - 1 + (node >> np.maximum(level - known + 1, 0))
+        upper = self.cuts[tree, above]
+        if self.depth == known:
+            return upper
+        below = np.maximum(level - known, 0)
+        return np.where(np.asarray(level) < known, upper, self.deep[tree, node >> below, below])
 
     def values(self, vectors: np.ndarray) -> np.ndarray:
         """Projections (vectors, trees, depth)."""
