@@ -10,7 +10,7 @@ bisection. (Without targets the exponent of ``p_s ** a`` is bisected to a target
 
 The weights become documents by budgeted block permutations: a source is used in whole
 rounds, and for the last part of a round its documents, permuted by hash into blocks, are
-taken block by block up to the budget. Block totals are one small row per block; only the
+taken block by block up to the budget. The number of blocks follows the documents; only the
 block in which the budget ends is ordered document by document.
 
 Defined cases: sources compare trimmed and lower-cased; null and other sources are not mixed;
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from docketry.llm.byte_bpe import VOCABULARY, count_tokens
 from docketry.session import spread
 
+#: Least number of blocks of a source, and most documents of a block, about.
 BLOCKS = 1024
+BLOCK_DOCUMENTS = 20_000
 
 
 def clean_source(column: str):
@@ -122,17 +124,19 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 0, blocks: int = BLOCK
         planned.append((r["source"], float(r["target_share"]), int(r["tokens"]), int(use[r["source"]]), int(rounds), int(part), int(r["max_repeats"]), bool(r["short"]), float(exponent)))
     plan = spark.createDataFrame(planned, "source string, target_share double, tokens bigint, budget bigint, rounds bigint, part bigint, max_repeats int, short boolean, exponent double")
     order = F.xxhash64("doc_id", F.lit(seed))
-    placed = sizes.withColumns({"__h": order, "__block": F.pmod(F.shiftright(order, 20), F.lit(blocks))}).join(F.broadcast(plan.select("source", "rounds", "part")), "source")
-    totals = placed.groupBy("source", "__block").agg(F.sum("tokens").alias("__size"))
+    most = max([blocks, *(-(-r["documents"] // BLOCK_DOCUMENTS) for r in rows)])
+    placed = sizes.withColumns({"__h": order, "__block": F.pmod(F.shiftright(order, 20), F.lit(most))}).join(F.broadcast(plan.select("source", "rounds", "part")), "source")
+    totals = placed.groupBy("source", "__block").agg(F.sum("tokens").alias("__size"), F.first("part").alias("__part"))
     upto = F.sum("__size").over(Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0))
-    # At most `blocks` rows a source.
-    totals = totals.withColumn("__end", upto).withColumn("__begin", F.col("__end") - F.col("__size"))
-    placed = placed.join(F.broadcast(totals.drop("__size")), ["source", "__block"])
-    whole = F.col("__end") <= F.col("part")
-    ending = placed.filter((F.col("__begin") < F.col("part")) & ~whole)
+    # One row a source: the block in which its budget ends, and the tokens before it.
+    ends = totals.withColumn("__end", upto).filter(F.col("__end") > F.col("__part")).groupBy("source").agg(F.min(F.struct("__block", (F.col("__end") - F.col("__size")).alias("__begin"))).alias("__e"))
+    ends = ends.select("source", F.col("__e.__block").alias("__last"), F.col("__e.__begin").alias("__begin"))
+    placed = placed.join(F.broadcast(ends), "source", "left")
+    ending = placed.filter(F.col("__block") == F.col("__last"))
     inside = F.sum("tokens").over(Window.partitionBy("source").orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     first = ending.withColumn("__extra", (F.col("__begin") + inside <= F.col("part")).cast("int"))
-    others = placed.filter(whole | (F.col("__begin") >= F.col("part"))).withColumn("__extra", (whole & (F.col("part") > 0)).cast("int"))
+    others = placed.filter(F.col("__last").isNull() | (F.col("__block") != F.col("__last")))
+    others = others.withColumn("__extra", ((F.col("part") > 0) & F.coalesce(F.col("__block") < F.col("__last"), F.lit(True))).cast("int"))
     uses = first.unionByName(others).select("doc_id", "source", "tokens", (F.col("rounds") + F.col("__extra")).cast("int").alias("uses")).filter("uses > 0")
     return uses, plan
 
