@@ -172,7 +172,6 @@ def _kind(mark: str) -> str:
 def _prose(text: str, start: int, end: int) -> Iterator[int]:
     """Cut places inside text[start:end], a block part without list items."""
     block = text[start:end]
-    pairs = None
     entities = {m.end() - 1 for m in _ENTITY.finditer(block)} if "&" in block else ()
     cuts: list[tuple[int, str, int]] = []
     for m in _MARKS.finditer(block):
@@ -183,10 +182,14 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
     gaps = [(m.start("gap"), m.end("gap")) for m in _THAI_SPACE.finditer(block)] if re.search(r"[฀-๿]", block) else []
     if not cuts and not gaps:
         return
-    pairs = _pair_up(block)
-    last = 0
+    pairs = sorted(_pair_up(block))
+    opening = {c: o for o, c in pairs}
+    last = seen = reach = 0
     for at, mark, stop in sorted([*cuts, *((a, "", b) for a, b in gaps)]):
-        if any(o < at < c for o, c in pairs if c >= stop):
+        while seen < len(pairs) and pairs[seen][0] < at:
+            reach = max(reach, pairs[seen][1])
+            seen += 1
+        if reach >= stop:
             continue  # inside a quotation or bracket that does not close right here
         if not mark:
             yield start + stop
@@ -194,7 +197,7 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
             continue
         # Only closing marks whose opening lies before belong to the cut; an opening one starts what follows.
         core = next((k for k in range(at, stop) if block[k] in _CLOSE + "“" or block[k] in "   "), stop)
-        closing = {c: o for o, c in pairs if at < c < stop}
+        closing = {k: opening[k] for k in range(at + 1, stop) if k in opening}
         edge = core
         for k in range(core, stop):
             if k in closing or block[k] in "'’" or (block[k] in "   " and k + 1 in closing):
