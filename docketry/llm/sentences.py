@@ -81,9 +81,14 @@ _CONTINUES = r"\s*[,;:،؛、，；：%)\]）」』”»…]|\s*[-–—/&+=]"
 _LOWER_NEXT = r"\s*[\"“„«‹(\[‘—–-]*\s*(?![a-z]{1,2}\p{Lu})\p{Ll}"
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々〆"
 
-#: The cascade: (table, marks it is for, breaks?, before, after). The text before ends with the
-#: mark and its closing marks; the text after begins right behind them, noise left out.
-TABLES: list[tuple[str, str, bool, str, str]] = [
+def _last_parts(text: str) -> frozenset[str]:
+    return frozenset(w.rpartition(".")[2] for w in text.split())
+
+
+#: The cascade: (table, marks it is for, breaks?, before, after[, words]). The text before ends
+#: with the mark and its closing marks; the text after begins right behind them, noise left out.
+#: A rule with ``words`` is tried only if the last word before the mark is one of them.
+TABLES: list[tuple] = [
     # numbers, references, addresses
     ("number", ".", False, r"\p{Nd}\.$", r"\p{Nd}"),
     ("number", ".", False, r"(?:^|[\s$€£¥(\[−-])\.$", r"\p{Nd}"),
@@ -100,10 +105,10 @@ TABLES: list[tuple[str, str, bool, str, str]] = [
     ("en", ".", False, rf"{_L}U\.\s?S\.$", rf"\s*(?:{_US_NOUNS})(?!\p{{L}})"),
     ("en", ".", False, rf"{_L}(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\.$", r"\s*\p{Nd}"),
     ("en", "!?", False, r"(?:^|\s)\p{Lu}\p{L}*!$", r"\s+\p{Lu}\p{Ll}+,"),
-    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", r"") for lang, w in INNER.items()),
-    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", rf"[{_CJK}]") for lang, w in OUTER.items()),
-    *((lang, ".", True, rf"{_L}(?:{_words(w)})\.[{_CLOSE}“]*$", rf"(?!{_CONTINUES})(?!{_LOWER_NEXT})(?:\s+|(?=[\"“„«(¿¡])){_UPPER_NEXT}") for lang, w in OUTER.items()),
-    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", r"") for lang, w in OUTER.items()),
+    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", r"", _last_parts(w)) for lang, w in INNER.items()),
+    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", rf"[{_CJK}]", _last_parts(w)) for lang, w in OUTER.items()),
+    *((lang, ".", True, rf"{_L}(?:{_words(w)})\.[{_CLOSE}“]*$", rf"(?!{_CONTINUES})(?!{_LOWER_NEXT})(?:\s+|(?=[\"“„«(¿¡])){_UPPER_NEXT}", _last_parts(w)) for lang, w in OUTER.items()),
+    *((lang, ".", False, rf"{_L}(?:{_words(w)})\.$", r"", _last_parts(w)) for lang, w in OUTER.items()),
     # initials, in any cased script; letters of a dotted word
     ("initial", ".", False, r"(?<![\p{L}\p{M}\p{N}%‐-])\p{Lu}\.$", r"\s*[\p{L}(]"),
     ("initial", ".", False, r"(?<=\p{L}\.)\p{L}\.$", r"\p{L}"),
@@ -121,10 +126,10 @@ TABLES: list[tuple[str, str, bool, str, str]] = [
 ]
 
 
-def _compile() -> dict[str, list[tuple[bool, object, object]]]:
+def _compile() -> dict[str, list[tuple]]:
     kinds: dict[str, list] = {k: [] for k in ".!…。;"}
-    for _, marks, breaks, before, after in TABLES:
-        rule = (breaks, re.compile(before) if before else None, re.compile(after) if after else None)
+    for _, marks, breaks, before, after, *rest in TABLES:
+        rule = (breaks, re.compile(before) if before else None, re.compile(after) if after else None, rest[0] if rest else None)
         for kind in kinds:
             if kind in marks:
                 kinds[kind].append(rule)
@@ -133,6 +138,9 @@ def _compile() -> dict[str, list[tuple[bool, object, object]]]:
 
 _RULES = _compile()
 _REACH = 48
+_GREEK = re.compile(r"\p{Greek}")
+_THAI = re.compile(r"[฀-๿]")
+_LAST_WORD = re.compile(rf"([\p{{L}}\p{{M}}\p{{N}}]*)\.[{_CLOSE}“]*$")
 
 
 def _pair_up(block: str) -> list[tuple[int, int]]:
@@ -176,10 +184,10 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
     cuts: list[tuple[int, str, int]] = []
     for m in _MARKS.finditer(block):
         mark = m.group()
-        if mark[0] in ";;" and (m.start() in entities or not re.search(r"\p{Greek}", block[max(0, m.start() - 30) : m.start()])):
+        if mark[0] in ";;" and (m.start() in entities or not _GREEK.search(block, max(0, m.start() - 30), m.start())):
             continue
         cuts.append((m.start(), mark, m.end()))
-    gaps = [(m.start("gap"), m.end("gap")) for m in _THAI_SPACE.finditer(block)] if re.search(r"[฀-๿]", block) else []
+    gaps = [(m.start("gap"), m.end("gap")) for m in _THAI_SPACE.finditer(block)] if _THAI.search(block) else []
     if not cuts and not gaps:
         return
     pairs = sorted(_pair_up(block))
@@ -210,9 +218,9 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
                 return
         kind = _kind(mark[: core - at])
         after = rest if rest.isascii() and "<" not in rest and "&" not in rest else _INVISIBLE.sub("", _NOISE.sub("", rest))
-        before = _INVISIBLE.sub("", block[max(last, edge - _REACH) : edge])
+        before = block[max(last, edge - _REACH) : edge]
         if not (before.isascii() and after.isascii()):
-            before, after = unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", after)
+            before, after = unicodedata.normalize("NFC", _INVISIBLE.sub("", before)), unicodedata.normalize("NFC", after)
         if last >= edge - _REACH:
             before = before.lstrip()
         elif edge - _REACH > 0:
@@ -220,8 +228,11 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
         opened = closing.get(edge - 1) if edge > core else None
         if opened is not None and kind == "。" and block[opened] in _BRACKETS and block[last:opened].strip():
             continue  # a remark in brackets within a sentence
-        for breaks, left, right in _RULES[kind]:
-            if (left is None or left.search(before)) and (right is None or right.match(after)):
+        word = _LAST_WORD.search(before)
+        word = word.group(1) if word else ""
+        for breaks, left, right, only in _RULES[kind]:
+            # What follows is looked at first: it fails at once where what comes before must be searched.
+            if (only is None or word in only) and (right is None or right.match(after)) and (left is None or left.search(before)):
                 if breaks:
                     yield start + edge
                     last = edge
