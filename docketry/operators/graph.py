@@ -264,3 +264,22 @@ def readiness(spark, folder):
     wanted = F.array(F.lit("10-K"), F.lit("10-Q"), F.lit("8-K"))
     have = _model(spark, folder)[1].groupBy("ticker").agg(F.size(F.array_intersect(F.collect_set("filing_type"), wanted)).alias("n"))
     return have.agg(F.count("*").alias("companies"), F.count_if(F.col("n") == 3).alias("ready")).withColumn("is_ready", F.col("ready") >= 0.8 * F.col("companies"))
+
+
+@query("collection_summary", f"""{MODEL_SQL}, t as (select ticker, count(*) as filings, count(distinct filing_type) as types from filing_once group by ticker), k as (select count(distinct filing_type) as types from filing_once)
+    select count(*) as companies, sum(filings)::bigint as filings, any_value(k.types) as types, count(*) >= 10 and sum(filings) >= 200 and any_value(k.types) >= 8 as complete, count(*) filter (t.types >= 2) >= 0.7 * count(*) as processed from t, k""")
+def collection_summary(spark, folder):
+    """Companies, filings and types collected against their targets (10, 200 and 8), and whether
+    seven in ten companies have filings of at least two types."""
+    filed = _model(spark, folder)[1]
+    types = filed.agg(F.countDistinct("filing_type").alias("types"))
+    per = filed.groupBy("ticker").agg(F.count("*").alias("filings"), F.countDistinct("filing_type").alias("own"))
+    total = per.agg(F.count("*").alias("companies"), F.sum("filings").alias("filings"), F.count_if(F.col("own") >= 2).alias("__several")).crossJoin(F.broadcast(types))
+    complete = (F.col("companies") >= 10) & (F.col("filings") >= 200) & (F.col("types") >= 8)
+    return total.select("companies", "filings", "types", complete.alias("complete"), (F.col("__several") >= 0.7 * F.col("companies")).alias("processed"))
+
+
+@query("documents_by_source", "select lower(trim(source)) as source, count(*) as documents, count(distinct ticker) as companies, count(*) filter (text is null or text = '') as blank, max(n_chars) as longest from documents group by 1")
+def documents_by_source(spark, folder):
+    rows = table(spark, folder, "documents").withColumn("source", F.lower(F.trim("source")))
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.countDistinct("ticker").alias("companies"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"), F.max("n_chars").alias("longest"))

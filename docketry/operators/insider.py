@@ -206,3 +206,45 @@ def form_text(spark, folder):
     rows = _rows(spark, folder).filter("length(transaction_type) = 1 and shares >= 0 and price >= 0 and shares < 1e7 and price < 1e6 and shares = floor(shares)")
     line = F.concat_ws(" ", c("transaction_date"), c("transaction_type"), F.concat(F.format_number(c("shares").cast("bigint"), 0)), F.concat(F.lit("$"), c("price").cast("string")))
     return text_transactions(rows.select("transaction_id", line.alias("content")), "content", ["transaction_id"])
+
+
+# ---- owners and issuers named in plain text
+
+#: What stands before a name, a title, a symbol and a company, and what ends it; the first that matches counts.
+NAME_LEADS = [("name", r"\n|title|officer"), (r"reporting\s+person", r"\n|title"), ("insider", r"\n|title")]
+TITLE_LEADS = [("title", r"\n|date|transaction"), ("officer", r"\n|date|transaction"), ("position", r"\n|date|transaction")]
+SYMBOL_LEADS = [("ticker", r"\s|\n|symbol"), ("symbol", r"\s|\n|exchange"), (r"trading\s+symbol", "")]
+COMPANY_LEADS = [("company", r"\n|ticker|symbol"), ("issuer", r"\n|ticker|symbol"), ("corporation", r"\n|ticker")]
+
+
+def _led(text: Column, leads: list[tuple[str, str]], body: str) -> Column:
+    """The first lead's text that matches, trimmed; empty if none does."""
+    tries = [F.nullif(F.trim(F.regexp_extract(text, f"(?i){lead}[:\\s]*({body})" + (f"(?:{end})" if end else ""), 1)), F.lit("")) for lead, end in leads]
+    return F.coalesce(*tries, F.lit(""))
+
+
+def text_parties(forms: DataFrame, content: str, keep: list[str]) -> DataFrame:
+    """Owner, title, symbol and company of forms in plain text; what is not named is empty."""
+    t = F.col(content)
+    return forms.select(
+        *keep, _led(t, NAME_LEADS, r"[A-Z][a-zA-Z\s,\.]+?").alias("executive_name"), standard_title(_led(t, TITLE_LEADS, r"[A-Za-z\s,\.]+?")).alias("executive_title"),
+        F.upper(_led(t, SYMBOL_LEADS, "[A-Z]{1,5}")).alias("company_ticker"), _led(t, COMPANY_LEADS, r"[A-Z][a-zA-Z\s,\.&]+?").alias("company_name"), form_type(t).alias("form_type"),
+    )
+
+
+@query("form_parties", """select transaction_id, executive_name, company_ticker from insider_transaction
+    where regexp_full_match(executive_name, '[A-Z][a-z]+ [A-Z][a-z]+') and regexp_full_match(company_ticker, '[A-Z]{1,5}')""")
+def form_parties(spark, folder):
+    """Owners and symbols written into a text form and found again."""
+    rows = _rows(spark, folder).filter(F.col("executive_name").rlike("^[A-Z][a-z]+ [A-Z][a-z]+$") & F.col("company_ticker").rlike("^[A-Z]{1,5}$"))
+    form = F.concat(F.lit("Form 4\nReporting person: "), "executive_name", F.lit("\nTrading symbol: "), "company_ticker", F.lit(" \n"))
+    return text_parties(rows.select("transaction_id", form.alias("content")), "content", ["transaction_id"]).select("transaction_id", "executive_name", "company_ticker")
+
+
+@query("insider_totals", f"""select count(*) as transactions, count(distinct executive_name) as executives, round(avg(abs(shares)), 4) as mean_shares, count(*) filter ({_KIND} in {_BUY}) as purchases, count(*) filter ({_KIND} in {_SELL}) as sales, sum(abs({_VALUE})) as value from insider_transaction""")
+def insider_totals(spark, folder):
+    kind = transaction_name(F.col("transaction_type"))
+    return _rows(spark, folder).agg(
+        F.count("*").alias("transactions"), F.countDistinct("executive_name").alias("executives"), F.round(F.avg(F.abs("shares")), 4).alias("mean_shares"),
+        F.count_if(kind.isin(*BUYS)).alias("purchases"), F.count_if(kind.isin(*SELLS)).alias("sales"), F.sum(F.abs(value_of(F.col("shares"), F.col("price")))).alias("value"),
+    )

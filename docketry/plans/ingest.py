@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators import graph
+from docketry.functions.text import clean as clean_text
+from docketry.functions.text import compact
+from docketry.operators import content, graph, structure
 from docketry.tables import table
 
 
@@ -54,3 +56,14 @@ def load_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     saved = spark.read.parquet(path)
     first = saved.select("documents").first()
     return saved.drop("documents"), first[0] if first else 0
+
+
+def process_documents(docs: DataFrame, key: str, text: str, form: str, limit: int = 8000, overlap: int = 400) -> DataFrame:
+    """(key, section, chunk_no, chunk_id, chunk): raw texts cleaned, cut at the headings of their
+    form and then into overlapping windows. A text without known headings is one section."""
+    clean = docs.select(key, F.col(form).alias("form"), compact(clean_text(F.col(text))).alias("__t"))
+    named = structure.filing_sections(clean, key, "__t", "form").select(key, "section", "content")
+    rest = clean.join(named.select(key).distinct(), key, "left_anti").filter(F.length("__t") > 0).select(key, F.concat(F.col("form"), F.lit("_content")).alias("section"), F.col("__t").alias("content"))
+    each = named.unionByName(rest).withColumn("__k", F.struct(key, "section"))
+    cut_up = content.overlapping_chunks(each, "__k", "content", limit, overlap)
+    return cut_up.select(F.col(f"__k.{key}").alias(key), F.col("__k.section").alias("section"), "chunk_no", content.chunk_id(F.col(f"__k.{key}").cast("string"), F.col("__k.section"), F.col("chunk_no").cast("string")).alias("chunk_id"), "chunk")

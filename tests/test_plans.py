@@ -101,3 +101,11 @@ def test_structure_and_embedder(spark):
     assert [r["section"] for r in structure.filing_sections(q, "k", "t", "f").orderBy("begin_at").collect()] == ["Part I Item 2", "Part II Item 6"]
     vectors = spark.createDataFrame([("revenue grew strongly",), ("revenue grew strongly",), (" ",), (None,)], "t string").select(hashing(16)("t").alias("v")).collect()
     assert vectors[0]["v"] == vectors[1]["v"] and len(vectors[0]["v"]) == 16 and vectors[2]["v"] is None and vectors[3]["v"] is None
+
+
+def test_process_documents(spark):
+    body = "word " * 50
+    df = spark.createDataFrame([(1, f"<p>Item 1. Business</p>{body}<b>Item 2. Properties</b> {body}", "10-K"), (2, "plain &amp; short", "10-K"), (3, None, "10-K")], "k int, t string, f string")
+    got = ingest.process_documents(df, "k", "t", "f", 120, 10).orderBy("k", "section", "chunk_no").collect()
+    assert {(r["k"], r["section"]) for r in got} == {(1, "Item 1"), (1, "Item 2"), (2, "10-K_content")}
+    assert max(len(r["chunk"]) for r in got) <= 120 and len({r["chunk_id"] for r in got}) == len(got) and all(len(r["chunk_id"]) == 16 for r in got)
