@@ -138,6 +138,7 @@ def _compile() -> dict[str, list[tuple]]:
 
 _RULES = _compile()
 _REACH = 48
+_ABBREVIATED = frozenset().union(*map(_last_parts, [*INNER.values(), *OUTER.values()]))
 _GREEK = re.compile(r"\p{Greek}")
 _THAI = re.compile(r"[฀-๿]")
 _LAST_WORD = re.compile(rf"([\p{{L}}\p{{M}}\p{{N}}]*)\.[{_CLOSE}“]*$")
@@ -230,6 +231,11 @@ def _prose(text: str, start: int, end: int) -> Iterator[int]:
             continue  # a remark in brackets within a sentence
         word = _LAST_WORD.search(before)
         word = word.group(1) if word else ""
+        if kind == "." and len(word) > 2 and word.islower() and word not in _ABBREVIATED and edge == stop and after[:1].isspace() and after.lstrip()[:1].isupper():
+            # The plain end, which no exception covers: a lower-case word that is no abbreviation, then space and a capital.
+            yield start + edge
+            last = edge
+            continue
         for breaks, left, right, only in _RULES[kind]:
             # What follows is looked at first: it fails at once where what comes before must be searched.
             if (only is None or word in only) and (right is None or right.match(after)) and (left is None or left.search(before)):
