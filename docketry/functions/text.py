@@ -51,11 +51,16 @@ def is_good_content(text: Column) -> Column:
 CLEANING = [r"(?is)<(script|style)\b.*?</\1\s*>", r"<[^>]+>", r"&[A-Za-z]+;|&#[0-9]+;", r"[ \t\r\n]+", r"[-_=]{4,}"]
 
 
+def strip(text: Column) -> Column:
+    """Without space characters of Unicode at both ends."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def clean(text: Column) -> Column:
     """Markup, entities and runs of white space or rules replaced by single spaces, trimmed."""
     for pattern in CLEANING:
         text = F.regexp_replace(text, pattern, " ")
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return strip(F.regexp_replace(text, " +", " "))
 
 
 def compact(text: Column) -> Column:
@@ -63,7 +68,7 @@ def compact(text: Column) -> Column:
     text = F.regexp_replace(text, r"[ \t\r\n]+", " ")
     text = F.regexp_replace(text, r"\.{3,}", "...")
     text = F.regexp_replace(text, r"-{3,}", "---")
-    return F.trim(F.regexp_replace(text, "(?i)table of contents", ""))
+    return strip(F.regexp_replace(text, "(?i)table of contents", ""))
 
 
 def truncated(text: Column, most_bytes: int) -> Column:
