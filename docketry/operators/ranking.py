@@ -12,9 +12,16 @@ from docketry.registry import query
 from docketry.tables import table
 
 
-def first_per_group(df: DataFrame, group: list[str], order: list, n) -> DataFrame:
-    """The first ``n`` rows (a number or a column) of each group; Spark prunes by rank in the map stage."""
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("__rank") <= n).drop("__rank")
+def first_per_group(df: DataFrame, group: list[str], order: list, n, most: int | None = None) -> DataFrame:
+    """The first ``n`` rows (a number or a column) of each group.
+
+    With a number, or with ``most`` as the largest value of the column, Spark prunes by rank
+    before the shuffle, so a group that holds most rows sends only a few from each task.
+    """
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    if most is not None:
+        ranked = ranked.filter(F.col("__rank") <= most)
+    return ranked.filter(F.col("__rank") <= n).drop("__rank")
 
 
 def within_budget(df: DataFrame, group: list[str], order: list, cost, budget: int) -> DataFrame:
@@ -39,7 +46,7 @@ def _values(caps: dict[str, int]) -> str:
     qualify row_number() over (partition by f.ticker, f.filing_type order by filing_date desc nulls last, filing_id) <= max(c.cap) over (partition by f.ticker, f.filing_type)""")
 def filing_caps(spark, folder):
     filed = _model(spark, folder)[1].join(F.broadcast(caps_table(spark, fixed.FILING_CAPS)), "filing_type")
-    return first_per_group(filed, ["ticker", "filing_type"], [F.desc_nulls_last("filing_date"), "filing_id"], F.col("cap")).select("filing_id", "ticker", "filing_type", "filing_date")
+    return first_per_group(filed, ["ticker", "filing_type"], [F.desc_nulls_last("filing_date"), "filing_id"], F.col("cap"), max(fixed.FILING_CAPS.values())).select("filing_id", "ticker", "filing_type", "filing_date")
 
 
 @query("section_caps", f"""{MODEL_SQL}, {_values(fixed.SECTION_CAPS)}
@@ -48,7 +55,7 @@ def filing_caps(spark, folder):
 def section_caps(spark, folder):
     filed = _model(spark, folder)[1].join(F.broadcast(caps_table(spark, fixed.SECTION_CAPS)), "filing_type", "left").select("filing_id", "filing_type", F.coalesce("cap", F.lit(3)).alias("cap"))
     joined = sections_once(spark, folder, "filing_id", "chunk_index").join(filed, "filing_id")
-    return first_per_group(joined, ["filing_id"], [F.asc_nulls_last("chunk_index"), "section_id"], F.col("cap")).select("section_id", "filing_id", "filing_type")
+    return first_per_group(joined, ["filing_id"], [F.asc_nulls_last("chunk_index"), "section_id"], F.col("cap"), max(3, *fixed.SECTION_CAPS.values())).select("section_id", "filing_id", "filing_type")
 
 
 @query("type_limits", f"""{MODEL_SQL} select filing_id, ticker, filing_type from (

@@ -187,10 +187,11 @@ def batch_search(counts: DataFrame, documents: int, questions: DataFrame, questi
     Questions meet documents by their terms only; each pair is scored by the terms it shares.
     """
     asked = questions.select(F.col(question).alias("question"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    wanted = counts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    # No side has a known bound, so the joins are left to the statistics at run time.
+    wanted = counts.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    known = asked.join(F.broadcast(df), "term").withColumn("idf", F.log(F.lit(documents) / F.col("df")))
-    scored = wanted.join(F.broadcast(known), "term").groupBy("question", key).agg(F.round(F.sum("idf"), 6).alias("score"))
+    known = asked.join(df, "term").withColumn("idf", F.log(F.lit(documents) / F.col("df")))
+    scored = wanted.join(known, "term").groupBy("question", key).agg(F.round(F.sum("idf"), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
