@@ -24,22 +24,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with ``checkpoint()`` in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``. Where it is unset, as in tests, a local
-    master gets a folder of its own; on a cluster that is an error, because executors
-    share no machine-local folder.
+    Where it is unset, as in tests, a local master gets a folder of its own; on a cluster that
+    is an error, because executors share no machine-local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="docketry-shared-")
+    return _own_folders[context.applicationId]
+
+
+_own_folders: dict[str, str] = {}
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` with ``checkpoint()`` in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="docketry-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

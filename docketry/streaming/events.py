@@ -6,13 +6,13 @@ Sink and checkpoint lie in the shared folder of ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.registry import query
+from docketry.session import shared_folder
 
 
 def events_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
@@ -29,8 +29,7 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> D
 def run_available(result: DataFrame) -> DataFrame:
     """Process everything that is there, then return the final table."""
     spark = result.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docketry-stream-")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/table")
