@@ -74,3 +74,54 @@ def fact_vector(concept: Column, value: Column, period: Column) -> Column:
     slots = F.array(*(F.when(kind == n, 1.0).otherwise(0.0) for n in names))
     size = F.array(*(scaled(value) * (0.8**i) for i in range(5)))
     return F.when(concept.isNotNull(), F.concat(slots, size, period_code(period_end(period)), name_code(bare_concept(concept))))
+
+
+KEYWORDS = list(dict.fromkeys(k for _, keys in CATEGORIES for k in keys))
+
+
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, not at every place where it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def text_concepts(text: Column) -> Column:
+    """The known keywords within a text, in their fixed order."""
+    return _with(F.lower(text), lambda low: F.filter(F.array(*(F.lit(k) for k in KEYWORDS)), lambda k: low.contains(k)))
+
+
+def category_ratios(text: Column) -> dict[str, Column]:
+    """The share of each category's keywords that a text contains."""
+    low = F.lower(text)
+    out = {}
+    for label, keys in CATEGORIES:
+        hits = F.lit(0)
+        for k in keys:
+            hits = hits + F.when(low.contains(k), 1).otherwise(0)
+        out[label] = hits / float(len(keys))
+    return out
+
+
+#: Length of a fact vector: categories, value slots, period code, name code.
+WIDTH = len(CATEGORIES) + 5 + 13 + 27
+
+
+def keyword_vector(keyword: str) -> list[float]:
+    """The fact vector of a keyword with value 1 and no date, as a constant."""
+    label = next(name for name, keys in CATEGORIES if any(k in keyword for k in keys))
+    slots = [1.0 if name == label else 0.0 for name, _ in CATEGORIES]
+    letters = [keyword.count(chr(97 + i)) / len(keyword) for i in range(26)]
+    return [*slots, *[0.0] * 18, min(len(keyword) / 100.0, 1.0), *letters]
+
+
+def text_vector(text: Column) -> Column:
+    """The mean of the vectors of the concepts named in a text, each with value 1 and no date;
+    without any, the category ratios and the length over 1000 (at most 1), padded with zeros."""
+    known = F.create_map(*(c for k in KEYWORDS for c in (F.lit(k), F.array(*map(F.lit, keyword_vector(k))))))
+    zeros = F.array_repeat(F.lit(0.0), WIDTH)
+
+    def mean(found: Column) -> Column:
+        total = F.aggregate(found, zeros, lambda acc, k: F.zip_with(acc, F.element_at(known, k), lambda a, b: a + b))
+        return F.when(F.size(found) > 0, _with(F.size(found), lambda n: F.transform(total, lambda x: x / n)))
+
+    plain = F.concat(F.array(*category_ratios(text).values(), F.least(F.length(text) / 1000.0, F.lit(1.0))), F.array_repeat(F.lit(0.0), WIDTH - len(CATEGORIES) - 1))
+    return F.when(text.isNotNull(), F.coalesce(_with(text_concepts(text), mean), plain))

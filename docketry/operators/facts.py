@@ -83,3 +83,42 @@ def fact_vector_size(spark, folder):
     c = F.col
     size = F.size(xbrl.fact_vector(F.coalesce(c("concept"), F.lit("")), c("value"), c("period")))
     return table(spark, folder, "xbrl_fact").groupBy(c("concept").isNull().alias("missing")).agg(F.count("*").alias("facts"), F.max(size).alias("size"))
+
+
+@query("text_categories", "select load_id, " + ", ".join("round((" + " + ".join(f"contains(lower(content), '{k}')::int" for k in keys) + f") / {float(len(keys))}, 6) as {label}" for label, keys in CONCEPT_CATEGORIES.items()) + " from filing_section where content is not null")
+def text_categories(spark, folder):
+    rows = table(spark, folder, "filing_section").filter("content is not null")
+    return rows.select("load_id", *(F.round(c, 6).alias(n) for n, c in xbrl.category_ratios(F.col("content")).items()))
+
+
+@query("text_vectors")
+def text_vectors(spark, folder):
+    return table(spark, folder, "filing_section").select("load_id", xbrl.text_vector(F.col("content")).alias("vector"))
+
+
+_SCALED = "case when abs(coalesce(value, 0)) >= 1 then sign(value) * log10(abs(value)) / 10 else coalesce(value, 0.0) end"
+
+
+@query("filing_vector_weights", f"""select accession_number, count(*) as facts, round(sum(abs({_SCALED}) + 0.1), 6) as weight, round(sum({_SCALED} * (abs({_SCALED}) + 0.1)) / sum(abs({_SCALED}) + 0.1), 6) as mean_scaled
+    from xbrl_fact where concept is not null group by 1""")
+def filing_vector_weights(spark, folder):
+    """The first value slot of each filing's weighted mean vector, with the weights' sum."""
+    rows = table(spark, folder, "xbrl_fact").filter("concept is not null").select("accession_number", xbrl.scaled(F.col("value")).alias("s"))
+    w = F.abs("s") + 0.1
+    return rows.groupBy("accession_number").agg(F.count("*").alias("facts"), F.round(F.sum(w), 6).alias("weight"), F.round(F.sum(F.col("s") * w) / F.sum(w), 6).alias("mean_scaled"))
+
+
+def filing_vectors(facts: DataFrame) -> DataFrame:
+    """(accession_number, vector): the mean of a filing's fact vectors, weighted by value size.
+
+    Elements are aggregated by place, so no task holds a filing's vectors together.
+    """
+    c = F.col
+    rows = facts.filter("concept is not null").select("accession_number", (F.abs(xbrl.scaled(c("value"))) + 0.1).alias("w"), F.posexplode(xbrl.fact_vector(c("concept"), c("value"), c("period"))).alias("i", "x"))
+    means = rows.groupBy("accession_number", "i").agg((F.sum(c("x") * c("w")) / F.sum("w")).alias("x"))
+    return means.groupBy("accession_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
+
+
+@query("filing_vectors")
+def filing_vectors_query(spark, folder):
+    return filing_vectors(table(spark, folder, "xbrl_fact"))

@@ -101,3 +101,21 @@ def test_questions():
     q = read_question("Compare Acme (ACM) annual filings 2023", names)
     assert (q.tickers, q.filing_types, q.years, q.kind) == (["ACM"], ["10-K"], ["2023"], "single")
     assert read_question("Compare Acme and Bolt", names).kind == "comparison" and read_question("hello", names).filing_types == ["10-K", "10-Q"]
+
+
+def test_text_vectors(spark):
+    assert one(spark, xbrl.text_concepts(F.lit("Total assets and goodwill"))) == ["assets", "goodwill"]
+    v = one(spark, xbrl.text_vector(F.lit("assets and goodwill")))
+    single = [one(spark, xbrl.fact_vector(F.lit(k), F.lit(1.0), F.lit(None).cast("string"))) for k in ("assets", "goodwill")]
+    assert v == pytest.approx([(a + b) / 2 for a, b in zip(*single)]) and len(v) == xbrl.WIDTH
+    plain = one(spark, xbrl.text_vector(F.lit("x" * 500)))
+    assert plain[:9] == [0.0] * 8 + [0.5] and len(plain) == xbrl.WIDTH
+    assert one(spark, xbrl.text_vector(F.lit(None).cast("string"))) is None
+
+
+def test_filing_vectors(spark):
+    from docketry.operators.facts import filing_vectors
+
+    df = spark.createDataFrame([("a", "Assets", 10.0, None), ("a", "Assets", 1000.0, None), ("b", None, 1.0, None)], "accession_number string, concept string, value double, period string")
+    got = filing_vectors(df).collect()
+    assert len(got) == 1 and got[0]["vector"][8] == pytest.approx((0.1 * 0.2 + 0.3 * 0.4) / 0.6)
