@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 from docketry.session import cut, spread
 
 BLOCK = 2048
+#: Vectors in one block of an exhaustive search, about.
+HOME = 16384
+#: Most rows that a task hands on at once when every block is visited.
+HANDED = 65536
 
 
 def decode_compressed(text: str | None, width: int) -> np.ndarray | None:
@@ -240,12 +244,16 @@ class Forest:
 
 def neighbours(
     vectors: DataFrame, k: int = 5, trees: int = 5, leaf: int = 1024, probes: int = 10, least_cosine: float = -1.0,
-    queries: DataFrame | None = None, sample: int = 16384, seed: int = 7,
+    queries: DataFrame | None = None, sample: int = 16384, seed: int = 7, exhaustive: bool = False,
 ) -> DataFrame:
     """(id_a, id_b, cosine, rank): the k nearest other ids of every id, or of every id in
     ``queries`` (one column, id). With ``least_cosine`` only neighbours that reach it are sought:
     a neighbour's rank depends on nearer ones alone, so ranks stay what they are.
 
+    ``exhaustive`` compares with all vectors instead, in blocks of about ``HOME`` of them that
+    every query visits; nothing is then lost, whatever the size, and the work is the product of
+    both numbers.
+
     ``vectors`` has (id, print, vector) as the readers above give them.
     """
     spark = vectors.sparkSession
@@ -256,22 +264,30 @@ def neighbours(
     count = bodies.count()
     if count == 0:
         return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, cosine double, rank int")
-    # A bounded sample, the same in every run: prints are hashes, so those below a line hold
-    # about ``sample`` vectors wherever they lie.
-    line = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample / count)))
-    picked = bodies.filter(F.col("print") <= line).select("vector").limit(2 * sample).collect() or bodies.select("vector").limit(1).collect()
-    fitted = _unit(np.frombuffer(b"".join(r[0] for r in picked), np.float32).reshape(len(picked), -1)).astype(np.float32)
-    depth = max(0, math.ceil(math.log2(max(1, count / leaf))))
+    blocks = math.ceil(count / HOME) if exhaustive else 0
+    depth = 0 if exhaustive else max(0, math.ceil(math.log2(max(1, count / leaf))))
+    fitted = None
+    if depth:
+        # A bounded sample, the same in every run: prints are hashes, so those below a line hold
+        # about ``sample`` vectors wherever they lie.
+        line = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample / count)))
+        picked = bodies.filter(F.col("print") <= line).select("vector").limit(2 * sample).collect() or bodies.select("vector").limit(1).collect()
+        fitted = _unit(np.frombuffer(b"".join(r[0] for r in picked), np.float32).reshape(len(picked), -1)).astype(np.float32)
     forest = spark.sparkContext.broadcast(Forest.fit(fitted, trees, depth, seed) if depth else None)
-    everyone = queries is None
+    everyone = queries is None and not exhaustive
 
     def place(visit: bool, skip: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, len(batch), BLOCK):
-                    part = batch.slice(at, BLOCK)
+                step = max(1, min(BLOCK, HANDED // blocks)) if visit and exhaustive else BLOCK
+                for at in range(0, len(batch), step):
+                    part = batch.slice(at, step)
                     unit = _unit(_matrix(part.column(1))).astype(np.float32)
-                    if forest.value is None:
+                    if exhaustive and visit:
+                        keys = np.broadcast_to(np.arange(blocks), (len(part), blocks))
+                    elif exhaustive:
+                        keys = np.mod(part.column(0).to_numpy(), blocks)[:, None]
+                    elif forest.value is None:
                         keys = np.zeros((len(part), 1 - min(skip, 1)), np.int64)
                     else:
                         values = forest.value.values(unit)
@@ -296,6 +312,8 @@ def neighbours(
         # A vector is at home in the first leaf of each tree that its queue opens; there it
         # needs no visit.
         visiting = bodies.mapInArrow(place(True, trees), shape) if probes > trees else None
+    elif queries is None:
+        visiting = bodies.mapInArrow(place(True, 0), shape)
     else:
         wanted = members.join(queries.select(F.col(queries.columns[0]).alias("id")).distinct(), "id", "left_semi").select("print").distinct()
         visiting = bodies.join(wanted, "print", "left_semi").mapInArrow(place(True, 0), shape)
@@ -391,6 +409,6 @@ def neighbours(
     same = several.select(F.col("print").alias("print_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"))
     nearest = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cosine"), "id_b"))
     around = other.unionByName(same).withColumn("__n", nearest("print_a")).filter(F.col("__n") <= k + 1).select("print_a", "id_b", "cosine")
-    asking = members if everyone else members.join(queries.select(F.col(queries.columns[0]).alias("id")).distinct(), "id", "left_semi")
+    asking = members if queries is None else members.join(queries.select(F.col(queries.columns[0]).alias("id")).distinct(), "id", "left_semi")
     found = asking.select(F.col("id").alias("id_a"), F.col("print").alias("print_a")).join(around, "print_a").filter("id_a <> id_b")
     return found.withColumn("rank", nearest("id_a")).filter(F.col("rank") <= k).select("id_a", "id_b", "cosine", "rank")

@@ -60,6 +60,29 @@ def test_threshold_keeps_ranks_and_queries_limit(spark, clustered):
     assert [r["id_b"] for r in some.filter("id_a = 'v00_0'").orderBy("rank").collect()] == truth["v00_0"]
 
 
+def test_exhaustive_search_misses_nothing_at_any_size(spark, monkeypatch):
+    """Far neighbours, many blocks: the index with its probes fixed misses some of them."""
+    rng = np.random.default_rng(4)
+    named = {f"r{i:04}": rng.standard_normal(16).round(4).tolist() for i in range(3000)}
+    monkeypatch.setattr(forest, "HOME", 100)
+    monkeypatch.setattr(forest, "HANDED", 200)
+    vectors = forest.compressed_vectors(table_of(spark, named), "section_id", "embedding_compressed", 16)
+    asked = spark.createDataFrame([(f"r{i:04}",) for i in range(0, 3000, 60)], "q string")
+    matrix = np.array(list(named.values()))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    truth = {f"r{i:04}": [f"r{j:04}" for j in np.argsort(-(matrix @ matrix[i]))[1:6]] for i in range(0, 3000, 60)}
+
+    def recall(**how):
+        got = {}
+        for r in forest.neighbours(vectors, k=5, queries=asked, **how).orderBy("id_a", "rank").collect():
+            got.setdefault(r["id_a"], []).append(r["id_b"])
+        assert len(got) == 50
+        return sum(len(set(got[a]) & set(truth[a])) for a in got) / 250
+
+    assert recall(exhaustive=True) == 1.0
+    assert recall(trees=4, leaf=32, probes=8) < 0.9
+
+
 def test_copies_ties_and_unusable(spark):
     named = {f"c{i}": [1.0, 2.0, 3.0, 4.0] for i in range(9)} | {"far": [4.0, -3.0, 2.0, -1.0], "scaled": [2.0, 4.0, 6.0, 8.1]}
     data = [(k, pack(v)) for k, v in named.items()]
