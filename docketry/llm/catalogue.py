@@ -32,8 +32,8 @@ def p1_found(spark, folder):
 
 @_query
 def p1_groups(spark, folder):
-    pairs, members = pigeonring.similar_pairs(table(spark, folder, "filing_section"), "section_id", "content", similarity=0.8, k=5, least_words=5)
-    return pigeonring.groups(pairs, members).withColumnRenamed("id", "section_id")
+    found = pigeonring.similar_groups(table(spark, folder, "filing_section"), "section_id", "content", similarity=0.8, k=5, least_words=5)
+    return found.withColumnRenamed("id", "section_id")
 
 
 def _p2_sql(columns: str) -> str:

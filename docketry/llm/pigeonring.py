@@ -25,13 +25,15 @@ Steps, each a Spark job over all rows:
 Documents with the same set are one representative until the end. Per task each set emits
 its keys once, however many copies there are.
 
-Defined cases: null, empty and short texts (fewer than ``least_words`` words) pair with
-nothing; repeated deliveries of one id count once; ids that are null are left out.
+Defined cases: null, empty and short texts (fewer than ``least_words`` words, or than k) pair
+with nothing; in groups those with the same words are copies of each other, null being a text
+without words; repeated deliveries of one id count once; ids that are null are left out.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -55,6 +57,7 @@ GROUP = 4096
 #: Rows that are paired in one go.
 ROWS = 100_000
 BITMAP = 1 << 23
+WORD = re.compile("[a-z0-9]+")
 
 
 def token_histogram(texts: DataFrame, k: int, least_words: int) -> np.ndarray:
@@ -208,12 +211,38 @@ def _pairing(t: Fraction, length: int):
     return run
 
 
+def _stub_print(text: str | None) -> int:
+    """A 64-bit print of the words of a text that has no shingles."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(" ".join(WORD.findall(text.lower())) if text else "", seed=1) - (1 << 63)
+
+
 def similar_pairs(documents: DataFrame, id_column: str, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1, chain: int = 4) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of near-duplicate texts.
 
     ``pairs`` has one row (print_a, print_b, shared, size_a, size_b) for each two different
     sets with at least the similarity; ``members`` has (print, id) for each distinct id.
     """
+    pairs, made = _pairs_and_prints(documents, id_column, text_column, similarity, k, least_words, chain)
+    return pairs, _members(made)
+
+
+def similar_groups(documents: DataFrame, id_column: str, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1, chain: int = 4) -> DataFrame:
+    """``groups`` of all ids, those of texts without shingles too: texts with the same few
+    words are one group without links."""
+    pairs, made = _pairs_and_prints(documents, id_column, text_column, similarity, k, least_words, chain)
+    members = _members(made)
+    stubs = made.filter("stub").join(members.select("id"), "id", "left_anti").groupBy("id").agg(F.min("print").alias("print"))
+    return groups(pairs, cut(members.unionByName(stubs)))
+
+
+def _members(made: DataFrame) -> DataFrame:
+    return made.filter("not stub").select("print", "id").distinct()
+
+
+def _pairs_and_prints(documents: DataFrame, id_column: str, text_column: str, similarity: float, k: int, least_words: int, chain: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, made): the pairs and (id, print, hashes, stub) of every text; a stub has no shingles."""
     t = Fraction(similarity).limit_denominator(1000)
     rest = (1 - t) / (1 + t)
     source = spread(documents.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), "id")
@@ -264,10 +293,15 @@ def similar_pairs(documents: DataFrame, id_column: str, text_column: str, simila
                     held.append(hashes[offsets[i] : offsets[i + 1]].tobytes())
                 else:
                     held.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(prints.view(np.int64)), pa.array(held, pa.binary())], names=["id", "print", "hashes"])
+            few = np.setdiff1d(np.arange(len(batch)), places)
+            index = pa.array(np.concatenate([places, few]), pa.int64())
+            stubs = np.array([_stub_print(t) for t in batch.column(1).take(pa.array(few, pa.int64())).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(index), pa.array(np.concatenate([prints.view(np.int64), stubs])), pa.array(held + [None] * len(few), pa.binary()), pa.array(np.arange(len(index)) >= len(places))],
+                names=["id", "print", "hashes", "stub"],
+            )
 
-    made = cut(source.mapInArrow(sets, f"id {source.schema['id'].dataType.simpleString()}, print long, hashes binary"))
-    members = made.select("print", "id").distinct()
+    made = cut(source.mapInArrow(sets, f"id {source.schema['id'].dataType.simpleString()}, print long, hashes binary, stub boolean"))
     bodies = made.filter("hashes is not null").groupBy("print").agg(F.first("hashes").alias("hashes"))
     joined = (
         candidates.join(bodies.select(F.col("print").alias("print_a"), F.col("hashes").alias("hashes_a")), "print_a")
@@ -292,7 +326,7 @@ def similar_pairs(documents: DataFrame, id_column: str, text_column: str, simila
             )
 
     pairs = joined.select("print_a", "print_b", "hashes_a", "hashes_b").mapInArrow(full_check, "print_a long, print_b long, shared int, size_a int, size_b int")
-    return cut(pairs), members
+    return cut(pairs), made
 
 
 def _bitmap(candidates: DataFrame) -> np.ndarray:

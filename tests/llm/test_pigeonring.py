@@ -126,3 +126,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(100, 101), (102, 101), (200, 300), (50, 50)]
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 31)) and got[100] == got[101] == got[102] == 100 and got[300] == 200
+
+
+def test_groups_have_a_row_for_every_id(spark):
+    long = "one two three four five six seven eight"
+    texts = [("a", long), ("b", long.upper()), ("s1", "Item 1. None"), ("s2", "item 1 none"), ("s3", "Other stub"), ("n", None), ("e", " \n"), ("p", "--"), ("a", None), ("s3", "Other stub"), (None, "x")]
+    df = spark.createDataFrame(texts, "section_id string, content string")
+    got = {r["id"]: r for r in pigeonring.similar_groups(df, "section_id", "content", 0.8, 5, 5).collect()}
+    assert {i: (r["links"], r["copies"]) for i, r in got.items()} == {"a": (0, 2), "b": (0, 2), "s1": (0, 2), "s2": (0, 2), "s3": (0, 1), "n": (0, 3), "e": (0, 3), "p": (0, 3)}
+    assert pigeonring.similar_groups(df, "section_id", "content", 0.8, 5, 5).count() == 8
+    assert len({r["group_id"] for r in got.values()}) == 4 and got["s1"]["group_id"] == got["s2"]["group_id"]
