@@ -68,42 +68,60 @@ def by_company(rows: DataFrame) -> DataFrame:
 
 # ---- forms as XML
 
+#: In this order, wherever they stand in the form.
+XML_PATHS = ["nonDerivativeTransaction", "derivativeTransaction", "transaction"]
+_XML_FIELDS = ["executive_name", "executive_title", "company_ticker", "transaction_date", "shares", "price", "code"]
+
+
+_XML_ROWS = "array<struct<part:int,place:int," + ",".join(f"{f}:string" for f in _XML_FIELDS) + ">>"
+
+
+def _xml_rows(content):
+    """The texts of every transaction element, each read within its element; None if malformed."""
+    from xml.etree import ElementTree
+
+    try:
+        root = ElementTree.fromstring(content.strip())
+    except ElementTree.ParseError:
+        return None
+
+    def text(element, name: str) -> str:
+        found = None if element is None else next((e for e in element.iter(name) if e is not element), None)
+        if found is None:
+            return ""
+        value = found.find("value")
+        return (found if value is None else value).text or ""
+
+    owner, issuer = next(root.iter("reportingOwner"), None), next(root.iter("issuer"), None)
+    form = (text(owner, "rptOwnerName"), text(owner, "officerTitle"), text(issuer, "issuerTradingSymbol"))
+    fields = ["transactionDate", "transactionShares", "transactionPricePerShare", "transactionCode"]
+    return [
+        (part, place, *form, *(text(element, f) for f in fields))
+        for part, path in enumerate(XML_PATHS) for place, element in enumerate(root.iter(path), 1)
+    ]
+
+
 def xml_transactions(forms: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """Transactions of ownership forms in XML, one row each, non-derivative ones first.
 
-    The first owner and the first issuer count. A field is its ``value`` child or itself;
-    missing figures are 0, missing texts empty, an unreadable figure drops the row. Forms that
-    are no ownership documents give no rows.
+    The first owner and the first issuer count. A field is its ``value`` child or itself, within
+    its own transaction; missing figures are 0, missing texts empty, an unreadable figure drops
+    the row. Malformed forms are read as plain text (part 3). Forms that are no ownership
+    documents give no rows.
     """
-    xml = forms.filter(F.col(content).rlike(r"^\s*<\?xml") | F.col(content).contains("<ownershipDocument>"))
-    paths = ["//nonDerivativeTransaction", "//derivativeTransaction"]
-
-    def texts(path: str) -> Column:
-        # One text per transaction: the value child where there is one.
-        return F.xpath(F.col(content), F.lit(path))
-
-    parts = None
-    for order, path in enumerate(paths):
-        own = xml.withColumn("__n", F.xpath_int(F.col(content), F.lit(f"count({path})")))
-        each = own.withColumn("__i", F.explode(F.when(F.col("__n") > 0, F.sequence(F.lit(1), F.col("__n")))))
-
-        def field(name: str, path=path) -> Column:
-            found = texts(f"{path}//{name}/value/text() | {path}//{name}[not(value)]/text()")
-            return F.coalesce(F.try_element_at(found, F.col("__i")), F.lit(""))
-
-        row = each.select(
-            *keep, F.lit(order).alias("part"), F.col("__i").alias("place"),
-            F.trim(F.xpath_string(F.col(content), F.lit("(//reportingOwner)[1]//rptOwnerName"))).alias("executive_name"),
-            standard_title(F.trim(F.xpath_string(F.col(content), F.lit("(//reportingOwner)[1]//officerTitle")))).alias("executive_title"),
-            F.upper(F.trim(F.xpath_string(F.col(content), F.lit("(//issuer)[1]//issuerTradingSymbol")))).alias("company_ticker"),
-            field("transactionDate").alias("transaction_date"),
-            F.expr("1").cast("double").alias("__one"),
-            F.when(field("transactionShares") == "", F.lit(0.0)).otherwise(field("transactionShares").try_cast("double")).alias("shares"),
-            F.when(field("transactionPricePerShare") == "", F.lit(0.0)).otherwise(field("transactionPricePerShare").try_cast("double")).alias("price"),
-            transaction_name(field("transactionCode")).alias("transaction_type"),
-        ).drop("__one")
-        parts = row if parts is None else parts.unionByName(row)
-    return parts.filter("shares is not null and price is not null")
+    xml = forms.filter(F.col(content).rlike(r"^\s*<\?xml") | F.col(content).contains("<ownershipDocument>")).withColumn("__t", F.udf(_xml_rows, _XML_ROWS, useArrow=True)(F.col(content)))
+    each = xml.filter("__t is not null").select(*keep, F.inline("__t"))
+    figure = lambda c: F.when(F.col(c) == "", F.lit(0.0)).otherwise(F.col(c).try_cast("double")).alias(c)
+    read = each.select(
+        *keep, "part", "place", F.trim("executive_name").alias("executive_name"), standard_title(F.trim("executive_title")).alias("executive_title"),
+        F.upper(F.trim("company_ticker")).alias("company_ticker"), "transaction_date", figure("shares"), figure("price"), transaction_name(F.col("code")).alias("transaction_type"),
+    )
+    parties = ["executive_name", "executive_title", "company_ticker"]
+    named = text_parties(xml.filter("__t is null").withColumn("__content", F.col(content)), "__content", [*keep, "__content"])
+    plain = text_transactions(named, "__content", [*keep, *parties]).select(
+        *keep, F.lit(3).alias("part"), "place", *parties, F.coalesce(F.col("transaction_date").cast("string"), F.lit("")).alias("transaction_date"), "shares", "price", "transaction_type",
+    )
+    return read.unionByName(plain).filter("shares is not null and price is not null")
 
 
 def form_type(text: Column) -> Column:
@@ -135,6 +153,30 @@ def as_xml(rows: DataFrame) -> DataFrame:
     ).alias("content"))
 
 
+def as_filings(rows: DataFrame) -> DataFrame:
+    """(accession_number, content): all rows of a filing in one ownership document, options among
+    the derivative ones, in order of their ids. Null fields are left out, so are prices of gifts;
+    owner and issuer are those of the first row."""
+    safe = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+    def element(name: str, value: Column) -> Column:
+        return F.coalesce(F.concat(F.lit(f"<{name}><value>"), value, F.lit(f"</value></{name}>")), F.lit(""))
+
+    kind = F.when(F.col("security_type") == "Option", "derivativeTransaction").otherwise("nonDerivativeTransaction")
+    priced = F.when(F.coalesce(F.col("transaction_type"), F.lit("")) != "Gift", safe("price"))
+    body = F.concat(
+        F.lit("<"), kind, F.lit(">"), element("transactionDate", safe("transaction_date")), element("transactionShares", safe("shares")),
+        element("transactionPricePerShare", priced), element("transactionCode", safe("transaction_type")), F.lit("</"), kind, F.lit(">"),
+    )
+    head = F.concat(
+        F.lit("<ownershipDocument><issuer>"), element("issuerTradingSymbol", safe("company_ticker")), F.lit("</issuer><reportingOwner>"),
+        element("rptOwnerName", safe("executive_name")), element("officerTitle", safe("executive_title")), F.lit("</reportingOwner>"),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("transaction_id", body.alias("body"), head.alias("head"))))
+    forms = rows.filter("accession_number is not null").groupBy("accession_number").agg(listed.alias("listed"))
+    return forms.select("accession_number", F.concat(F.col("listed")[0]["head"], F.array_join("listed.body", ""), F.lit("</ownershipDocument>")).alias("content"))
+
+
 # ---- SQL twins
 
 _NAME = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in TRANSACTION_CODES.items()) + " else {0} end"
@@ -198,6 +240,15 @@ def form_xml(spark, folder):
     return xml_transactions(as_xml(_rows(spark, folder)), "content", ["transaction_id"]).drop("part", "place")
 
 
+@query("form_xml_filings", f"""with r as (select *, case when security_type = 'Option' then 1 else 0 end as part from insider_transaction where accession_number is not null),
+    o as (select *, first_value(coalesce(trim(executive_name), '')) over f as owner, first_value(coalesce(upper(trim(company_ticker)), '')) over f as symbol from r window f as (partition by accession_number order by transaction_id))
+    select accession_number, part, row_number() over (partition by accession_number, part order by transaction_id) as place, owner as executive_name, symbol as company_ticker, coalesce(transaction_date, '') as transaction_date,
+    coalesce(shares, 0.0) as shares, case when transaction_type = 'Gift' then 0.0 else coalesce(price, 0.0) end as price, coalesce({_KIND}, '') as transaction_type from o""")
+def form_xml_filings(spark, folder):
+    """Whole filings of several transactions of both kinds, fields left out, read back."""
+    return xml_transactions(as_filings(_rows(spark, folder)), "content", ["accession_number"]).drop("executive_title")
+
+
 @query("form_text", f"""select transaction_id, 1 as place, {_DATE.format('transaction_date')} as transaction_date, {_KIND} as transaction_type, shares, price from insider_transaction
     where regexp_matches(transaction_date, '^([0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})$') and length(transaction_type) = 1 and contains('PSAGFMXDBCEIHJKLOUV', upper(transaction_type)) and shares >= 0 and price >= 0 and shares < 1e7 and price < 1e6 and shares = floor(shares)""")
 def form_text(spark, folder):

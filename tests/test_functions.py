@@ -119,3 +119,13 @@ def test_filing_vectors(spark):
     df = spark.createDataFrame([("a", "Assets", 10.0, None), ("a", "Assets", 1000.0, None), ("b", None, 1.0, None)], "accession_number string, concept string, value double, period string")
     got = filing_vectors(df).collect()
     assert len(got) == 1 and got[0]["vector"][8] == pytest.approx((0.1 * 0.2 + 0.3 * 0.4) / 0.6)
+
+
+def test_xml_fields_stay_with_their_transaction(spark):
+    one = "<{0}><transactionDate><value>{1}</value></transactionDate>{2}</{0}>"
+    price = "<transactionPricePerShare><value>{}</value></transactionPricePerShare>"
+    body = one.format("nonDerivativeTransaction", "2024-01-01", "") + one.format("nonDerivativeTransaction", "2024-01-02", price.format(7)) + one.format("transaction", "2024-01-04", price.format(9)) + one.format("derivativeTransaction", "2024-01-03", price.format(8))
+    broken = "<ownershipDocument>\nReporting person: Ann Lee\n2024-02-03 P 100 $5.50 <b>"
+    df = spark.createDataFrame([(1, f"<ownershipDocument>{body}</ownershipDocument>"), (2, broken)], "i int, content string")
+    got = sorted(tuple(r) for r in insider.xml_transactions(df, "content", ["i"]).select("i", "part", "place", "transaction_date", "shares", "price", "executive_name").collect())
+    assert got == [(1, 0, 1, "2024-01-01", 0.0, 0.0, ""), (1, 0, 2, "2024-01-02", 0.0, 7.0, ""), (1, 1, 1, "2024-01-03", 0.0, 8.0, ""), (1, 2, 1, "2024-01-04", 0.0, 9.0, ""), (2, 3, 1, "2024-02-03", 100.0, 5.5, "Ann Lee")]
