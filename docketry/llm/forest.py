@@ -8,11 +8,15 @@ nodes cut at the centre of the last part of the sample known above them. A query
 branch not taken waits with the smallest margin on its path, and the nearest branch over all
 trees is opened next, until ``probes`` leaves are found. Leaves are joined with their visitors by
 one shuffle of 8-bit vectors; within a leaf all candidates are ranked by matrix products in
-blocks, the best of all leaves are merged and reranked by their exact cosines.
+blocks. A candidate is dropped only if k others are nearer whatever the 8-bit vectors are off by
+(each carries its error); the rest are merged over all leaves and reranked by their exact
+cosines. Queries with more than ``CROWD`` such candidates in a block, as in a group of near
+copies, go to their leaves again with full vectors and are ranked exactly there.
 
-Vectors that are equal are one representative until the end, so copies fill no leaf; of a
+Vectors of one direction (to 32-bit floats, whatever their norm) are one representative until the end, so copies fill no leaf; of a
 class of copies only the ``k + 1`` smallest ids can be among anyone's k nearest, ties going to
-the smaller id, and only those travel.
+the smaller id, and only those travel. Different directions at exactly equal cosines may be cut by
+their prints within a leaf.
 
 Defined cases: unusable vectors (null, undecodable, wrong length, not finite, all zero) take
 no part; ids that are null are left out; repeated deliveries of an id count once; fewer than k
@@ -40,6 +44,10 @@ BLOCK = 2048
 HOME = 16384
 #: Most rows that a task hands on at once when every block is visited.
 HANDED = 65536
+#: Most candidates of a query in one block that wait for the exact rerank outside the leaf.
+CROWD = 64
+#: Pairs whose exact cosines are taken at once.
+PAIRS = 32768
 
 
 def decode_compressed(text: str | None, width: int) -> np.ndarray | None:
@@ -61,27 +69,32 @@ def decode_compressed(text: str | None, width: int) -> np.ndarray | None:
 
 
 def _print(vector: np.ndarray) -> int:
-    """A 64-bit print of a vector's values."""
+    """A 64-bit print of a direction's values."""
     import xxhash
 
     return xxhash.xxh64_intdigest((vector + 0.0).tobytes()) - (1 << 63)
 
 
+def _directions(vectors: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """(prints, directions) of usable vectors; directions have norm 1, as 32-bit floats."""
+    found = _unit(np.stack(vectors)).astype(np.float32) if vectors else []
+    return pa.array([_print(v) for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())
+
+
 def compressed_vectors(rows: DataFrame, id_column: str, column: str, width: int) -> DataFrame:
-    """(id, print, vector): the usable vectors; ``vector`` holds 32-bit floats as bytes."""
+    """(id, print, vector): the usable vectors; ``vector`` holds the direction, 32-bit floats as bytes."""
     source = spread(rows.filter(F.col(id_column).isNotNull() & F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text")), "id")
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, prints, vectors = [], [], []
+            take, vectors = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 vector = decode_compressed(text, width)
                 if vector is not None:
                     take.append(i)
-                    prints.append(_print(vector))
-                    vectors.append(vector.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(prints, pa.int64()), pa.array(vectors, pa.binary())], names=["id", "print", "vector"])
+                    vectors.append(vector)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *_directions(vectors)], names=["id", "print", "vector"])
 
     return source.mapInArrow(run, f"id {kind}, print long, vector binary")
 
@@ -93,15 +106,14 @@ def array_vectors(rows: DataFrame, id_column: str, column: str, width: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, prints, vectors = [], [], []
+            take, vectors = [], []
             for i, values in enumerate(batch.column(1).to_pylist()):
                 if len(values) == width and None not in values:
                     vector = np.array(values, np.float64)
                     if np.isfinite(vector).all() and vector.any():
                         take.append(i)
-                        prints.append(_print(vector))
-                        vectors.append(vector.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(prints, pa.int64()), pa.array(vectors, pa.binary())], names=["id", "print", "vector"])
+                        vectors.append(vector)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *_directions(vectors)], names=["id", "print", "vector"])
 
     return source.mapInArrow(run, f"id {kind}, print long, vector binary")
 
@@ -119,20 +131,24 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-#: Most by which a cosine of 8-bit vectors is taken to be off.
-SLACK = 0.006
+#: More than rounding moves a cosine of 32-bit vectors.
+ROUNDING = 1e-5
 
 
 def _pack(unit: np.ndarray) -> pa.Array:
-    """Unit vectors as a 32-bit scale and 8-bit values each."""
+    """Unit vectors as a 32-bit scale, the norm of the error and 8-bit values each."""
     scale = (np.abs(unit).max(axis=1, keepdims=True) / 127).astype(np.float32)
-    packed = np.concatenate([scale.view(np.int8), np.rint(unit / scale).astype(np.int8)], axis=1)
+    values = np.rint(unit / scale).astype(np.int8)
+    error = np.linalg.norm(unit - values * scale, axis=1, keepdims=True).astype(np.float32)
+    packed = np.concatenate([scale.view(np.int8), error.view(np.int8), values], axis=1)
     return pa.array([row.tobytes() for row in packed], pa.binary())
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, norms of their errors)."""
     packed = _matrix(column, np.int8)
-    return packed[:, 4:].astype(np.float32) * np.ascontiguousarray(packed[:, :4]).view(np.float32)
+    head = np.ascontiguousarray(packed[:, :8]).view(np.float32)
+    return packed[:, 8:].astype(np.float32) * head[:, :1], head[:, 1]
 
 
 @dataclass
@@ -276,7 +292,9 @@ def neighbours(
     forest = spark.sparkContext.broadcast(Forest.fit(fitted, trees, depth, seed) if depth else None)
     everyone = queries is None and not exhaustive
 
-    def place(visit: bool, skip: int):
+    opened = max(probes, trees) if everyone else probes
+
+    def place(visit: bool, skip: int, full: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 step = max(1, min(BLOCK, HANDED // blocks)) if visit and exhaustive else BLOCK
@@ -292,7 +310,7 @@ def neighbours(
                     else:
                         values = forest.value.values(unit)
                         if visit:
-                            tree, leaf_no = (x[:, skip:] for x in forest.value.search(values, probes))
+                            tree, leaf_no = (x[:, skip:] for x in forest.value.search(values, opened))
                         else:
                             leaf_no = forest.value.leaves(values)
                             tree = np.broadcast_to(np.arange(trees), leaf_no.shape)
@@ -300,7 +318,7 @@ def neighbours(
                     rows, columns = np.nonzero(keys >= 0)
                     index = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[rows, columns]), pa.array(np.full(len(rows), visit)), part.column(0).take(index), _pack(unit).take(index)],
+                        [pa.array(keys[rows, columns]), pa.array(np.full(len(rows), visit)), part.column(0).take(index), (part.column(1) if full else _pack(unit)).take(index)],
                         names=["leaf", "visits", "print", "packed"],
                     )
 
@@ -320,44 +338,60 @@ def neighbours(
     if visiting is not None:
         met = met.unionByName(visiting)
     met = met.repartition("leaf").sortWithinPartitions("leaf", "visits")
-    keep = k + 3
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def rank(batches: Iterator[pa.RecordBatch], full: bool = False) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         names: list[np.ndarray] = []
 
-        def answer(prints: np.ndarray, query: np.ndarray) -> pa.RecordBatch:
-            # The leaf's own vectors may lie in several blocks: the best of all are kept.
-            rows, columns, scores = [], [], []
-            for block, own in zip(held, names):
+        def answer(prints: np.ndarray, query: np.ndarray, error: np.ndarray) -> pa.RecordBatch:
+            # The leaf's own vectors may lie in several blocks.
+            rows, others, scores, offs = [], [], [], []
+            crowded = np.zeros(len(query), np.bool_)
+            for (block, block_error), own in zip(held, names):
                 for at in range(0, len(own), BLOCK):
-                    cosines = query @ block[at : at + BLOCK].T
-                    name = own[at : at + BLOCK]
-                    if least_cosine > -1:
-                        row, column = np.nonzero(cosines >= least_cosine - SLACK)
-                    else:
-                        top = np.argpartition(-cosines, keep, axis=1)[:, : keep + 1] if cosines.shape[1] > keep + 1 else np.broadcast_to(np.arange(cosines.shape[1]), cosines.shape)
-                        row, column = np.repeat(np.arange(len(query)), top.shape[1]), top.ravel()
+                    part, name = block[at : at + BLOCK], own[at : at + BLOCK]
+                    cosines = query @ part.T
+                    most = block_error[at : at + BLOCK].max()
+                    off = (error + most + error * most + ROUNDING)[:, None]
+                    near = cosines >= least_cosine - off
+                    if cosines.shape[1] > k + 1 and np.count_nonzero(near) > k * len(query):
+                        # One of the k + 1 best may be the query itself.
+                        best = np.partition(cosines, -(k + 1), axis=1)[:, -(k + 1)][:, None]
+                        near &= cosines >= best - 2 * off
+                    row, column = np.nonzero(near)
                     other = prints[row] != name[column]
                     row, column = row[other], column[other]
+                    if full:
+                        x, y = _unit(query), _unit(part)
+                        score = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + PAIRS]], y[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.empty(0)])
+                        order = np.lexsort((name[column], -score, row))
+                        row, column, score = row[order], column[order], score[order]
+                        few = np.arange(len(row)) - np.searchsorted(row, row) < k
+                        row, column, score = row[few], column[few], score[few]
+                    else:
+                        many = np.bincount(row, minlength=len(query)) > CROWD
+                        crowded |= many
+                        row, column = row[~many[row]], column[~many[row]]
+                        score = cosines[row, column]
                     rows.append(row)
-                    columns.append(name[column])
-                    scores.append(cosines[row, column])
-            row, other, score = np.concatenate(rows), np.concatenate(columns), np.concatenate(scores)
-            order = np.lexsort((other, -score, row))
-            row, other, score = row[order], other[order], score[order]
-            first = np.ones(len(row), np.bool_)
-            first[1:] = row[1:] != row[:-1]
-            start = np.flatnonzero(first)
-            place_no = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) if len(row) else row
-            best = place_no < keep
-            return pa.RecordBatch.from_arrays([pa.array(prints[row[best]]), pa.array(other[best]), pa.array(score[best].astype(np.float32))], names=["print_a", "print_b", "near"])
+                    others.append(name[column])
+                    scores.append(score)
+                    offs.append(off[row, 0])
+            row, other, score, off = (np.concatenate(c) for c in (rows, others, scores, offs))
+            alone = np.flatnonzero(crowded)
+            stays = ~crowded[row]
+            # A crowded query is its own neighbour here: it is asked again.
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([prints[row[stays]], prints[alone]])), pa.array(np.concatenate([other[stays], prints[alone]])),
+                 pa.array(np.concatenate([score[stays], np.ones(len(alone))]).astype(np.float64)), pa.array(np.concatenate([off[stays], np.zeros(len(alone))]).astype(np.float64))],
+                names=["print_a", "print_b", "near", "off"],
+            )
 
         def at_home() -> Iterator[pa.RecordBatch]:
-            if everyone:
-                for block, own in zip(list(held), list(names)):
+            if everyone and not full:
+                for (block, error), own in zip(list(held), list(names)):
                     for at in range(0, len(own), BLOCK):
-                        yield answer(own[at : at + BLOCK], block[at : at + BLOCK])
+                        yield answer(own[at : at + BLOCK], block[at : at + BLOCK], error[at : at + BLOCK])
 
         current, greeted = None, True
         for batch in batches:
@@ -375,20 +409,26 @@ def neighbours(
                     current, greeted = leaf_no[a], True
                     held.clear()
                     names.clear()
-                vectors_here = _unpack(batch.column(3).slice(a, b - a))
+                packed = batch.column(3).slice(a, b - a)
+                vectors_here, error_here = (_matrix(packed), np.zeros(b - a, np.float32)) if full else _unpack(packed)
                 if not visitor[a]:
-                    held.append(vectors_here)
+                    held.append((vectors_here, error_here))
                     names.append(prints[a:b])
                     greeted = False
                 elif held:
                     for at in range(0, b - a, BLOCK):
-                        yield answer(prints[a:b][at : at + BLOCK], vectors_here[at : at + BLOCK])
+                        yield answer(prints[a:b][at : at + BLOCK], vectors_here[at : at + BLOCK], error_here[at : at + BLOCK])
         if not greeted:
             yield from at_home()
 
-    near = met.mapInArrow(rank, "print_a long, print_b long, near float")
-    once = near.groupBy("print_a", "print_b").agg(F.max("near").alias("near"))
-    few = once.withColumn("__n", F.row_number().over(Window.partitionBy("print_a").orderBy(F.desc("near"), "print_b"))).filter(F.col("__n") <= keep).select("print_a", "print_b")
+    shape_near = "print_a long, print_b long, near double, off double"
+    near = cut(met.mapInArrow(rank, shape_near))
+    crowded = cut(near.filter("print_a = print_b").select("print_a").distinct())
+    some = not crowded.isEmpty()
+    settled = near.join(crowded, "print_a", "left_anti") if some else near
+    once = settled.groupBy("print_a", "print_b").agg(F.max("near").alias("near"), F.max("off").alias("off"))
+    sure = Window.partitionBy("print_a").orderBy(F.desc(F.col("near") - F.col("off"))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    few = once.withColumn("__k", F.nth_value(F.col("near") - F.col("off"), k).over(sure)).filter("__k is null or near + off >= __k").select("print_a", "print_b")
     pairs = few.join(bodies.select(F.col("print").alias("print_a"), F.col("vector").alias("vector_a")), "print_a").join(bodies.select(F.col("print").alias("print_b"), F.col("vector").alias("vector_b")), "print_b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +439,12 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([batch.column("print_a"), batch.column("print_b"), pa.array(np.clip(cosine, -1, 1))], names=["print_a", "print_b", "cosine"])
 
     ranked = pairs.select("print_a", "print_b", "vector_a", "vector_b").mapInArrow(exact, "print_a long, print_b long, cosine double").filter(F.col("cosine") >= least_cosine)
+    if some:
+        again = bodies.join(crowded.withColumnRenamed("print_a", "print"), "print", "left_semi").mapInArrow(place(True, 0, True), shape)
+        home = bodies.mapInArrow(place(False, 0, True), shape).join(again.select("leaf").distinct(), "leaf", "left_semi")
+        met_again = home.unionByName(again).repartition("leaf").sortWithinPartitions("leaf", "visits")
+        found_again = met_again.mapInArrow(lambda batches: rank(batches, True), shape_near).groupBy("print_a", "print_b").agg(F.max("near").alias("cosine"))
+        ranked = ranked.unionByName(found_again.withColumn("cosine", F.least("cosine", F.lit(1.0))).filter(F.col("cosine") >= least_cosine))
     # From classes back to ids: each class speaks through its k + 1 smallest ids, found with
     # salt so that no task orders a whole class.
     by_id = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("id"))

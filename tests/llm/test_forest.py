@@ -83,6 +83,29 @@ def test_exhaustive_search_misses_nothing_at_any_size(spark, monkeypatch):
     assert recall(trees=4, leaf=32, probes=8) < 0.9
 
 
+def test_groups_closer_than_8_bits_tell(spark):
+    rng = np.random.default_rng(6)
+    named = {}
+    for size in (30, 150):
+        centre = rng.standard_normal(16)
+        for i in range(size):
+            named[f"g{size}_{i:03}"] = (centre + 0.01 * rng.standard_normal(16)).tolist()
+    at = {name: i for i, name in enumerate(named)}
+    unit = np.array(list(named.values()))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosines = unit @ unit.T - 2 * np.eye(len(named))
+    truth = -np.sort(-cosines, axis=1)[:, :5]
+    scaled = {f"{name}s": [3.7 * x for x in named[name]] for name in ("g30_000", "g150_000")}
+    vectors = forest.compressed_vectors(table_of(spark, named), "section_id", "embedding_compressed", 16)
+    for how in ({"leaf": 1000}, {"leaf": 1000, "least_cosine": 0.9}, {"queries": spark.createDataFrame([(n,) for n in named], "q string"), "exhaustive": True}):
+        got = {}
+        for r in forest.neighbours(vectors, k=5, **how).orderBy("id_a", "rank").collect():
+            got.setdefault(r["id_a"], []).append(r["id_b"])
+        assert np.allclose([[cosines[at[a], at[b]] for b in got[a]] for a in named], truth, rtol=0, atol=1e-8)
+    both = forest.compressed_vectors(table_of(spark, named | scaled), "section_id", "embedding_compressed", 16)
+    assert both.select("print").distinct().count() == len(named)
+
+
 def test_copies_ties_and_unusable(spark):
     named = {f"c{i}": [1.0, 2.0, 3.0, 4.0] for i in range(9)} | {"far": [4.0, -3.0, 2.0, -1.0], "scaled": [2.0, 4.0, 6.0, 8.1]}
     data = [(k, pack(v)) for k, v in named.items()]
