@@ -29,11 +29,11 @@ def filings(df: DataFrame, known: DataFrame) -> DataFrame:
     return once.join(known.select("ticker"), "ticker", "left_semi")
 
 
-def sections(df: DataFrame, most_chars: int = 4000) -> DataFrame:
-    """Sections with an embedding, once each, content cut to ``most_chars`` characters."""
+def sections(df: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """Sections with an embedding, once each, whole or cut to ``most_chars`` characters."""
     chosen = df.filter(F.col("embedding_compressed").isNotNull())
     once = latest(chosen, "section_id", ["created_at", "load_id"], ["filing_id", "section_type", "section_name", "content", "chunk_index"])
-    return once.withColumn("content", F.substring("content", 1, most_chars))
+    return once if most_chars is None else once.withColumn("content", F.substring("content", 1, most_chars))
 
 
 #: Which filing types give context to which: (source type, target type, relation).

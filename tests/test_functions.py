@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import text, vectors, xbrl
-from docketry.operators import content, insider
+from docketry.operators import content, graph, insider
 from docketry.operators.terms import widened
 from docketry.plans.questions import read_question
 from tests.conftest import rows
@@ -129,3 +129,8 @@ def test_xml_fields_stay_with_their_transaction(spark):
     df = spark.createDataFrame([(1, f"<ownershipDocument>{body}</ownershipDocument>"), (2, broken)], "i int, content string")
     got = sorted(tuple(r) for r in insider.xml_transactions(df, "content", ["i"]).select("i", "part", "place", "transaction_date", "shares", "price", "executive_name").collect())
     assert got == [(1, 0, 1, "2024-01-01", 0.0, 0.0, ""), (1, 0, 2, "2024-01-02", 0.0, 7.0, ""), (1, 1, 1, "2024-01-03", 0.0, 8.0, ""), (1, 2, 1, "2024-01-04", 0.0, 9.0, ""), (2, 3, 1, "2024-02-03", 100.0, 5.5, "Ann Lee")]
+
+
+def test_sections_keep_whole_contents(spark):
+    df = spark.createDataFrame([("s", "f", "t", "n", "x" * 5000 + " end", 0, 1, 1, "e")], "section_id string, filing_id string, section_type string, section_name string, content string, chunk_index int, created_at int, load_id int, embedding_compressed string")
+    assert graph.sections(df).first()["content"].endswith(" end") and len(graph.sections(df, 4000).first()["content"]) == 4000
