@@ -32,10 +32,17 @@ def p1_found(spark, folder):
 
 @_query
 def p1_groups(spark, folder):
-    found = pigeonring.similar_groups(table(spark, folder, "filing_section"), "section_id", "content", similarity=0.8, k=5, least_words=5)
+    """The classes of p1_found's links: one row per section."""
+    found = pigeonring.similar_groups(table(spark, folder, "filing_section"), "section_id", "content", similarity=0.7, k=3, least_words=20)
     return found.withColumnRenamed("id", "section_id")
 
 
+@_query
+def p1_pruning(spark, folder):
+    """Pairs left after each filter of p1_found."""
+    return pigeonring.pruning(table(spark, folder, "filing_section").filter("section_id is not null"), "content", similarity=0.7, k=3, least_words=20)
+
+
 def _p2_sql(columns: str) -> str:
     runs = r"list_max(list_transform(regexp_split_to_array(content, '[\s\x{000B}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}.!?;。！？；।]+'), lambda r: length(r)))"
     return f"""

@@ -6,6 +6,8 @@ batch are laid end to end as bytes and every step below is one numpy pass over t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -39,6 +41,12 @@ def _powers(n: int) -> np.ndarray:
 MOST_TEXTS = 1 << 16
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts that one call takes."""
+    for at in range(0, len(batch), MOST_TEXTS):
+        yield batch.slice(at, MOST_TEXTS)
+
+
 def shingle_sets(texts: pa.Array, k: int, least_words: int, distinct: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(documents, offsets, hashes): the distinct shingle hashes of each text with at least
     ``least_words`` words (and at least k), in one order for all texts; ``documents`` holds

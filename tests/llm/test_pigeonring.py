@@ -66,18 +66,40 @@ def test_pairs_equal_brute_force(spark, corpus, k, least, similarity):
     assert rows(pigeonring.id_pairs(pairs, members)) == brute(corpus, k, least, similarity)
 
 
-def test_hot_keys_in_blocks_lose_nothing(spark, corpus, monkeypatch):
-    key = np.arange(40, dtype=np.uint64) % np.uint64(2)
-    prints = np.arange(1000, 1040, dtype=np.uint64) << np.uint64(17)
-    often = np.where(key == 0, 3 * pigeonring.GROUP, 1)
-    row, met = pigeonring._spread(key, prints, often)
+def test_hot_keys_in_blocks_lose_nothing(spark):
+    keys = spark.createDataFrame([(i % 2, (1000 + i) << 17, i) for i in range(40)], "key long, print long, size int")
+    hot = spark.createDataFrame([(0, 3)], "key long, blocks long")
     groups = {}
-    for r, m in zip(row.tolist(), met.tolist()):
-        groups.setdefault(m, set()).add(r)
-    together = {frozenset((a, b)) for g in groups.values() for a in g for b in g if a != b}
-    for a in range(40):
-        for b in range(a):
-            assert (frozenset((a, b)) in together) == (key[a] == key[b])
+    for r in pigeonring.in_blocks(keys, hot).collect():
+        groups.setdefault(r["key"], set()).add(r["size"])
+    together = [frozenset((a, b)) for g in groups.values() for a in g for b in g if a < b]
+    wanted = {frozenset((a, b)) for a in range(40) for b in range(a) if a % 2 == b % 2}
+    assert set(together) == wanted
+    assert len(groups) == 7 and max(map(len, groups.values())) <= 20
+
+
+def test_full_bins_and_large_classes_give_the_same_pairs(spark, corpus, monkeypatch):
+    texts = corpus + [(f"copy{i}", corpus[0][1]) for i in range(9)]
+    want = brute(texts, 3, 20, 0.7)
+    monkeypatch.setattr(pigeonring, "GROUP", 2)
+    monkeypatch.setattr(pigeonring, "MEMBERS", 2)
+    pairs, members = found(spark, texts)
+    assert rows(pigeonring.id_pairs(pairs, members)) == want
+    monkeypatch.setattr(pigeonring, "HOT_KEYS", 0)
+    pairs, members = found(spark, texts)
+    assert rows(pigeonring.id_pairs(pairs, members)) == want
+
+
+def test_chains_prune_before_the_full_check(spark):
+    """Texts share one rare opening and nothing else: only the chains can tell them apart."""
+    rng = random.Random(8)
+    texts = [(f"t{i}", "quick brown fox jumps over " + " ".join(f"v{rng.randrange(400)}" for _ in range(60))) for i in range(30)]
+    df = spark.createDataFrame(texts, "section_id string, content string")
+    left = {r["stage"]: r["pairs"] for r in pigeonring.pruning(df, "content", 0.3, 1, 5).collect()}
+    assert 2 * left["position"] > 3 * left["chain7"] and left["chain1"] >= left["chain2"] >= left["chain7"] >= left["chain8"]
+    without, _ = pigeonring.similar_pairs(df, "section_id", "content", 0.3, 1, 5, chain=0)
+    with_, _ = pigeonring.similar_pairs(df, "section_id", "content", 0.3, 1, 5)
+    assert rows(without) == rows(with_)
 
 
 def test_nulls_copies_repeats_and_long_texts(spark):
@@ -111,7 +133,21 @@ def test_chain_test_never_prunes_a_similar_pair():
         hashes, offsets = np.concatenate([np.unique(base), np.unique(other)]), np.array([0, len(np.unique(base)), len(np.unique(base)) + len(np.unique(other))])
         rings = pigeonring._rings(offsets, hashes)
         h = len(np.setxor1d(base, other))
-        assert pigeonring._within_budget(rings[:1], rings[1:], np.array([h]), 4)[0]
+        for length in range(1, pigeonring.SEGMENTS + 1):
+            assert len(pigeonring._chains(rings[:1], rings[1:], np.array([h]), length)[0]) == 1
+
+
+def test_packed_counts_and_large_batches():
+    for counts in ([0, 1, 255], [0, 256, 70], [0, 70_000, 2**32 - 1]):
+        assert pigeonring._counts(pigeonring._packed(np.array(counts, np.int64))).tolist() == counts
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 70_000)], names=["t"])
+    assert [len(p) for p in pigeonring.slices(batch)] == [65_536, 4_464]
+
+
+def test_components_with_hubs(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 2000) for i in range(300)] + [(399, 500), (500, 1000)]
+    got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 702
 
 
 def test_shingles_equal_words():
