@@ -207,7 +207,7 @@ def _pairing(t: Fraction, length: int, counting: bool = False):
             if len(near):
                 tau = (size[near] + size[near + apart]) * rest.numerator // rest.denominator
                 kept, counts = _chains(ring[near], ring[near + apart], tau, length)
-                tally[2 : 2 + length] += counts
+                tally[2 : 2 + length] += np.array(counts, np.int64)
                 near = near[kept]
                 firsts.append(prints[near])
                 seconds.append(prints[near + apart])

@@ -52,6 +52,52 @@ def test_missing_spaces_and_noise():
     assert [text[a:b] for a, b in sentences(text)] == ["Costs won't recover.", "Excluding tax, it fell.", "See Dr. \U0001f680 Roe.", "M​r. Doe left."]
 
 
+WORDS_AND_ADDRESSES = [
+    ["He said no.", "She left the room."],
+    ["She studied art.", "Then she left."],
+    ["He wore a cap.", "Then he left."],
+    ["See no. 5, art. 7 and No. A-12."],
+    ["El art. 5 y la cap. IV de la ley.", "No hay más."],
+    ["See https://www.example.com/investors/annual-reports/archive/2023/q4/Report.Final for details.", "Next one."],
+    ["Ask " + "x" * 300 + "/page?name=1 today?", "Yes."],
+    ["It fell" + " " * 100 + "in the U.S." + " " * 100 + "Treasury market.", "Rates rose."],
+]
+
+
+@pytest.mark.parametrize("parts", WORDS_AND_ADDRESSES)
+def test_words_of_other_languages_and_long_reaches(parts):
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentences(text)] == parts
+
+
+def test_greek_question_after_a_long_remark():
+    text = "Θα το δούμε (USD 1,234,567,890.00 / 2024 / 12345);Θα δούμε."
+    assert [text[a:b] for a, b in sentences(text)] == ["Θα το δούμε (USD 1,234,567,890.00 / 2024 / 12345);", "Θα δούμε."]
+    assert len(sentences("One clause; another clause. Then β decays; it does.")) == 2
+
+
+def test_index_of_the_cascade_leaves_out_only_rules_that_cannot_match(monkeypatch):
+    from docketry.llm import sentences as module
+
+    texts = [" ".join(parts) for parts in [*CASES.values(), *WORDS_AND_ADDRESSES]]
+    texts += ["収入は「1.5億」。と述べた。Co.、Ltd.", "Rev.A.b.C. d.E!F? g;h…I ...j ...K", "x.html a.com b.Exe $.5 (.3 U.S.GAAP p.m.ET"]
+    want = [sentences(t) for t in texts]
+    whole = {}
+
+    def plain(mark, word, spaced, following):
+        if (mark, word) not in whole:
+            whole[mark, word] = [(b, left, w, after, lang) for marks, b, left, w, after, _, words, lang in module._RULES if mark in marks and (words is None or word in words)]
+        return whole[mark, word]
+
+    monkeypatch.setattr(module, "_cascade", plain)
+    assert [sentences(t) for t in texts] == want
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a." * 50_000, "(" * 30_000 + "”" * 30_000, "x@y." * 20_000, "/a?" * 30_000, "\u200b." * 20_000 + "End. Now", "« " * 20_000 + "a. B" * 5_000):
+        assert sentences(text)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aB1 .!?\n\t。「」“”()«»;ไ\"'…é", max_size=80))
 def test_cover_everything_once(text):
