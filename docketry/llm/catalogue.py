@@ -72,14 +72,16 @@ def p6_ids(spark, folder):
 
 @_query
 def p7_found(spark, folder):
+    """The sources that the plan of the mixture finds short."""
     targets = table(spark, folder, "mix_target")
-    sizes = mixing.document_sizes(table(spark, folder, "documents"), targets)
-    return mixing.source_totals(sizes, targets).filter("short").select("source")
+    return mixing.plan(mixing.document_sizes(table(spark, folder, "documents"), targets), targets).filter("short").select("source")
 
 
-def _mixed(spark, folder):
-    targets = table(spark, folder, "mix_target")
-    return mixing.mix(cut(mixing.document_sizes(table(spark, folder, "documents"), targets)), targets)
+def _mixed(spark, folder, targets=None, **how):
+    targets = table(spark, folder, "mix_target") if targets is None else targets
+    sizes = cut(mixing.document_sizes(table(spark, folder, "documents"), targets))
+    plan = mixing.plan(sizes, targets, **how)
+    return mixing.mix(sizes, plan), plan
 
 
 @_query
@@ -92,6 +94,19 @@ def p7_shares(spark, folder):
     return mixing.reached_shares(*_mixed(spark, folder))
 
 
+@_query
+def p7_tempered(spark, folder):
+    """Nine tenths of all tokens, no document twice: the limits press the exponent below 1."""
+    once = table(spark, folder, "mix_target").withColumn("max_repeats", F.lit(1))
+    return mixing.reached_shares(*_mixed(spark, folder, once, total_share=0.9))
+
+
+@_query
+def p7_entropy(spark, folder):
+    """Shares of the tokens tempered to 97 % of the largest entropy, target weights set aside."""
+    return mixing.reached_shares(*_mixed(spark, folder, evenness=0.97))
+
+
 @_query
 def p8_found(spark, folder):
     return sentences.split_sentences(table(spark, folder, "documents"))
