@@ -56,8 +56,10 @@ SQL["p2_found"] = _p2_sql("chunk_id, cut_kind")
 
 @_query
 def p2_found(spark, folder):
+    """By the cuts of the pieces: a hard one, in a run that is itself over the limit (a run between
+    7,600 and 8,000 characters may need one too)."""
     found = splitting.oversized_chunks(table(spark, folder, "document_chunk"))
-    return found.filter("piece_no = 1").select("chunk_id", F.when(F.col("longest_run") > 8000, "hard").otherwise("soft").alias("cut_kind"))
+    return found.filter("piece_no = 1").select("chunk_id", F.when((F.col("hard_cuts") > 0) & (F.col("longest_run") > 8000), "hard").otherwise("soft").alias("cut_kind"))
 
 
 @_query

@@ -3,9 +3,11 @@
 A text of more than ``limit`` characters becomes pieces of at most ``limit`` characters;
 each piece begins ``overlap`` characters before the end of the piece before it. Places where
 a piece may end are boundaries of falling strength: blank line, line break, end mark, white
-space, any character. The dynamic programme over these places minimises the sum of the cut
-penalties and of the squared deviation from the even piece size. A weaker kind of boundary is
-offered only in stretches where the stronger ones leave no piece within the limit.
+space, any character. The dynamic programme over all these places minimises the sum of the cut
+penalties and of the squared deviation from the even piece size. Any character is a place only
+where no natural boundary can be reached: in stretches without one that are longer than the
+limit less the overlap, and there every character is. Elsewhere a piece can always end at a
+natural boundary, so the programme always finds pieces.
 
 Defined cases: null, empty and short texts are not split (``pieces`` gives none for null and
 one whole piece for the others if ``keep_short``); characters are Unicode code points; one
@@ -39,33 +41,54 @@ def longest_run(text: str) -> int:
 
 
 def _boundaries(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, kinds) in rising order; kinds index KINDS."""
-    found: list[list[int]] = [[], [], [], []]
-    for m in _BOUNDARY.finditer(text):
-        found[{"blank": 0, "line": 1, "mark": 2, "space": 3}[m.lastgroup]].append(m.end())
-    step, n = limit - overlap, len(text)
-    places, kinds = np.array(found[0], np.int64), np.zeros(len(found[0]), np.int64)
-    for kind in (1, 2, 3, 4):
-        edges = np.concatenate([[0], places, [n]])
-        wide = np.flatnonzero(np.diff(edges) > step // 2)
-        if not len(wide):
-            break
-        if kind == 4:
-            wide = np.flatnonzero(np.diff(edges) > step - 1)
-            more = np.concatenate([np.arange(edges[w] + 1, edges[w + 1], 16) for w in wide] or [np.empty(0, np.int64)])
-        else:
-            more = np.array(found[kind], np.int64)
-            gap = np.searchsorted(edges, more, side="right") - 1
-            more = more[np.isin(gap, wide)]
-        places = np.concatenate([places, more])
-        kinds = np.concatenate([kinds, np.full(len(more), kind)])
-        order = np.lexsort((kinds, places))
-        places, kinds = places[order], kinds[order]
-        new = np.ones(len(places), np.bool_)
-        new[1:] = places[1:] != places[:-1]
-        places, kinds = places[new], kinds[new]
-    inside = (places > overlap) & (places < n)
-    return places[inside], kinds[inside]
+    """(places, kinds) in rising order, the strongest kind of each place; kinds index KINDS."""
+    number = {"blank": 0, "line": 1, "mark": 2, "space": 3}
+    found = [(m.end(), number[m.lastgroup]) for m in _BOUNDARY.finditer(text)]
+    places, kinds = np.array([p for p, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+    edges = np.concatenate([[0], places, [len(text)]])
+    # From the start a piece reaches the limit; behind a cut it begins with the overlap.
+    wide = np.flatnonzero(np.diff(edges) > np.where(edges[:-1] == 0, limit, limit - overlap))
+    more = [np.arange(edges[w] + 1, edges[w + 1]) for w in wide]
+    places, kinds = np.concatenate([places, *more]), np.concatenate([kinds, *(np.full(len(x), 4) for x in more)])
+    inside = (places > overlap) & (places < len(text))
+    order = np.argsort(places[inside], kind="stable")
+    return places[inside][order], kinds[inside][order]
+
+
+#: Places within so many characters are decided together.
+STRETCH = 1024
+
+
+def _least(x: np.ndarray, first: np.ndarray, places: np.ndarray, best: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """(value, index) of the least ``best + weight * (x - place) ** 2`` from index ``first`` on, for
+    rising x and first; infinite where there is none.
+
+    The cost is convex, so the index never falls as x rises: the middle one halves the search
+    of all others, and all middles of a round are found in one pass.
+    """
+    value, index = np.full(len(x), np.inf), np.full(len(x), -1, np.int64)
+    r0, r1, c0, c1 = (np.array([k]) for k in (0, len(x) - 1, 0, len(places) - 1))
+    while len(r0):
+        mid = (r0 + r1) // 2
+        low = np.maximum(c0, first[mid])
+        size = np.maximum(c1 - low + 1, 0)
+        some = size > 0
+        start = np.cumsum(size) - size
+        node = np.repeat(np.arange(len(mid)), size)
+        k = np.arange(len(node)) + np.repeat(low - start, size)
+        cost = best[k] + weight * (x[mid][node] - places[k]) ** 2
+        least, at = np.full(len(mid), np.inf), np.where(some, low, -1)
+        if len(k):
+            least[some] = np.minimum.reduceat(cost, start[some])
+            hits = np.flatnonzero(cost == least[node])
+            at[node[hits[::-1]]] = k[hits[::-1]]
+        value[mid], index[mid] = least, at
+        left, right = r0 < mid, mid < r1
+        r0, r1, c0, c1 = (
+            np.concatenate(pair)
+            for pair in ((r0[left], mid[right] + 1), (mid[left] - 1, r1[right]), (c0[left], np.where(some, at, c0)[right]), (np.where(some, at, c1)[left], c1[right]))
+        )
+    return value, index
 
 
 def cut_places(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
@@ -74,29 +97,35 @@ def cut_places(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
     if n <= limit:
         return []
     places, kinds = _boundaries(text, limit, overlap)
+    penalty = np.append(np.array(PENALTY)[kinds], 0.0)
     places, kinds = np.append(places, n), np.append(kinds, 0)
     count = -(-(n - overlap) // (limit - overlap))
     even = (n + (count - 1) * overlap) / count
-    penalty = np.array(PENALTY)[kinds]
-    penalty[-1] = 0
-    best = np.full(len(places), np.inf)
-    via = np.full(len(places), -1, np.int64)
+    weight = IMBALANCE / limit**2
     # The first piece begins at 0, every other one `overlap` before the end of the one before.
-    for i, place in enumerate(places.tolist()):
-        if place <= limit:
-            best[i] = penalty[i] + IMBALANCE * ((place - even) / limit) ** 2
-        lo = int(np.searchsorted(places, place - limit + overlap))
-        if lo < i:
-            sizes = place - places[lo:i] + overlap
-            cost = best[lo:i] + penalty[i] + IMBALANCE * ((sizes - even) / limit) ** 2
-            k = int(np.argmin(cost))
-            if cost[k] < best[i]:
-                best[i], via[i] = cost[k], lo + k
-    if not np.isfinite(best[-1]):
-        # The stronger boundaries leave a gap after all: offer every place.
-        grid = np.unique(np.concatenate([places[:-1], np.arange(overlap + 1, n, max(1, overlap // 8))]))
-        known = dict(zip(places.tolist(), kinds.tolist()))
-        return _plain(n, grid, [known.get(p, 4) for p in grid.tolist()], limit, overlap)
+    best = np.where(places <= limit, penalty + weight * (places - even) ** 2, np.inf)
+    via = np.full(len(places), -1, np.int64)
+    earliest = np.searchsorted(places, places - limit + overlap)
+    wanted = places + overlap - even
+
+    def relax(a: int, b: int, c: int) -> None:
+        """Pieces that end at places a to b behind a cut before c."""
+        value, index = _least(wanted[a:b], earliest[a:b], places[:c], best[:c], weight)
+        value += penalty[a:b]
+        better = value < best[a:b]
+        best[a:b], via[a:b] = np.where(better, value, best[a:b]), np.where(better, index, via[a:b])
+
+    a = 0
+    while a < len(places):
+        b = int(np.searchsorted(places, places[a] + STRETCH, side="right"))
+        if earliest[a] < a:
+            relax(a, b, a)
+        # A piece between two cuts of this stretch is short; mostly that cannot pay.
+        short = max(0.0, even - (places[b - 1] - places[a] + overlap))
+        if (best[a:b].min() + penalty[a:b] + weight * short**2 < best[a:b]).any():
+            for i in range(a + 1, b):
+                relax(i, i + 1, i)
+        a = b
     out, i = [], int(via[-1])
     while i >= 0:
         out.append((int(places[i]), KINDS[int(kinds[i])]))
@@ -104,23 +133,6 @@ def cut_places(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
     return out[::-1]
 
 
-def _plain(n: int, grid: np.ndarray, kinds: list[int], limit: int, overlap: int) -> list[tuple[int, str]]:
-    """Reach as far as possible each time, preferring stronger kinds in the last quarter."""
-    out, at = [], 0
-    kinds = np.array(kinds)
-    while n - at > limit:
-        lo, hi = np.searchsorted(grid, [at + overlap + (limit - overlap) // 2, at + limit], side="right")
-        options = np.arange(lo, hi)
-        if not len(options):
-            place, kind = at + limit, 4
-        else:
-            k = options[np.lexsort((-grid[options], kinds[options]))[0]]
-            place, kind = int(grid[k]), int(kinds[k])
-        out.append((place, KINDS[kind]))
-        at = place - overlap
-    return out
-
-
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut at the end) of every piece; the last one ends with ``end``."""
     cuts = cut_places(text, limit, overlap)
@@ -134,7 +146,7 @@ def pieces(
 ) -> DataFrame:
     """The pieces of every text over the limit: the ``keep`` columns, piece_no (from 1), pieces,
     piece_start and piece_end (0-based, end exclusive, within the text), cut (kind of the
-    boundary at its end), longest_run of the text, and piece (its text)."""
+    boundary at its end), hard_cuts and longest_run of the whole text, and piece (its text)."""
     if not 0 <= overlap * 2 <= limit:
         raise ValueError("the overlap must be at most half the limit")
     source = texts.select(*keep, F.col(text_column).alias("__text")).filter("__text is not null")
@@ -142,7 +154,7 @@ def pieces(
         source = source.filter(F.length("__text") > limit)
     schema = T.StructType([source.schema[k] for k in keep] + [
         T.StructField("piece_no", T.IntegerType()), T.StructField("pieces", T.IntegerType()), T.StructField("piece_start", T.IntegerType()),
-        T.StructField("piece_end", T.IntegerType()), T.StructField("cut", T.StringType()), T.StructField("longest_run", T.IntegerType()), T.StructField("piece", T.StringType()),
+        T.StructField("piece_end", T.IntegerType()), T.StructField("cut", T.StringType()), T.StructField("hard_cuts", T.IntegerType()), T.StructField("longest_run", T.IntegerType()), T.StructField("piece", T.StringType()),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +162,15 @@ def pieces(
             take, rows = [], []
             for i, text in enumerate(batch.column(len(keep)).to_pylist()):
                 parts = split_text(text, limit, overlap)
-                longest = longest_run(text)
+                hard, longest = sum(kind == "hard" for *_, kind in parts), longest_run(text)
                 for no, (a, b, kind) in enumerate(parts, 1):
                     take.append(i)
-                    rows.append((no, len(parts), a, b, kind, longest, text[a:b]))
+                    rows.append((no, len(parts), a, b, kind, hard, longest, text[a:b]))
             index = pa.array(take, pa.int64())
-            kinds = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string()]
+            kinds = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).take(index) for k in range(len(keep))] + [pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)],
-                names=[*keep, "piece_no", "pieces", "piece_start", "piece_end", "cut", "longest_run", "piece"],
+                names=[*keep, "piece_no", "pieces", "piece_start", "piece_end", "cut", "hard_cuts", "longest_run", "piece"],
             )
 
     return source.mapInArrow(run, schema)
@@ -174,4 +186,4 @@ def oversized_chunks(chunks: DataFrame, limit: int = 8000, overlap: int = 400) -
     once = large.groupBy("chunk_id").agg(F.max_by(F.struct("content", "start_position"), F.struct("ingested_at", "load_id")).alias("c")).select("chunk_id", "c.*")
     found = pieces(once, ["chunk_id", "start_position"], "content", limit, overlap)
     base = F.coalesce("start_position", F.lit(0))
-    return found.select("chunk_id", "piece_no", "pieces", (base + F.col("piece_start")).alias("start_position"), (base + F.col("piece_end")).alias("end_position"), "piece_start", "piece_end", "cut", "longest_run", "piece")
+    return found.select("chunk_id", "piece_no", "pieces", (base + F.col("piece_start")).alias("start_position"), (base + F.col("piece_end")).alias("end_position"), "piece_start", "piece_end", "cut", "hard_cuts", "longest_run", "piece")
