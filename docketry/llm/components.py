@@ -10,6 +10,8 @@ from docketry.session import cut
 
 #: A hub has at least this share of all edge ends, so there are at most as many hubs as its inverse.
 HUB = 1 / 256
+#: With fewer edges in all no node has enough of them to hold a task up.
+MANY = 1_000_000
 
 
 def _met(around: DataFrame, least: DataFrame) -> DataFrame:
@@ -20,14 +22,14 @@ def _met(around: DataFrame, least: DataFrame) -> DataFrame:
     return around.join(F.broadcast(hubs), "u").unionByName(rest.join(least.select("u", "m"), "u"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """One star step on edges (u, v): link neighbours to the smallest label seen at a node."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    joined = _met(around, least)
+    joined = _met(around, least) if hubs else around.join(least.select("u", "m"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # u itself keeps its own link to m through the neighbour's view of it.
@@ -44,8 +46,9 @@ def connected(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+    hubs = state[0] >= MANY
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(_star(now, True, hubs), False, hubs))
         after = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
         if after == state:
             break

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docketry.llm import pigeonring
+from docketry.llm import components, pigeonring
 from docketry.llm.components import connected
 from docketry.llm.shingles import shingle_sets
 from tests.conftest import rows
@@ -144,7 +144,9 @@ def test_packed_counts_and_large_batches():
     assert [len(p) for p in pigeonring.slices(batch)] == [65_536, 4_464]
 
 
-def test_components_with_hubs(spark):
+@pytest.mark.parametrize("many", [1, components.MANY])
+def test_components_with_hubs(spark, monkeypatch, many):
+    monkeypatch.setattr(components, "MANY", many)
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 2000) for i in range(300)] + [(399, 500), (500, 1000)]
     got = {r["node"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {0} and len(got) == 702
