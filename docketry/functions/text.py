@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docketry.functions.fixed import STOP_WORDS
 
@@ -63,6 +67,24 @@ def clean(text: Column) -> Column:
     return strip(F.regexp_replace(text, " +", " "))
 
 
+#: Noise of documents, each replaced by a space, in this order.
+NOISE = [r"<[^>]+>", r"&[a-zA-Z]+;", r"\s+", r"\n\s*\n\s*\n+", r"Table\s+of\s+Contents.*?(?=Item\s+\d)", r"Page\s+\d+\s+of\s+\d+", r"\*{3,}", r"-{3,}", r"_{3,}"]
+
+
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def clean_document(text: Column, least: int = 10) -> Column:
+    """Entities read, noise replaced, white space single; empty if no more than ``least`` characters are left."""
+    plain = F.when(text.contains("&"), _unescaped(text)).otherwise(text)
+    for pattern in [*NOISE, r"\s+"]:
+        plain = F.regexp_replace(plain, "(?imU)" + pattern, " ")
+    plain = F.regexp_replace(plain, r"(?U)^\s+|\s+$", "")
+    return F.when(F.length(plain) > least, plain).when(plain.isNotNull(), F.lit(""))
+
+
 def compact(text: Column) -> Column:
     """Runs of dots and dashes shortened to three, runs of white space to one space."""
     text = F.regexp_replace(text, r"[ \t\r\n]+", " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as tx
-from docketry.operators.graph import SECTION_SQL, latest
+from docketry.operators.graph import SECTION_SQL, latest_rows
+from docketry.operators.structure import packed
 from docketry.registry import query
 from docketry.tables import table
 
@@ -34,39 +36,69 @@ def extents(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return each.select(key, (F.col("i") + 1).alias("place"), "heading", F.get("b", F.col("i") + 1).alias("body"), F.get("at", F.col("i")).alias("begin_at"), F.get("at", F.col("i") + 1).alias("end_at"))
 
 
-def greedy_chunks(docs: DataFrame, key: str, text: str, limit: int = 5000) -> DataFrame:
-    """(key, chunk_no, chunk): words packed greedily; a chunk closes before it would reach the limit."""
-    source = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+def _spans(source: DataFrame, key: str, number: str, spans, chunk) -> DataFrame:
+    """One row per span of each text (columns k and t): key, number, begin_at, end_at, chunk."""
     kind = source.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, numbers, chunks = [], [], []
-            for i, text_ in enumerate(batch.column(1).to_pylist()):
-                held, size, no = [], 0, 0
-                for word in [*text_.split(), None]:
-                    if held and (word is None or size + len(word) + 1 >= limit):
-                        no += 1
+            take, rows = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                for no, (begin, end) in enumerate(spans(text), 1):
+                    part = chunk(text[begin:end])
+                    if part:
                         take.append(i)
-                        numbers.append(no)
-                        chunks.append(" ".join(held))
-                        held, size = [], 0
-                    if word is not None:
-                        held.append(word)
-                        size += len(word) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], names=[key, "chunk_no", "chunk"])
+                        rows.append((no, begin, end, part))
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array([r[c] for r in rows], t) for c, t in enumerate(types))], names=[key, number, "begin_at", "end_at", "chunk"])
+
+    return source.mapInArrow(run, f"`{key}` {kind}, {number} int, begin_at int, end_at int, chunk string")
+
+
+def greedy_chunks(docs: DataFrame, key: str, text: str, limit: int = 5000) -> DataFrame:
+    """(key, chunk_no, begin_at, end_at, chunk): words packed greedily; a chunk closes with the word
+    that brings the sum of word lengths, one more for each, to the limit."""
+    source = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return _spans(source, key, "chunk_no", lambda t: packed(t, limit), lambda t: " ".join(t.split()))
 
-    return source.mapInArrow(run, f"`{key}` {kind}, chunk_no int, chunk string")
+
+#: Characters at which a word ends, how far one is looked for.
+WORD_ENDS, WORD_REACH = " \n\t.!?;", 100
+_WORD_END = re.compile(f"[{re.escape(WORD_ENDS)}]")
+
+
+def word_windows(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """(begin, end) of overlapping windows whose ends are moved to the ends of words.
+
+    A start is moved forward behind the next word end, an end backward behind the last one, both
+    within WORD_REACH characters; where there is none they stay. A text within the limit is one.
+    """
+    n = len(text)
+    if n <= limit:
+        return [(0, n)]
+    starts = [0]
+    while starts[-1] + limit < n:
+        at = starts[-1] + limit - overlap
+        met = _WORD_END.search(text, at, min(n, at + WORD_REACH))
+        at = met.end() if met else at
+        starts.append(at if at > starts[-1] else starts[-1] + limit // 2)
+    out = []
+    for begin in starts:
+        end = min(begin + limit, n)
+        if end < n:
+            low = max(0, end - WORD_REACH) + 1
+            end = next((i + 1 for i in range(end, low - 1, -1) if text[i] in WORD_ENDS), end)
+        out.append((begin, end))
+    return out
 
 
 def overlapping_chunks(docs: DataFrame, key: str, text: str, limit: int = 8000, overlap: int = 400) -> DataFrame:
-    """(key, chunk_no, begin_at, end_at, chunk): fixed windows that step by ``limit - overlap``."""
-    step = limit - overlap
-    n = F.length(text)
-    starts = F.when(n <= limit, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.ceil((n - overlap) / step).cast("int") - 1), lambda i: i * step))
-    each = docs.filter(n > 0).select(key, F.col(text).alias("t"), F.posexplode(starts).alias("i", "begin_at"))
-    end = F.least(F.col("begin_at") + limit, F.length("t"))
-    return each.select(key, (F.col("i") + 1).alias("chunk_no"), "begin_at", end.alias("end_at"), F.substring(F.col("t"), F.col("begin_at") + 1, end - F.col("begin_at")).alias("chunk"))
+    """(key, chunk_no, begin_at, end_at, chunk): ``word_windows`` without outer white space; chunk_no
+    counts windows from 1, blank ones give no row."""
+    if not 0 <= overlap < limit:
+        raise ValueError("the overlap must be less than the limit")
+    source = docs.filter(F.length(text) > 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return _spans(source, key, "chunk_no", lambda t: word_windows(t, limit, overlap), str.strip)
 
 
 def chunk_id(*parts: Column) -> Column:
@@ -74,24 +106,52 @@ def chunk_id(*parts: Column) -> Column:
 
 
 #: Amounts after the names of figures.
-AMOUNT = r"\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?"
-FIGURES = {"revenue": r"revenues?\s*[:-]?\s*", "net_income": r"net\s+(?:income|earnings)\s*[:-]?\s*", "any": r""}
+FIGURES = {
+    "revenue": [
+        r"revenue[s]?\s*[:\-]?\s*\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?",
+        r"net\s+revenue[s]?\s*[:\-]?\s*\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?",
+        r"total\s+revenue[s]?\s*[:\-]?\s*\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?",
+    ],
+    "net_income": [
+        r"net\s+income\s*[:\-]?\s*\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?",
+        r"net\s+earnings\s*[:\-]?\s*\$?([\d,]+(?:\.\d+)?)\s*(million|billion|thousand)?",
+    ],
+}
+
 
+def amounts(docs: DataFrame, key: str, text: str, figures: dict[str, list[str]] = FIGURES) -> DataFrame:
+    """(key, figure, place, amount, unit): every amount after the names of a figure, pattern by
+    pattern; overlapping patterns repeat an amount. Amounts have no commas; no unit is empty."""
 
-def amounts(docs: DataFrame, key: str, text: str, lead: str) -> DataFrame:
-    """(key, place, amount, unit) of every amount after the words of ``lead``."""
-    pattern = "(?i)" + lead + AMOUNT
-    found = F.arrays_zip(matches(F.col(text), pattern, 1).alias("a"), matches(F.col(text), pattern, 2).alias("u"))
-    each = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(found).alias("place", "m"))
-    return each.select(key, F.col("place"), F.replace(F.col("m.a"), F.lit(","), F.lit("")).alias("amount"), F.col("m.u").alias("unit"))
+    def found(figure: str, patterns: list[str]) -> Column:
+        both = [F.arrays_zip(matches(F.col(text), "(?i)" + p, 1).alias("a"), matches(F.col(text), "(?i)" + p, 2).alias("u")) for p in patterns]
+        return F.transform(F.concat(*both), lambda m, i: F.struct(F.lit(figure).alias("figure"), i.alias("place"), F.replace(m["a"], F.lit(","), F.lit("")).alias("amount"), m["u"].alias("unit")))
+
+    every = F.concat(*(found(figure, patterns) for figure, patterns in figures.items()))
+    return docs.filter(F.col(text).isNotNull()).select(key, F.inline(every))
+
+
+#: Tables in markup, between bars and between tabs (letters, digits and white space only).
+TABLES = [r"(?is)<table[^>]*>.*?</table>", r"\|[^\n]*\|", r"(?m)^[\p{L}\p{N}_\s]+\t[\p{L}\p{N}_\s]+$"]
+
+
+def tables(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, place, table_id, content, word_count): tables by the kind of their marks."""
+    t = F.col(text)
+    none = F.array().cast("array<string>")
+    # Without its mark a pattern need not be tried.
+    found = [F.when(t.contains(mark), matches(t, p)).otherwise(none) for mark, p in zip(["<", "|", "\t"], TABLES)]
+    of_kind = lambda i: lambda x, j: F.struct(F.lit(i).alias("kind"), j.alias("place"), x.alias("content"))
+    every = F.concat(*(F.transform(f, of_kind(i)) for i, f in enumerate(found)))
+    each = docs.filter(t.isNotNull()).select(key, F.inline(every))
+    return each.select(key, "kind", "place", F.concat_ws("_", F.lit("table"), F.col("kind").cast("string"), F.col("place").cast("string")).alias("table_id"), "content", F.size(tx.words(F.col("content"))).alias("word_count"))
 
 
 HEADING = r"(?m)^(?:Item|ITEM|Note|NOTE|Part|PART) [0-9IVX]+[A-Z]?\.[^\n]*"
-TABLE_ROW = r"(?m)^[^\t\n]+\t[^\t\n]+\t[^\n]+"
 
 
 def _sections(spark, folder):
-    return latest(table(spark, folder, "filing_section"), "section_id", ["created_at", "load_id"], ["filing_id", "section_type", "content", "chunk_index"])
+    return latest_rows(table(spark, folder, "filing_section"), "section_id", ["created_at"], "load_id")
 
 
 @query("content_quality", f"""with {SECTION_SQL}, w as (select section_id, content, list_filter(regexp_split_to_array(lower(content), '[ \\t\\n\\r]+'), lambda x: x <> '') as words from section_once)
@@ -147,13 +207,32 @@ def item_extents(spark, folder):
     return extents(table(spark, folder, "documents"), "doc_id", "text", HEADING).select("doc_id", "place", "heading", F.length("body").alias("body_chars"))
 
 
-@query("greedy_chunks")
+_W = "[^ \\t\\n\\r\\f\\v\\x1C-\\x1F\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+@query("greedy_chunks", f"""with recursive w as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as i from (select doc_id, regexp_extract_all(text, '{_W}') as words from documents where text is not null)),
+    p as (select doc_id, i, word, sum(length(word) + 1) over (partition by doc_id order by i) as total, count(*) over (partition by doc_id) as n from w),
+    c(doc_id, chunk_no, first, last, total, n) as (
+        select doc_id, 1, 1::bigint, min(i) filter (total >= 1000 or i = n), min(total) filter (total >= 1000 or i = n), any_value(n) from p group by doc_id
+        union all
+        select p.doc_id, any_value(c.chunk_no) + 1, min(p.i), min(p.i) filter (p.total >= c.total + 1000 or p.i = p.n), min(p.total) filter (p.total >= c.total + 1000 or p.i = p.n), any_value(p.n) from c join p on p.doc_id = c.doc_id and p.i > c.last group by p.doc_id)
+    select c.doc_id, chunk_no::int as chunk_no, string_agg(word, ' ' order by i) as chunk from c join p on p.doc_id = c.doc_id and p.i between c.first and c.last group by 1, 2""")
 def greedy_chunks_query(spark, folder):
-    return greedy_chunks(table(spark, folder, "documents"), "doc_id", "text", 1000)
+    return greedy_chunks(table(spark, folder, "documents"), "doc_id", "text", 1000).select("doc_id", "chunk_no", "chunk")
 
 
-@query("overlapping_chunks", """select load_id, (i + 1)::int as chunk_no, (i * 1800)::int as begin_at, least(i * 1800 + 2000, length(content))::int as end_at, substring(content, i * 1800 + 1, least(i * 1800 + 2000, length(content)) - i * 1800) as chunk
-    from (select load_id, content, unnest(range(case when length(content) <= 2000 then 1 else ((length(content) - 200 + 1799) // 1800) end)) as i from document_chunk where length(content) > 0)""")
+_ENDS = "[ \\n\\t.!?;]"
+
+
+@query("overlapping_chunks", f"""with recursive d as (select load_id, content, length(content) as n from document_chunk where length(content) > 0),
+    s(load_id, chunk_no, begin_at) as (
+        select load_id, 1, 0::bigint from d
+        union all
+        select d.load_id, s.chunk_no + 1, begin_at + 1800 + length(regexp_extract(substring(content, begin_at + 1801, 100), '^[^ \\n\\t.!?;]*{_ENDS}')) from s join d using (load_id) where begin_at + 2000 < n),
+    e as (select load_id, chunk_no, begin_at, content, n, case when begin_at + 2000 >= n then n else begin_at + 2000 end as stop, substring(content, begin_at + 1902, 100) as back from s join d using (load_id)),
+    f as (select *, case when stop < n and regexp_matches(back, '{_ENDS}') then stop - 99 + length(regexp_extract(back, '(?s)^.*{_ENDS}')) else stop end as end_at from e),
+    g as (select *, regexp_replace(regexp_replace(substring(content, begin_at + 1, end_at - begin_at), '^{_W.replace("[^", "[")}', ''), '{_W.replace("[^", "[")}$', '') as chunk from f)
+    select load_id, chunk_no::int as chunk_no, begin_at::int as begin_at, end_at::int as end_at, chunk from g where chunk <> ''""")
 def overlapping_chunks_query(spark, folder):
     return overlapping_chunks(table(spark, folder, "document_chunk"), "load_id", "content", 2000, 200)
 
@@ -164,17 +243,35 @@ def chunk_ids(spark, folder):
     return rows.select("load_id", chunk_id(F.col("metadata.accession_number"), F.col("section_type"), F.col("metadata.chunk_index").cast("string")).alias("id"))
 
 
-@query("table_rows", f"select load_id, unnest(range(len(r)))::int as place, unnest(r) as line from (select load_id, regexp_extract_all(content, '{TABLE_ROW}') as r from document_chunk where content is not null)")
+@query("table_rows", "select load_id, kind, unnest(range(len(r)))::int as place, unnest(r) as content from (" + " union all ".join(f"select load_id, {i} as kind, regexp_extract_all(content, '{p}') as r from document_chunk where content is not null" for i, p in enumerate(TABLES)) + ")")
 def table_rows(spark, folder):
-    return table(spark, folder, "document_chunk").filter("content is not null").select("load_id", F.posexplode(matches(F.col("content"), TABLE_ROW)).alias("place", "line"))
+    return tables(table(spark, folder, "document_chunk"), "load_id", "content").select("load_id", "kind", "place", "content")
+
 
+def _marked(i: int, name: str) -> str:
+    return f"'<table class=\"t{i}\"><tr><td>' || {name} || '</td></tr></table>'" if i == 0 else f"'| ' || {name} || ' |'"
 
-_AMOUNT_SQL = "(?i)" + r"([0-9,]+(?:\.[0-9]+)?) (million|billion|thousand)"
 
+@query("tables_in_markup", f"""with t as (select load_id, replace(replace(replace(section_name, '|', ' '), '<', ' '), chr(10), ' ') as name, replace(replace(coalesce(section_type, ''), '|', ' '), chr(10), ' ') as kind from filing_section where section_name is not null)
+    select load_id, kind_no as kind, place, 'table_' || kind_no || '_' || place as table_id, cell as content from (
+    select load_id, 0 as kind_no, 0 as place, {_marked(0, 'name')} as cell from t union all select load_id, 1, 0, {_marked(1, 'name')} from t union all select load_id, 1, 1, {_marked(1, 'kind')} from t)""")
+def tables_in_markup(spark, folder):
+    """The names of all sections written as a table in markup and two lines between bars, and found again."""
+    flat = lambda c, marks: F.translate(F.coalesce(F.col(c), F.lit("")), marks, " " * len(marks))
+    name, kind = flat("section_name", "|<\n"), flat("section_type", "|\n")
+    text = F.concat(F.lit('Before\n<table class="t0"><tr><td>'), name, F.lit("</td></tr></table>\nbetween\n| "), name, F.lit(" |\n| "), kind, F.lit(" |\nafter"))
+    docs = table(spark, folder, "filing_section").filter("section_name is not null").select("load_id", text.alias("text"))
+    return tables(docs, "load_id", "text").select("load_id", "kind", "place", "table_id", "content")
 
-@query("amounts", f"""select load_id, unnest(range(len(a)))::int as place, unnest(list_transform(a, lambda x: replace(x, ',', ''))) as amount, unnest(u) as unit from (
-    select load_id, regexp_extract_all(content, '{_AMOUNT_SQL}', 1) as a, regexp_extract_all(content, '{_AMOUNT_SQL}', 2) as u from filing_section where content is not null)""")
+
+@query("amounts", "select load_id, figure, (row_number() over (partition by load_id, figure order by p, place) - 1)::int as place, amount, unit from (" + " union all ".join(
+    f"select load_id, '{figure}' as figure, {i} as p, unnest(range(len(a))) as place, unnest(list_transform(a, lambda x: replace(x, ',', ''))) as amount, coalesce(unnest(u), '') as unit from (select load_id, regexp_extract_all(content, '(?i){p}', 1) as a, regexp_extract_all(content, '(?i){p}', 2) as u from filing_section where content is not null)"
+    for figure, patterns in FIGURES.items() for i, p in enumerate(patterns)) + ")")
 def amounts_query(spark, folder):
-    rows = table(spark, folder, "filing_section").filter("content is not null")
-    found = F.arrays_zip(matches(F.col("content"), _AMOUNT_SQL, 1).alias("a"), matches(F.col("content"), _AMOUNT_SQL, 2).alias("u"))
-    return rows.select("load_id", F.posexplode(found).alias("place", "m")).select("load_id", "place", F.replace(F.col("m.a"), F.lit(","), F.lit("")).alias("amount"), F.col("m.u").alias("unit"))
+    return amounts(table(spark, folder, "filing_section"), "load_id", "content")
+
+
+@query("clean_documents")
+def clean_documents(spark, folder):
+    """Documents without markup, entities, page numbers and rules, by the catalogue of noise."""
+    return table(spark, folder, "documents").select("doc_id", tx.clean_document(F.col("text")).alias("text"))

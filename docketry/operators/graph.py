@@ -18,6 +18,20 @@ def latest(df: DataFrame, key: str, by: list[str], keep: list[str]) -> DataFrame
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(*by)).alias("__row")).select(key, "__row.*")
 
 
+def latest_rows(df: DataFrame, key: str, by: list[str], unique: str) -> DataFrame:
+    """Whole rows, one per key: the one with the largest ``by`` columns, ties going to the larger ``unique``.
+
+    Only key, ``by`` and ``unique``, which names a row, are grouped. The few rows that lose are
+    taken away by an anti-join, so texts and vectors of all others stay where they are as long as
+    the losers are few enough to be sent around (left to the statistics at run time).
+    """
+    order = F.struct(*by, unique)
+    narrow = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(unique).alias("__unique"), order.alias("__order"))
+    best = narrow.groupBy("__key").agg(F.max("__order").alias("__best"), F.count("*").alias("__n")).filter("__n > 1")
+    losers = narrow.join(best, "__key").filter("__order < __best").select(F.col("__unique").alias(unique))
+    return df.filter(F.col(key).isNotNull()).join(losers, unique, "left_anti")
+
+
 def companies(df: DataFrame) -> DataFrame:
     """Upsert by ticker, last write wins; equal times go to the larger name, then sector."""
     return latest(df, "ticker", ["updated_at", "created_at", "name", "sector"], ["name", "cik", "sector", "industry", "sic"])
@@ -32,7 +46,7 @@ def filings(df: DataFrame, known: DataFrame) -> DataFrame:
 def sections(df: DataFrame, most_chars: int | None = None) -> DataFrame:
     """Sections with an embedding, once each, whole or cut to ``most_chars`` characters."""
     chosen = df.filter(F.col("embedding_compressed").isNotNull())
-    once = latest(chosen, "section_id", ["created_at", "load_id"], ["filing_id", "section_type", "section_name", "content", "chunk_index"])
+    once = latest_rows(chosen, "section_id", ["created_at"], "load_id").select("section_id", "filing_id", "section_type", "section_name", "content", "chunk_index")
     return once if most_chars is None else once.withColumn("content", F.substring("content", 1, most_chars))
 
 
@@ -45,15 +59,20 @@ CONTEXT_RULES = (
 )
 
 
-def context_counts(filings_: DataFrame) -> DataFrame:
+def context_counts(filings_: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(ticker, rel, edges): edges between filings of a company, from counts per type.
 
-    Each filing of a source type links to each filing of a target type of its company.
+    Each filing of a source type links to each filing of a target type of its company. With
+    ``stored`` (ticker, filing_type) only types in it are sources, and targets of annual reports.
     """
     rules = filings_.sparkSession.createDataFrame(CONTEXT_RULES, "src_type string, dst_type string, rel string")
     per_type = filings_.filter("ticker is not null and filing_type is not null").groupBy("ticker", "filing_type").agg(F.count("*").alias("n"))
     src = per_type.select("ticker", F.col("filing_type").alias("src_type"), F.col("n").alias("n_src")).join(F.broadcast(rules), "src_type")
     dst = per_type.select("ticker", F.col("filing_type").alias("dst_type"), F.col("n").alias("n_dst"))
+    if stored is not None:
+        src = src.join(stored.select("ticker", F.col("filing_type").alias("src_type")), ["ticker", "src_type"], "left_semi")
+        both = src.join(stored.select("ticker", F.col("filing_type").alias("dst_type")), ["ticker", "dst_type"], "left_semi").filter("rel = 'ANNUAL_TO_QUARTERLY'")
+        src = src.filter("rel <> 'ANNUAL_TO_QUARTERLY'").unionByName(both)
     return src.join(dst, ["ticker", "dst_type"]).groupBy("ticker", "rel").agg(F.sum(F.col("n_src") * F.col("n_dst")).alias("edges"))
 
 
@@ -85,10 +104,11 @@ COMPANY_SQL = "company_once as (select * from company where ticker is not null q
 FILING_SQL = "filing_once as (select * from filing where filing_id is not null and ticker in (select ticker from company) qualify row_number() over (partition by filing_id order by acceptance_ts desc nulls last, filing_date desc nulls last) = 1)"
 SECTION_SQL = "section_once as (select * from filing_section where section_id is not null qualify row_number() over (partition by section_id order by created_at desc nulls last, load_id desc) = 1)"
 MODEL_SQL = f"with {COMPANY_SQL}, {FILING_SQL}, {SECTION_SQL}"
+_RULES_SQL = "rules(src_type, dst_type, rel) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in CONTEXT_RULES) + ")"
 
 
 def sections_once(spark, folder, *keep):
-    return latest(table(spark, folder, "filing_section"), "section_id", ["created_at", "load_id"], list(keep))
+    return latest_rows(table(spark, folder, "filing_section"), "section_id", ["created_at"], "load_id").select("section_id", *keep)
 
 
 @query("company_upsert", f"with {COMPANY_SQL} select ticker, name, cik, sector, industry, sic from company_once")
@@ -140,7 +160,7 @@ def section_join_filter(spark, folder):
     known, filed = _model(spark, folder)
     filed = filed.filter(F.col("filing_type").isin("10-K", "10-Q") & F.col("filing_date").between("2020-01-01", "2023-12-31"))
     parts = sections_once(spark, folder, "filing_id", "section_type").filter(F.lower("section_type").isin("liquidity", "risk_factors", "governance"))
-    joined = parts.join(filed, "filing_id").join(F.broadcast(known.select("ticker", F.col("name").alias("company_name"))), "ticker")
+    joined = parts.join(filed, "filing_id").join(known.select("ticker", F.col("name").alias("company_name")), "ticker")
     return joined.select("section_id", "ticker", "company_name", "filing_type", "filing_date", "section_type")
 
 
@@ -162,7 +182,7 @@ def complete_filings(spark, folder):
     from filing f join company_once c on f.ticker = c.ticker""")
 def document_urls(spark, folder):
     known = companies(table(spark, folder, "company")).select("ticker", "cik")
-    return table(spark, folder, "filing").join(F.broadcast(known), "ticker").select("filing_id", url(F.col("cik"), F.col("accession_number"), F.col("primary_document")).alias("url"))
+    return table(spark, folder, "filing").join(known, "ticker").select("filing_id", url(F.col("cik"), F.col("accession_number"), F.col("primary_document")).alias("url"))
 
 
 @query("sector_edges", f"with {COMPANY_SQL} select a.ticker as src, b.ticker as dst, 'SAME_SECTOR' as rel from company_once a join company_once b on a.sector = b.sector and a.ticker <> b.ticker")
@@ -176,9 +196,6 @@ def competitor_counts(spark, folder):
     return known.groupBy("sector").agg(F.count("*").alias("companies")).withColumn("edges", F.col("companies") * (F.col("companies") - 1))
 
 
-_RULES_SQL = "rules(src_type, dst_type, rel) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in CONTEXT_RULES) + ")"
-
-
 @query("filing_edge_counts", f"""{MODEL_SQL}, {_RULES_SQL}
     select a.ticker, r.rel, count(*) as edges from filing_once a join rules r on a.filing_type = r.src_type join filing_once b on b.ticker = a.ticker and b.filing_type = r.dst_type group by 1, 2""")
 def filing_edge_counts(spark, folder):
@@ -201,7 +218,7 @@ def relation_totals(spark, folder):
 def filings_per_company(spark, folder):
     known, filed = _model(spark, folder)
     counts = filed.groupBy("ticker").agg(F.count("*").alias("filings"))
-    return counts.join(F.broadcast(known), "ticker").select("ticker", "name", "sector", "filings")
+    return counts.join(known, "ticker").select("ticker", "name", "sector", "filings")
 
 
 @query("sector_coverage", f"with {COMPANY_SQL} select sector, count(*) as companies from company_once group by sector")
@@ -219,15 +236,52 @@ def embedded_by_type(spark, folder):
     return sections_once(spark, folder, "section_type", "embedding_compressed").groupBy("section_type").agg(F.count("*").alias("sections"), F.count("embedding_compressed").alias("embedded"))
 
 
-@query("system_stats", """select 'company' as label, count(distinct ticker) as nodes from company union all select 'filing', count(distinct filing_id) from filing
-    union all select 'section', count(distinct section_id) from filing_section union all select 'fact', count(*) from xbrl_fact union all select 'executive', count(distinct executive_name) from insider_transaction""")
+@query("embedded_by_filing_type", f"with {SECTION_SQL} select filing_type, count(*) as sections from section_once where embedding_compressed is not null group by 1")
+def embedded_by_filing_type(spark, folder):
+    return sections_once(spark, folder, "filing_type", "embedding_compressed").filter("embedding_compressed is not null").groupBy("filing_type").agg(F.count("*").alias("sections"))
+
+
+@query("creation_gates", f"""{MODEL_SQL}, ok as (select distinct ticker, filing_type from filing_once where filing_id in (select filing_id from section_once where embedding_compressed is not null)), {_RULES_SQL}
+    select a.ticker, r.rel, count(*) as edges from filing_once a join rules r on a.filing_type = r.src_type join filing_once b on b.ticker = a.ticker and b.filing_type = r.dst_type
+    where exists (select 1 from ok where ok.ticker = a.ticker and ok.filing_type = r.src_type) and (r.rel <> 'ANNUAL_TO_QUARTERLY' or exists (select 1 from ok where ok.ticker = a.ticker and ok.filing_type = r.dst_type)) group by 1, 2""")
+def creation_gates(spark, folder):
+    """Edges that are made only where sections of the source type were stored, and of the target
+    type too for annual to quarterly."""
+    filed = _model(spark, folder)[1]
+    stored = sections(table(spark, folder, "filing_section")).select("filing_id").distinct()
+    ok = filed.join(stored, "filing_id", "left_semi").select("ticker", "filing_type").distinct()
+    return context_counts(filed, ok)
+
+
+@query("system_stats", f"""{MODEL_SQL}, {_RULES_SQL} select 'company' as label, count(distinct ticker) as nodes from company union all select 'filing', count(distinct filing_id) from filing
+    union all select 'section', count(distinct section_id) from filing_section union all select 'fact', count(*) from xbrl_fact union all select 'executive', count(distinct executive_name) from insider_transaction
+    union all select 'relationship', (select count(*) from filing_once a join rules r on a.filing_type = r.src_type join filing_once b on b.ticker = a.ticker and b.filing_type = r.dst_type)
+    + (select 2 * coalesce(sum(n * (n - 1)), 0) from (select count(*) as n from company_once where sector is not null group by sector))
+    + (select count(*) from filing_once) + (select count(*) from section_once where filing_id in (select filing_id from filing_once)) + (select count(*) from xbrl_fact where accession_number in (select accession_number from filing_once))""")
 def system_stats(spark, folder):
     """Always one row per label, also for empty tables."""
     parts = [("company", "company", "ticker"), ("filing", "filing", "filing_id"), ("section", "filing_section", "section_id"), ("executive", "insider_transaction", "executive_name")]
     out = table(spark, folder, "xbrl_fact").agg(F.count("*").alias("nodes")).select(F.lit("fact").alias("label"), "nodes")
     for label, name, key in parts:
         out = out.unionByName(table(spark, folder, name).agg(F.countDistinct(key).alias("nodes")).select(F.lit(label).alias("label"), "nodes"))
-    return out
+    return out.unionByName(relationship_count(spark, folder).select(F.lit("relationship").alias("label"), "nodes"))
+
+
+def relationship_count(spark, folder) -> DataFrame:
+    """(nodes): all edges of the model: context between filings, sector and competitor edges (each
+    way), and what belongs to companies and filings; all from counts, no edge is listed."""
+    known, filed = _model(spark, folder)
+    parts = [
+        context_counts(filed).select("edges"),
+        known.filter("sector is not null").groupBy("sector").agg((2 * F.count("*") * (F.count("*") - 1)).alias("edges")).select("edges"),
+        filed.agg(F.count("*").alias("edges")),
+        sections_once(spark, folder, "filing_id").join(filed.select("filing_id"), "filing_id", "left_semi").agg(F.count("*").alias("edges")),
+        table(spark, folder, "xbrl_fact").select("accession_number").join(filed.select("accession_number"), "accession_number", "left_semi").agg(F.count("*").alias("edges")),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("nodes"))
 
 
 @query("filing_summary", f"""{MODEL_SQL},
@@ -248,7 +302,7 @@ def filing_summary(spark, folder):
 @query("sector_rollup", f"{MODEL_SQL} select c.sector, f.ticker, count(*) as filings, grouping(c.sector, f.ticker) as level from filing_once f join company_once c on f.ticker = c.ticker group by rollup (c.sector, f.ticker)")
 def sector_rollup(spark, folder):
     known, filed = _model(spark, folder)
-    joined = filed.join(F.broadcast(known.select("ticker", "sector")), "ticker")
+    joined = filed.join(known.select("ticker", "sector"), "ticker")
     return joined.rollup("sector", "ticker").agg(F.count("*").alias("filings"), F.grouping_id().cast("bigint").alias("level"))
 
 

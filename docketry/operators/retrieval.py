@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.vectors import combine, cosine, dot, doubles
 from docketry.operators import terms as text_terms
-from docketry.operators.graph import latest
+from docketry.operators.graph import latest_rows
 from docketry.registry import query
 from docketry.tables import table
 
@@ -116,7 +116,7 @@ def ensemble_combine(spark, folder):
     concat_ws(',', case when s.score is not null then 'semantic' end, case when t.score is not null then 'text' end) as methods from sem s full join txt t on s.section_type = t.section_type""")
 def hybrid_rank(spark, folder):
     """Section types by their best vector hit among chunks and their best text hit among sections."""
-    chunks = latest(table(spark, folder, "document_chunk").filter("embedding is not null"), "chunk_id", ["ingested_at", "load_id"], ["section_type", "embedding"])
+    chunks = latest_rows(table(spark, folder, "document_chunk").filter("embedding is not null"), "chunk_id", ["ingested_at"], "load_id").select("chunk_id", "section_type", "embedding")
     q = chunks.orderBy("chunk_id").limit(1).select(F.col("embedding").alias("q"))
     scored = chunks.crossJoin(F.broadcast(q)).filter("section_type is not null and size(embedding) = size(q)")
     semantic = scored.groupBy("section_type").agg(F.max(F.round(cosine(F.col("embedding"), F.col("q")), 6)).alias("score"))

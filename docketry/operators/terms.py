@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.fixed import FINANCIAL_TERMS, STOP_WORDS, SYNONYMS
 from docketry.functions.text import terms, with_bigrams
-from docketry.operators.graph import SECTION_SQL, latest
+from docketry.operators.graph import SECTION_SQL, latest_rows
 from docketry.registry import query
 from docketry.session import cut
 from docketry.tables import table
 
 
+def _counted(features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, n, terms): how often each row's list has each term; one pass over the batch."""
+    flat = features.flatten().dictionary_encode()
+    rows = np.repeat(np.arange(len(features)), np.diff(features.offsets.to_numpy()))
+    width = max(len(flat.dictionary), 1)
+    both, n = np.unique(rows * width + flat.indices.to_numpy(), return_counts=True)
+    return both // width, both % width, n, flat.dictionary
+
+
+def _features(docs: DataFrame, key: str, text: str, bigrams: bool) -> DataFrame:
+    words = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), terms(F.col(text)).alias("__w"))
+    return words.select("k", (with_bigrams(F.col("__w")) if bigrams else F.col("__w")).alias("f"))
+
+
 def term_counts(docs: DataFrame, key: str, text: str, bigrams: bool = True) -> DataFrame:
     """(key, term, n): how often each document has each term.
 
-    Counted inside each document first, so the shuffle carries one row per distinct term.
+    A document is one row and is counted there, so nothing is shuffled. Null texts have no terms.
     """
-    words = docs.filter(F.col(text).isNotNull()).select(key, terms(F.col(text)).alias("__w"))
-    features = with_bigrams(F.col("__w")) if bigrams else F.col("__w")
-    return words.select(key, F.explode(features).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    source = _features(docs, key, text, bigrams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, n, known = _counted(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), known.take(pa.array(code)), pa.array(n.astype(np.int64))], names=[key, "term", "n"])
+
+    return source.mapInArrow(run, f"`{key}` {source.schema['k'].dataType.simpleString()}, term string, n long")
 
 
 def is_financial(term: Column) -> Column:
@@ -36,7 +60,7 @@ def vocabulary(counts: DataFrame, documents: Column | int, min_df: int = 2, max_
     Terms in fewer than ``min_df`` or more than ``max_df`` of the documents are left out.
     """
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.lit(max_df) * documents))) if isinstance(documents, int) else df
+    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.lit(max_df) * documents)))
     # As a column: an expression in the order would be evaluated at every comparison.
     order = [F.desc("__fin"), F.desc("df"), F.asc("term")]
     # Take the best first (a bounded heap per task), then number the few that are left.
@@ -44,12 +68,53 @@ def vocabulary(counts: DataFrame, documents: Column | int, min_df: int = 2, max_
     return best.withColumn("term_id", F.row_number().over(Window.orderBy(*order)) - 1).select("term_id", "term", "df")
 
 
-def tfidf(counts: DataFrame, vocab: DataFrame, documents: int, key: str) -> DataFrame:
-    """(key, term, weight): share of the term among the document's known terms times ln(N / df)."""
-    # The vocabulary is bounded (``most`` terms), so it goes to the counts and they stay put.
-    known = counts.join(F.broadcast(vocab.select("term", "df")), "term")
-    total = F.sum("n").over(Window.partitionBy(key))
-    return known.withColumn("weight", F.col("n") / total * F.log(F.lit(documents) / F.col("df"))).select(key, "term", "n", "weight")
+#: Most terms of a vocabulary that is sent to all tasks; more is an error.
+MOST_TERMS = 200_000
+
+
+def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, documents: int, top: int | None = None, method: str = "tfidf") -> DataFrame:
+    """(key, term, n, weight): the share of the term among the document's known terms times
+    ln(N / df), rounded to six places; with ``method`` "bow" the weight is the count. ``top`` keeps
+    the largest weights of each document, ties going to the smaller term.
+
+    The vocabulary has a known bound (``most`` of ``vocabulary``) and goes to the texts, which
+    stay put: a document is one row, so its total and its largest weights need no shuffle.
+    """
+    if method not in ("tfidf", "bow"):
+        raise ValueError(f"unknown method {method!r}")
+    known = [(r["term"], r["df"]) for r in vocab.select("term", "df").limit(MOST_TERMS + 1).collect()]
+    if len(known) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    sent = docs.sparkSession.sparkContext.broadcast(dict(known))
+    source = _features(docs, key, text, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, n, found = _counted(batch.column(1))
+            df = np.array([sent.value.get(t, 0) for t in found.to_pylist()], np.int64)
+            kept = df[code] > 0 if len(code) else np.zeros(0, np.bool_)
+            row, code, n = row[kept], code[kept], n[kept]
+            weight = n.astype(np.float64)
+            if method == "tfidf":
+                weight = n / np.bincount(row, n, len(batch))[row] * np.log(documents / df[code])
+                weight = np.array([round(w, 6) for w in weight.tolist()], np.float64)
+            if top is not None and len(row):
+                names = np.empty(len(found), np.int64)
+                names[np.argsort(np.array(found.to_pylist(), object))] = np.arange(len(found))
+                order = np.lexsort((names[code], -weight, row))
+                order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < top]
+                row, code, n, weight = row[order], code[order], n[order], weight[order]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), found.take(pa.array(code)), pa.array(n.astype(np.int64)), pa.array(weight)], names=[key, "term", "n", "weight"])
+
+    return source.mapInArrow(run, f"`{key}` {source.schema['k'].dataType.simpleString()}, term string, n long, weight double")
+
+
+def sample_vocabulary(docs: DataFrame, key: str, text: str, most: int = 1000, least_chars: int = 100) -> tuple[DataFrame, int]:
+    """(vocabulary, documents) fitted on the first ``most`` documents by key with more than
+    ``least_chars`` characters; an empty vocabulary and 0 if there is none."""
+    chosen = cut(docs.filter(F.length(F.trim(F.col(text))) > least_chars).orderBy(key).limit(most).select(key, text))
+    n = chosen.count()
+    return vocabulary(term_counts(chosen, key, text), n), n
 
 
 def bm25_search(docs: DataFrame, key: str, text: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -71,14 +136,14 @@ def bm25_search(docs: DataFrame, key: str, text: str, words: list[str], k1: floa
     return scored.groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
 
 
-def widened(words: list[str], most: int = 10) -> list[str]:
-    """Query words with the synonyms of their groups, first seen first, at most ``most``."""
-    out: list[str] = []
-    for word in words:
-        for found in [word, *(s for group in SYNONYMS.values() if word in group for s in group)]:
-            if found not in out:
-                out.append(found)
-    return out[:most]
+def widened(words: list[str]) -> list[str]:
+    """Query words, then the synonyms of their groups, first seen first; none is left out."""
+    return list(dict.fromkeys([*words, *(s for word in words for group in SYNONYMS.values() if word in group for s in group)]))
+
+
+def query_words(text: str) -> list[str]:
+    """The words of a question as those of a text: lower-cased, longer than two, no stop words."""
+    return list(dict.fromkeys(w for w in re.sub(r"[^a-z0-9\s]", " ", text.lower()).split() if len(w) > 2 and w not in STOP_WORDS))
 
 
 def fuzzy_terms(counts: DataFrame, words: list[str]) -> DataFrame:
@@ -89,11 +154,24 @@ def fuzzy_terms(counts: DataFrame, words: list[str]) -> DataFrame:
     return near.withColumn("distance", F.levenshtein("term", "word")).filter(F.col("distance") <= F.col("most")).select("word", "term", "distance")
 
 
+#: Most corpus terms near a question's words that are searched; more is an error, not a cut.
+MOST_NEAR = 100_000
+
+
+def fuzzy_search(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+    """``bm25_search`` for the words and all corpus terms within their edit distance, so that
+    misspelled words find what they mean; a near term counts as a term of its own."""
+    near = [r["term"] for r in fuzzy_terms(term_counts(docs, key, text, bigrams=False), words).select("term").distinct().limit(MOST_NEAR + 1).collect()]
+    if len(near) > MOST_NEAR:
+        raise ValueError(f"more than {MOST_NEAR} terms are near these words")
+    return bm25_search(docs, key, text, list(dict.fromkeys([*words, *sorted(near)])))
+
+
 QUESTION = "revenue growth and debt risk"
 
 
 def _sections(spark, folder):
-    return latest(table(spark, folder, "filing_section"), "section_id", ["created_at", "load_id"], ["ticker", "filing_type", "section_type", "content"])
+    return latest_rows(table(spark, folder, "filing_section"), "section_id", ["created_at"], "load_id").select("section_id", "ticker", "filing_type", "section_type", "content")
 
 
 def _counts(spark, folder, bigrams=True):
@@ -127,38 +205,50 @@ def document_frequency(spark, folder):
 
 def _vocabulary(spark, folder):
     docs = _sections(spark, folder).filter("content is not null").count()
-    counts = cut(_counts(spark, folder))
-    return counts, vocabulary(counts, docs), docs
+    return vocabulary(_counts(spark, folder), docs), docs
 
 
 @query("tfidf_vocabulary", f"{_COUNT_SQL} select term_id, term, df from vocab")
 def tfidf_vocabulary(spark, folder):
-    return _vocabulary(spark, folder)[1]
+    return _vocabulary(spark, folder)[0]
 
 
 @query("tfidf_scores", f"""{_COUNT_SQL} select c.section_id, c.term, round(n / sum(n) over (partition by c.section_id) * ln((select documents from docs) / v.df), 6) as weight from counts c join vocab v on c.term = v.term""")
 def tfidf_scores(spark, folder):
-    counts, vocab, docs = _vocabulary(spark, folder)
-    return tfidf(counts, vocab, docs, "section_id").select("section_id", "term", F.round("weight", 6).alias("weight"))
+    vocab, docs = _vocabulary(spark, folder)
+    return tfidf(_sections(spark, folder), "section_id", "content", vocab, docs).select("section_id", "term", "weight")
+
+
+@query("bag_of_words", f"""{_COUNT_SQL} select c.section_id, c.term, n::double as weight from counts c join vocab v on c.term = v.term""")
+def bag_of_words(spark, folder):
+    vocab, docs = _vocabulary(spark, folder)
+    return tfidf(_sections(spark, folder), "section_id", "content", vocab, docs, method="bow").select("section_id", "term", "weight")
+
+
+_SAMPLE_SQL = _COUNT_SQL.replace("where content is not null),", "where length(trim(content)) > 100 order by section_id limit 500),", 1)
+
+
+@query("sample_vocabulary", f"{_SAMPLE_SQL} select term_id, term, df from vocab")
+def sample_vocabulary_query(spark, folder):
+    """The vocabulary of the first 500 sections of more than 100 characters."""
+    return sample_vocabulary(_sections(spark, folder), "section_id", "content", 500)[0]
 
 
 @query("tfidf_top_features", f"""{_COUNT_SQL}, s as (select c.section_id, c.term, round(n / sum(n) over (partition by c.section_id) * ln((select documents from docs) / v.df), 6) as weight from counts c join vocab v on c.term = v.term)
     select section_id, term, weight from s qualify row_number() over (partition by section_id order by weight desc, term) <= 10""")
 def tfidf_top_features(spark, folder):
-    counts, vocab, docs = _vocabulary(spark, folder)
-    scored = tfidf(counts, vocab, docs, "section_id").withColumn("weight", F.round("weight", 6))
-    rank = F.row_number().over(Window.partitionBy("section_id").orderBy(F.desc("weight"), "term"))
-    return scored.withColumn("rank", rank).filter("rank <= 10").select("section_id", "term", "weight")
+    vocab, docs = _vocabulary(spark, folder)
+    return tfidf(_sections(spark, folder), "section_id", "content", vocab, docs, top=10).select("section_id", "term", "weight")
 
 
 @query("vocabulary_stats", f"""{_COUNT_SQL} select count(*) as terms, count(*) filter (not contains(term, ' ')) as unigrams, count(*) filter (contains(term, ' ')) as bigrams, count(*) filter ({_FIN_SQL}) as financial,
     round(avg(df), 6) as mean_df, max(df) as max_df, min(df) as min_df from vocab""")
 def vocabulary_stats(spark, folder):
     two = F.col("term").contains(" ")
-    return _vocabulary(spark, folder)[1].agg(F.count("*").alias("terms"), F.count_if(~two).alias("unigrams"), F.count_if(two).alias("bigrams"), F.count_if(is_financial(F.col("term"))).alias("financial"), F.round(F.avg("df"), 6).alias("mean_df"), F.max("df").alias("max_df"), F.min("df").alias("min_df"))
+    return _vocabulary(spark, folder)[0].agg(F.count("*").alias("terms"), F.count_if(~two).alias("unigrams"), F.count_if(two).alias("bigrams"), F.count_if(is_financial(F.col("term"))).alias("financial"), F.round(F.avg("df"), 6).alias("mean_df"), F.max("df").alias("max_df"), F.min("df").alias("min_df"))
 
 
-_WANTED = widened([w for w in QUESTION.split() if w not in STOP_WORDS])
+_WANTED = widened(query_words(QUESTION))
 _BM25_SQL = f"""{_COUNT_SQL}, lengths as (select section_id, len(words) as len from w), hits as (select u.* from uni u where term in ({_list(_WANTED)})),
     dfs as (select term, count(*) as df from hits group by term), stats as (select count(*) as docs, avg(len) as mean_len from lengths),
     bm25 as (select h.section_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / mean_len))) as score, count(*) as matched
@@ -175,6 +265,23 @@ def text_search(spark, folder):
     return found.orderBy(F.desc("score"), "section_id").limit(20).select("section_id", "score", "matched")
 
 
+MISSPELLED = "revenues grwth debtt"
+_MISSPELLED = query_words(MISSPELLED)
+_NEAR_SQL = f"""{_COUNT_SQL}, q(word, most) as (values {', '.join(f"('{w}', {min(2, len(w) // 5)})" for w in _MISSPELLED)}),
+    near as (select distinct term from (select distinct term from uni), q where abs(length(term) - length(word)) <= most and levenshtein(term, word) <= most),
+    lengths as (select section_id, len(words) as len from w), hits as (select u.* from uni u where term in (select term from near)),
+    dfs as (select term, count(*) as df from hits group by term), stats as (select count(*) as docs, avg(len) as mean_len from lengths)
+    select h.section_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / mean_len))), 6) as score, count(*) as matched
+    from hits h join dfs using (term) join lengths using (section_id), stats group by 1"""
+
+
+@query("fuzzy_search", _NEAR_SQL)
+def fuzzy_search_query(spark, folder):
+    """Sections for a misspelled question."""
+    found = fuzzy_search(_sections(spark, folder), "section_id", "content", _MISSPELLED)
+    return found.select("section_id", F.round("score", 6).alias("score"), "matched")
+
+
 @query("fuzzy_terms", f"""{_COUNT_SQL}, q(word, most) as (values {', '.join(f"('{w}', {min(2, len(w) // 5)})" for w in _WANTED)})
     select word, term, levenshtein(term, word) as distance from (select distinct term from uni), q where abs(length(term) - length(word)) <= most and levenshtein(term, word) <= most""")
 def fuzzy_terms_query(spark, folder):
@@ -205,4 +312,4 @@ def batch_text_search(spark, folder):
     """The best sections for every section name read as a question."""
     questions = table(spark, folder, "filing_section").filter("section_name is not null").select("section_name").distinct()
     docs = _sections(spark, folder).filter("content is not null").count()
-    return batch_search(cut(_counts(spark, folder, bigrams=False)), docs, questions, "section_name", "section_name", "section_id")
+    return batch_search(_counts(spark, folder, bigrams=False), docs, questions, "section_name", "section_name", "section_id")

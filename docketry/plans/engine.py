@@ -44,8 +44,8 @@ class Engine:
 
     @cached_property
     def sections(self) -> DataFrame:
-        rows = graph.latest(table(self.spark, self.folder, "filing_section"), "section_id", ["created_at", "load_id"], ["filing_id", "section_type", "content", "embedding_compressed"])
-        filed = self.filings.join(F.broadcast(self.companies.select("ticker", F.col("name").alias("company_name"))), "ticker")
+        rows = graph.latest_rows(table(self.spark, self.folder, "filing_section"), "section_id", ["created_at"], "load_id").select("section_id", "filing_id", "section_type", "content", "embedding_compressed")
+        filed = self.filings.join(self.companies.select("ticker", F.col("name").alias("company_name")), "ticker")
         return rows.join(filed, "filing_id")
 
     def _filtered(self, tickers, filing_types, dates, section_types) -> DataFrame:
