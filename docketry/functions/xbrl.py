@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,21 +61,48 @@ def period_code(end: Column) -> Column:
     return F.concat(months, F.array(F.coalesce((F.year(date) - 2000) / 50.0, F.lit(0.0))))
 
 
+#: Pairs of letters that are counted, and words that show a taxonomy.
+BIGRAMS = ["in", "on", "er", "an", "re", "ed", "nd", "ou", "ea", "ti"]
+TAXONOMIES = ["gaap", "dei", "us", "ifrs", "sec"]
+
+
 def name_code(concept: Column) -> Column:
-    """Length over 100 (at most 1) and the share of each letter in the name."""
+    """Length over 100 (at most 1), the share of each letter among the letters, a fifth of the
+    number of each common pair of letters (at most 1) and the taxonomies named."""
     name = F.lower(F.coalesce(concept, F.lit("")))
-    size = F.greatest(F.length(name), F.lit(1))
-    letters = [(F.length(name) - F.length(F.replace(name, F.lit(chr(97 + i)), F.lit("")))) / size for i in range(26)]
-    return F.array(F.least(F.length(name) / 100.0, F.lit(1.0)), *letters)
+    letters = F.greatest(F.length(F.regexp_replace(name, r"\P{L}", "")), F.lit(1))
+    count = lambda part: (F.length(name) - F.length(F.replace(name, F.lit(part), F.lit("")))) / len(part)
+    return F.array(
+        F.least(F.length(name) / 100.0, F.lit(1.0)), *(count(chr(97 + i)) / letters for i in range(26)),
+        *(F.least(count(pair) / 5.0, F.lit(1.0)) for pair in BIGRAMS), *(F.when(name.contains(t), 1.0).otherwise(0.0) for t in TAXONOMIES),
+    )
+
+
+def unit_slot(unit: Column) -> Column:
+    """One of ten places for a unit, by a hash of its name; no unit is US dollars."""
+    digest = F.md5(F.lower(F.when(F.length(unit) > 0, unit).otherwise("usd")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 20 % 10).cast("int")
+
 
+def _zeros(n: int) -> Column:
+    return F.array(*([F.lit(0.0)] * n))
 
-def fact_vector(concept: Column, value: Column, period: Column) -> Column:
-    """A fact as numbers: category slots, decaying value slots, period code, name code."""
+
+#: Length of a fact vector.
+WIDTH = 100
+
+
+def fact_vector(concept: Column, value: Column, period: Column, unit: Column | None = None) -> Column:
+    """A fact as 100 numbers: categories from place 0 (other as the first), decaying values from 10,
+    a half at the unit's place from 20, period code from 35, name code from 50, zeros elsewhere."""
     names = [label for label, _ in CATEGORIES]
     kind = category(bare_concept(concept))
-    slots = F.array(*(F.when(kind == n, 1.0).otherwise(0.0) for n in names))
+    slots = F.array(*(F.when((kind == n) | ((kind == "other") if i == 0 else F.lit(False)), 1.0).otherwise(0.0) for i, n in enumerate(names)))
     size = F.array(*(scaled(value) * (0.8**i) for i in range(5)))
-    return F.when(concept.isNotNull(), F.concat(slots, size, period_code(period_end(period)), name_code(bare_concept(concept))))
+    place = unit_slot(F.lit(None).cast("string") if unit is None else unit)
+    units = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == place, 0.5).otherwise(0.0))
+    parts = [slots, _zeros(10 - len(names)), size, _zeros(5), units, _zeros(5), period_code(period_end(period)), _zeros(2), name_code(concept), _zeros(8)]
+    return F.when(concept.isNotNull(), F.concat(*parts))
 
 
 KEYWORDS = list(dict.fromkeys(k for _, keys in CATEGORIES for k in keys))
@@ -101,16 +130,16 @@ def category_ratios(text: Column) -> dict[str, Column]:
     return out
 
 
-#: Length of a fact vector: categories, value slots, period code, name code.
-WIDTH = len(CATEGORIES) + 5 + 13 + 27
-
-
 def keyword_vector(keyword: str) -> list[float]:
-    """The fact vector of a keyword with value 1 and no date, as a constant."""
+    """The fact vector of a keyword with value 1, no date and no unit, as a constant."""
     label = next(name for name, keys in CATEGORIES if any(k in keyword for k in keys))
-    slots = [1.0 if name == label else 0.0 for name, _ in CATEGORIES]
-    letters = [keyword.count(chr(97 + i)) / len(keyword) for i in range(26)]
-    return [*slots, *[0.0] * 18, min(len(keyword) / 100.0, 1.0), *letters]
+    out = [0.0] * WIDTH
+    out[[name for name, _ in CATEGORIES].index(label)] = 1.0
+    out[20 + int(hashlib.md5(b"usd").hexdigest()[:8], 16) % 20 % 10] = 0.5
+    letters = max(sum(c.isalpha() for c in keyword), 1)
+    code = [min(len(keyword) / 100.0, 1.0), *(keyword.count(chr(97 + i)) / letters for i in range(26)), *(min(keyword.count(p) / 5.0, 1.0) for p in BIGRAMS), *(1.0 if t in keyword else 0.0 for t in TAXONOMIES)]
+    out[50 : 50 + len(code)] = code
+    return out
 
 
 def text_vector(text: Column) -> Column:

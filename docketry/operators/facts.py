@@ -63,26 +63,45 @@ def concept_search_query(spark, folder):
     return concept_search(table(spark, folder, "xbrl_fact"), table(spark, folder, "filing"), _WANTED)
 
 
-@query("facts_flattened", "select accession_number, concept, unit, value, form from xbrl_fact where concept is not null and unit is not null")
+@query("facts_flattened", "select accession_number, concept, unit, value, form from xbrl_fact where accession_number is not null and concept is not null and unit is not null")
 def facts_flattened(spark, folder):
-    """Facts nested as delivered by the public feed (taxonomy, concept, unit) and read back."""
-    rows = table(spark, folder, "xbrl_fact").filter("concept is not null and unit is not null")
+    """All facts of a filing nested as delivered by the public feed (taxonomy, concept, unit) and read back."""
+    rows = table(spark, folder, "xbrl_fact").filter("accession_number is not null and concept is not null and unit is not null")
     fact = F.struct(F.col("value").alias("val"), F.col("period").alias("end"), "form", F.col("filed").cast("string").alias("filed"), "frame")
-    nested = F.struct(F.create_map(F.lit("us-gaap"), F.create_map("concept", F.struct(F.create_map("unit", F.array(fact)).alias("units")))).alias("facts"))
-    return flatten_facts(rows.select("accession_number", F.to_json(nested).alias("j")), "j", ["accession_number"]).select("accession_number", "concept", "unit", "value", "form")
+    units = rows.groupBy("accession_number", "concept", "unit").agg(F.collect_list(fact).alias("facts"))
+    concepts = units.groupBy("accession_number", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "facts"))).alias("units"))
+    filed = concepts.groupBy("accession_number").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units")))).alias("c"))
+    nested = F.struct(F.create_map(F.lit("us-gaap"), F.col("c")).alias("facts"))
+    return flatten_facts(filed.select("accession_number", F.to_json(nested).alias("j")), "j", ["accession_number"]).select("accession_number", "concept", "unit", "value", "form")
 
 
-@query("fact_vectors")
-def fact_vectors(spark, folder):
-    c = F.col
-    return table(spark, folder, "xbrl_fact").select("accession_number", "concept", xbrl.fact_vector(c("concept"), c("value"), c("period")).alias("vector"))
+_SCALED = "case when abs(coalesce(value, 0)) >= 1 then sign(value) * log10(abs(value)) / 10 else coalesce(value, 0.0) end"
+
+
+def _vector_sql() -> str:
+    """The 100 numbers of a fact as SQL expressions over columns of xbrl_fact."""
+    names = list(CONCEPT_CATEGORIES)
+    end = "try_strptime(left(case when contains(period, '/') then split_part(period, '/', 2) else period end, 10), '%Y-%m-%d')"
+    unit = "(('0x' || left(md5(lower(case when length(unit) > 0 then unit else 'usd' end)), 8))::bigint % 20 % 10)"
+    letters = "greatest(length(regexp_replace(lower(concept), '\\P{L}', '', 'g')), 1)"
+    count = lambda part: f"((length(concept) - length(replace(lower(concept), '{part}', ''))) / {float(len(part))})"
+    slots = [f"case when kind = '{n}'{' or kind = ' + chr(39) + 'other' + chr(39) if i == 0 else ''} then 1.0 else 0.0 end" for i, n in enumerate(names)]
+    slots += ["0.0"] * (10 - len(names)) + [f"({_SCALED}) * {0.8 ** i!r}" for i in range(5)] + ["0.0"] * 5
+    slots += [f"case when {unit} = {i} then 0.5 else 0.0 end" for i in range(10)] + ["0.0"] * 5
+    slots += [f"case when month({end}) = {m} then 1.0 else 0.0 end" for m in range(1, 13)] + [f"coalesce((year({end}) - 2000) / 50.0, 0.0)", "0.0", "0.0"]
+    slots += ["least(length(concept) / 100.0, 1.0)"] + [f"{count(chr(97 + i))} / {letters}" for i in range(26)]
+    slots += [f"least({count(pair)} / 5.0, 1.0)" for pair in xbrl.BIGRAMS] + [f"case when contains(lower(concept), '{t}') then 1.0 else 0.0 end" for t in xbrl.TAXONOMIES] + ["0.0"] * 8
+    return "[" + ", ".join(f"({x})::double" for x in slots) + "]"
+
 
+_VECTOR_SQL = f"v as (select *, case when concept is not null then {_vector_sql()} end as vector from (select *, {_CATEGORY} as kind from xbrl_fact))"
+rounded = lambda v: F.transform(v, lambda x: F.round(x, 6) + 0.0)
 
-@query("fact_vector_size", """select concept is null as missing, count(*) as facts, 8 + 5 + 13 + 27 as size from xbrl_fact group by 1""")
-def fact_vector_size(spark, folder):
+
+@query("fact_vectors", f"with {_VECTOR_SQL} select accession_number, concept, list_transform(vector, lambda x: round(x, 6) + 0.0) as vector from v")
+def fact_vectors(spark, folder):
     c = F.col
-    size = F.size(xbrl.fact_vector(F.coalesce(c("concept"), F.lit("")), c("value"), c("period")))
-    return table(spark, folder, "xbrl_fact").groupBy(c("concept").isNull().alias("missing")).agg(F.count("*").alias("facts"), F.max(size).alias("size"))
+    return table(spark, folder, "xbrl_fact").select("accession_number", "concept", rounded(xbrl.fact_vector(c("concept"), c("value"), c("period"), c("unit"))).alias("vector"))
 
 
 @query("text_categories", "select load_id, " + ", ".join("round((" + " + ".join(f"contains(lower(content), '{k}')::int" for k in keys) + f") / {float(len(keys))}, 6) as {label}" for label, keys in CONCEPT_CATEGORIES.items()) + " from filing_section where content is not null")
@@ -91,12 +110,15 @@ def text_categories(spark, folder):
     return rows.select("load_id", *(F.round(c, 6).alias(n) for n, c in xbrl.category_ratios(F.col("content")).items()))
 
 
-@query("text_vectors")
-def text_vectors(spark, folder):
-    return table(spark, folder, "filing_section").select("load_id", xbrl.text_vector(F.col("content")).alias("vector"))
+_KEYWORD_SQL = "k(keyword, v) as (values " + ", ".join(f"('{k}', {xbrl.keyword_vector(k)!r}::double[])" for k in xbrl.KEYWORDS) + ")"
+_RATIOS = ", ".join("(" + " + ".join(f"contains(lower(content), '{k}')::int" for k in keys) + f") / {float(len(keys))}" for keys in CONCEPT_CATEGORIES.values())
 
 
-_SCALED = "case when abs(coalesce(value, 0)) >= 1 then sign(value) * log10(abs(value)) / 10 else coalesce(value, 0.0) end"
+@query("text_vectors", f"""with {_KEYWORD_SQL}, s as (select load_id, content from filing_section), f as (select load_id, unnest(v) as x, unnest(range(100)) as i from s join k on contains(lower(content), keyword)),
+    m as (select load_id, i, avg(x) as x from f group by 1, 2), g as (select load_id, list(round(x, 5) + 0.0 order by i) as vector from m group by 1)
+    select load_id, case when content is null then null when g.vector is not null then g.vector else list_transform(list_concat([{_RATIOS}, least(length(content) / 1000.0, 1.0)]::double[], [{", ".join(["0.0"] * (99 - len(CONCEPT_CATEGORIES)))}]::double[]), lambda x: round(x, 5) + 0.0) end as vector from s left join g using (load_id)""")
+def text_vectors(spark, folder):
+    return table(spark, folder, "filing_section").select("load_id", F.transform(xbrl.text_vector(F.col("content")), lambda x: F.round(x, 5) + 0.0).alias("vector"))
 
 
 @query("filing_vector_weights", f"""select accession_number, count(*) as facts, round(sum(abs({_SCALED}) + 0.1), 6) as weight, round(sum({_SCALED} * (abs({_SCALED}) + 0.1)) / sum(abs({_SCALED}) + 0.1), 6) as mean_scaled
@@ -114,11 +136,12 @@ def filing_vectors(facts: DataFrame) -> DataFrame:
     Elements are aggregated by place, so no task holds a filing's vectors together.
     """
     c = F.col
-    rows = facts.filter("concept is not null").select("accession_number", (F.abs(xbrl.scaled(c("value"))) + 0.1).alias("w"), F.posexplode(xbrl.fact_vector(c("concept"), c("value"), c("period"))).alias("i", "x"))
+    rows = facts.filter("concept is not null").select("accession_number", (F.abs(xbrl.scaled(c("value"))) + 0.1).alias("w"), F.posexplode(xbrl.fact_vector(c("concept"), c("value"), c("period"), c("unit"))).alias("i", "x"))
     means = rows.groupBy("accession_number", "i").agg((F.sum(c("x") * c("w")) / F.sum("w")).alias("x"))
     return means.groupBy("accession_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("vector"))
 
 
-@query("filing_vectors")
+@query("filing_vectors", f"""with {_VECTOR_SQL}, e as (select accession_number, abs({_SCALED}) + 0.1 as w, unnest(vector) as x, unnest(range(100)) as i from v where concept is not null),
+    m as (select accession_number, i, sum(x * w) / sum(w) as x from e group by 1, 2) select accession_number, list(round(x, 5) + 0.0 order by i) as vector from m group by 1""")
 def filing_vectors_query(spark, folder):
-    return filing_vectors(table(spark, folder, "xbrl_fact"))
+    return filing_vectors(table(spark, folder, "xbrl_fact")).select("accession_number", F.transform("vector", lambda x: F.round(x, 5) + 0.0).alias("vector"))

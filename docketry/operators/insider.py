@@ -44,6 +44,14 @@ def is_valid(name: Column, ticker: Column, date: Column, shares: Column, price:
     return given & dated & F.coalesce(shares.between(0, 1e8) & price.between(0, 1e4), F.lit(False))
 
 
+def trades(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Valid transactions of known companies, as they are appended; executives are keyed by name."""
+    c = F.col
+    chosen = rows.filter(is_valid(c("executive_name"), c("company_ticker"), c("transaction_date"), c("shares"), c("price")))
+    chosen = chosen.join(known.select(c("ticker").alias("company_ticker")).distinct(), "company_ticker", "left_semi")
+    return chosen.select("transaction_id", "executive_name", "company_ticker", iso_date(c("transaction_date")).alias("traded"), transaction_name(c("transaction_type")).alias("transaction_type"), "shares", "price", "accession_number")
+
+
 def value_of(shares: Column, price: Column) -> Column:
     return F.round(shares * price, 2).cast(MONEY)
 
@@ -109,7 +117,7 @@ def xml_transactions(forms: DataFrame, content: str, keep: list[str]) -> DataFra
     the row. Malformed forms are read as plain text (part 3). Forms that are no ownership
     documents give no rows.
     """
-    xml = forms.filter(F.col(content).rlike(r"^\s*<\?xml") | F.col(content).contains("<ownershipDocument>")).withColumn("__t", F.udf(_xml_rows, _XML_ROWS, useArrow=True)(F.col(content)))
+    xml = forms.filter(is_xml(content)).withColumn("__t", F.udf(_xml_rows, _XML_ROWS, useArrow=True)(F.col(content)))
     each = xml.filter("__t is not null").select(*keep, F.inline("__t"))
     figure = lambda c: F.when(F.col(c) == "", F.lit(0.0)).otherwise(F.col(c).try_cast("double")).alias(c)
     read = each.select(
@@ -177,6 +185,18 @@ def as_filings(rows: DataFrame) -> DataFrame:
     return forms.select("accession_number", F.concat(F.col("listed")[0]["head"], F.array_join("listed.body", ""), F.lit("</ownershipDocument>")).alias("content"))
 
 
+def as_texts(rows: DataFrame) -> DataFrame:
+    """(accession_number, content): all rows of a filing in one form in plain text, in order of their
+    ids; figures as plain decimals, owner and issuer those of the first row."""
+    plain = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("decimal(38,4)").cast("string"), r"\.?0+$", ""), F.lit(""))
+    given = lambda c: F.coalesce(F.col(c), F.lit(""))
+    line = F.concat_ws(" ", given("transaction_date"), given("transaction_type"), plain("shares"), F.concat(F.lit("$"), plain("price")))
+    head = F.concat(F.lit("FORM 4\nReporting person: "), given("executive_name"), F.lit("\nTitle: "), given("executive_title"), F.lit("\nTrading symbol: "), given("company_ticker"), F.lit(" \n"))
+    listed = F.array_sort(F.collect_list(F.struct("transaction_id", line.alias("line"), head.alias("head"))))
+    forms = rows.filter("accession_number is not null").groupBy("accession_number").agg(listed.alias("listed"))
+    return forms.select("accession_number", F.concat(F.col("listed")[0]["head"], F.array_join("listed.line", "\n"), F.lit("\n")).alias("content"))
+
+
 # ---- SQL twins
 
 _NAME = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in TRANSACTION_CODES.items()) + " else {0} end"
@@ -261,16 +281,32 @@ def form_text(spark, folder):
 
 # ---- owners and issuers named in plain text
 
-#: What stands before a name, a title, a symbol and a company, and what ends it; the first that matches counts.
-NAME_LEADS = [("name", r"\n|title|officer"), (r"reporting\s+person", r"\n|title"), ("insider", r"\n|title")]
-TITLE_LEADS = [("title", r"\n|date|transaction"), ("officer", r"\n|date|transaction"), ("position", r"\n|date|transaction")]
-SYMBOL_LEADS = [("ticker", r"\s|\n|symbol"), ("symbol", r"\s|\n|exchange"), (r"trading\s+symbol", "")]
-COMPANY_LEADS = [("company", r"\n|ticker|symbol"), ("issuer", r"\n|ticker|symbol"), ("corporation", r"\n|ticker")]
-
-
-def _led(text: Column, leads: list[tuple[str, str]], body: str) -> Column:
-    """The first lead's text that matches, trimmed; empty if none does."""
-    tries = [F.nullif(F.trim(F.regexp_extract(text, f"(?i){lead}[:\\s]*({body})" + (f"(?:{end})" if end else ""), 1)), F.lit("")) for lead, end in leads]
+# Patterns of a name, a title, a symbol and a company; the first that matches counts.
+NAME_PATTERNS = [
+    r"name[:\s]*([A-Z][a-zA-Z\s,\.]+?)(?:\n|title|officer)",
+    r"reporting\s+person[:\s]*([A-Z][a-zA-Z\s,\.]+?)(?:\n|title)",
+    r"insider[:\s]*([A-Z][a-zA-Z\s,\.]+?)(?:\n|title)",
+]
+TITLE_PATTERNS = [
+    r"title[:\s]*([A-Za-z\s,\.]+?)(?:\n|date|transaction)",
+    r"officer[:\s]*([A-Za-z\s,\.]+?)(?:\n|date|transaction)",
+    r"position[:\s]*([A-Za-z\s,\.]+?)(?:\n|date|transaction)",
+]
+SYMBOL_PATTERNS = [
+    r"ticker[:\s]*([A-Z]{1,5})(?:\s|\n|symbol)",
+    r"symbol[:\s]*([A-Z]{1,5})(?:\s|\n|exchange)",
+    r"trading\s+symbol[:\s]*([A-Z]{1,5})",
+]
+COMPANY_PATTERNS = [
+    r"company[:\s]*([A-Z][a-zA-Z\s,\.&]+?)(?:\n|ticker|symbol)",
+    r"issuer[:\s]*([A-Z][a-zA-Z\s,\.&]+?)(?:\n|ticker|symbol)",
+    r"corporation[:\s]*([A-Z][a-zA-Z\s,\.&]+?)(?:\n|ticker)",
+]
+
+
+def _first_of(text: Column, patterns: list[str]) -> Column:
+    """What the first pattern that matches found, trimmed; empty if none does."""
+    tries = [F.nullif(F.trim(F.regexp_extract(text, "(?i)" + p, 1)), F.lit("")) for p in patterns]
     return F.coalesce(*tries, F.lit(""))
 
 
@@ -278,11 +314,29 @@ def text_parties(forms: DataFrame, content: str, keep: list[str]) -> DataFrame:
     """Owner, title, symbol and company of forms in plain text; what is not named is empty."""
     t = F.col(content)
     return forms.select(
-        *keep, _led(t, NAME_LEADS, r"[A-Z][a-zA-Z\s,\.]+?").alias("executive_name"), standard_title(_led(t, TITLE_LEADS, r"[A-Za-z\s,\.]+?")).alias("executive_title"),
-        F.upper(_led(t, SYMBOL_LEADS, "[A-Z]{1,5}")).alias("company_ticker"), _led(t, COMPANY_LEADS, r"[A-Z][a-zA-Z\s,\.&]+?").alias("company_name"), form_type(t).alias("form_type"),
+        *keep, _first_of(t, NAME_PATTERNS).alias("executive_name"), standard_title(_first_of(t, TITLE_PATTERNS)).alias("executive_title"),
+        F.upper(_first_of(t, SYMBOL_PATTERNS)).alias("company_ticker"), _first_of(t, COMPANY_PATTERNS).alias("company_name"), form_type(t).alias("form_type"),
     )
 
 
+def is_xml(content: str) -> Column:
+    return F.col(content).rlike(r"^\s*<\?xml") | F.col(content).contains("<ownershipDocument>")
+
+
+def form_transactions(forms: DataFrame, content: str, keep: list[str]) -> DataFrame:
+    """Transactions of ownership forms of any kind, one row each: ownership documents as XML,
+    malformed ones and all other texts as plain text (part 3).
+
+    Null texts and texts without a transaction line give no rows; a text that names no date that
+    can be read has an empty one.
+    """
+    columns = [*keep, "part", "place", "executive_name", "executive_title", "company_ticker", "transaction_date", "shares", "price", "transaction_type"]
+    plain = text_parties(forms.filter(F.col(content).isNotNull() & ~is_xml(content)).withColumn("__content", F.col(content)), "__content", [*keep, "__content"])
+    lines = text_transactions(plain, "__content", [*keep, "executive_name", "executive_title", "company_ticker"]).filter("shares is not null and price is not null")
+    lines = lines.withColumns({"part": F.lit(3), "transaction_date": F.coalesce(F.col("transaction_date").cast("string"), F.lit(""))})
+    return xml_transactions(forms, content, keep).select(columns).unionByName(lines.select(columns))
+
+
 @query("form_parties", """select transaction_id, executive_name, company_ticker from insider_transaction
     where regexp_full_match(executive_name, '[A-Z][a-z]+ [A-Z][a-z]+') and regexp_full_match(company_ticker, '[A-Z]{1,5}')""")
 def form_parties(spark, folder):
@@ -292,6 +346,21 @@ def form_parties(spark, folder):
     return text_parties(rows.select("transaction_id", form.alias("content")), "content", ["transaction_id"]).select("transaction_id", "executive_name", "company_ticker")
 
 
+@query("form_transactions")
+def form_transactions_query(spark, folder):
+    """All filings written as forms, half of them in XML and half in plain text, and read back."""
+    rows = _rows(spark, folder)
+    as_text = F.pmod(F.xxhash64("accession_number"), F.lit(2)) == 0
+    forms = as_filings(rows.filter(~as_text)).unionByName(as_texts(rows.filter(as_text)))
+    return form_transactions(forms, "content", ["accession_number"])
+
+
+@query("trade_append", f"""select transaction_id, executive_name, company_ticker, {_DATE.format('transaction_date')} as traded, {_KIND} as transaction_type, shares, price, accession_number from insider_transaction
+    where coalesce(executive_name, '') <> '' and company_ticker in (select ticker from company) and try_strptime(transaction_date, '%Y-%m-%d') is not null and coalesce(shares between 0 and 1e8 and price between 0 and 1e4, false)""")
+def trade_append(spark, folder):
+    return trades(_rows(spark, folder), table(spark, folder, "company"))
+
+
 @query("insider_totals", f"""select count(*) as transactions, count(distinct executive_name) as executives, round(avg(abs(shares)), 4) as mean_shares, count(*) filter ({_KIND} in {_BUY}) as purchases, count(*) filter ({_KIND} in {_SELL}) as sales, sum(abs({_VALUE})) as value from insider_transaction""")
 def insider_totals(spark, folder):
     kind = transaction_name(F.col("transaction_type"))

@@ -22,7 +22,8 @@ TICKER = T.StructType([T.StructField("cik_str", T.StringType()), T.StructField("
 #: The parallel arrays of a company's filing index.
 INDEX = ["accessionNumber", "filingDate", "reportDate", "acceptanceDateTime", "act", "form", "fileNumber", "filmNumber", "items", "primaryDocument", "primaryDocDescription"]
 RECENT = T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in INDEX])
-SUBMISSIONS = T.StructType([T.StructField("cik", T.StringType()), T.StructField("name", T.StringType()), T.StructField("filings", T.StructType([T.StructField("recent", RECENT)]))])
+ABOUT = ["sic", "sicDescription", "stateOfIncorporation", "fiscalYearEnd"]
+SUBMISSIONS = T.StructType([T.StructField("cik", T.StringType()), T.StructField("name", T.StringType()), *(T.StructField(n, T.StringType()) for n in ABOUT), T.StructField("exchanges", T.ArrayType(T.StringType())), T.StructField("filings", T.StructType([T.StructField("recent", RECENT)]))])
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +39,20 @@ def company_tickers(feed: DataFrame, column: str) -> DataFrame:
     return rows.groupBy("ticker").agg(F.max_by(F.struct("cik", "title"), F.struct("__file", "place")).alias("e")).select("ticker", "e.cik", "e.title")
 
 
+def company_submissions(feed: DataFrame, column: str) -> DataFrame:
+    """(cik, name, sic, sicDescription, stateOfIncorporation, fiscalYearEnd, exchanges) of companies'
+    submissions, ciks padded to 10; texts that cannot be read give no rows, of several for a cik
+    the largest by name counts."""
+    read = feed.select(F.from_json(column, SUBMISSIONS).alias("s")).filter("s.cik is not null").select(F.lpad("s.cik", 10, "0").alias("cik"), "s.name", *(f"s.{n}" for n in ABOUT), "s.exchanges")
+    rest = ["name", *ABOUT, "exchanges"]
+    return read.groupBy("cik").agg(F.max(F.struct(*rest)).alias("s")).select("cik", "s.*")
+
+
+def company_info(tickers: DataFrame, submissions: DataFrame) -> DataFrame:
+    """What is known of every company of the ticker feed; the name falls back to the feed's title."""
+    return tickers.join(submissions, "cik", "left").select("ticker", "cik", F.coalesce("name", "title").alias("name"), *ABOUT, "exchanges")
+
+
 def company_filings(feed: DataFrame, column: str, keep: list[str], types: list[str] | None = None, start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
     """One row per filing from parallel arrays; missing arrays give nulls. Types compare upper-cased,
     dates are inclusive; ``limit`` keeps the first ones of each feed in its own order."""
@@ -89,13 +104,26 @@ def feed_tickers(spark, folder):
     return company_tickers(feed, "j").select("ticker", "cik")
 
 
-@query("feed_filings", """select filing_id, accession_number, filing_type as form, filing_date::varchar as filing_date from filing where upper(filing_type) in ('10-K', '10-Q') and filing_date >= date '2020-01-01'""")
+@query("feed_filings", """select ticker, accession_number, filing_type as form, filing_date::varchar as filing_date from filing where ticker is not null and upper(filing_type) in ('10-K', '10-Q') and filing_date >= date '2020-01-01'""")
 def feed_filings(spark, folder):
-    """The filing index, written as parallel arrays and read back through its filters."""
-    a = lambda c: F.array(F.col(c).cast("string"))
-    recent = F.struct(a("accession_number").alias("accessionNumber"), a("filing_date").alias("filingDate"), a("filing_type").alias("form"), a("primary_document").alias("primaryDocument"))
-    feed = table(spark, folder, "filing").select("filing_id", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("j"))
-    return company_filings(feed, "j", ["filing_id"], ["10-k", "10-q"], "2020-01-01").select("filing_id", F.col("accessionNumber").alias("accession_number"), "form", F.col("filingDate").alias("filing_date"))
+    """The filings of each company and month as one index of parallel arrays, read back through its filters."""
+    rows = table(spark, folder, "filing").filter("ticker is not null")
+    listed = F.array_sort(F.collect_list(F.struct("filing_id", "acceptance_ts", "accession_number", F.col("filing_date").cast("string").alias("filing_date"), "filing_type", "primary_document")))
+    month = rows.groupBy("ticker", F.trunc("filing_date", "month").alias("month")).agg(listed.alias("l"))
+    part = lambda c: F.transform("l", lambda x: x[c])
+    recent = F.struct(part("accession_number").alias("accessionNumber"), part("filing_date").alias("filingDate"), part("filing_type").alias("form"), part("primary_document").alias("primaryDocument"))
+    feed = month.select("ticker", F.to_json(F.struct(F.struct(recent.alias("recent")).alias("filings"))).alias("j"))
+    return company_filings(feed, "j", ["ticker"], ["10-k", "10-q"], "2020-01-01").select("ticker", F.col("accessionNumber").alias("accession_number"), "form", F.col("filingDate").alias("filing_date"))
+
+
+@query("company_info", """with c as (select ticker, max(lpad(cik, 10, '0')) as cik, max(name) as name, max(sic) as sic from company where cik is not null group by 1)
+    select upper(ticker) as ticker, cik, name, case when sic is not null then sic end as sic from c""")
+def company_info_query(spark, folder):
+    """Tickers and submissions (of companies with a sic code), written as feeds and joined again."""
+    rows = table(spark, folder, "company").filter("cik is not null").groupBy("ticker").agg(F.max("cik").alias("cik"), F.max("name").alias("name"), F.max("sic").alias("sic"))
+    tickers = company_tickers(rows.select(F.to_json(F.create_map(F.lit("0"), F.struct(F.col("cik").alias("cik_str"), "ticker", F.col("name").alias("title")))).alias("j")), "j")
+    submissions = company_submissions(rows.filter("sic is not null").select(F.to_json(F.struct("cik", "name", "sic")).alias("j")), "j")
+    return company_info(tickers, submissions).select("ticker", "cik", "name", "sic")
 
 
 @query("codec_roundtrip")
