@@ -3,14 +3,15 @@
 The schema graph of all payloads is inferred by Spark (nodes are key names, edges are
 parent key to child key, marked when the child repeats). From the graph a plan follows:
 
-* objects that repeat, that are reached from several parent keys, or that lie on a cycle
-  become tables of their own; arrays of scalars become tables with one ``value`` column;
-* every other descendant is inlined into its nearest table under a dotted column name;
+* keys that repeat, and objects that are reached from several parent keys or that lie on a
+  cycle, become tables of their own; scalars in such tables are in a ``value`` column;
+* every other descendant is inlined into its nearest table under a dotted column name, and so is
+  a key that is a scalar somewhere and elsewhere an object of notes;
 * an object whose only data is a ``value`` (with any notes beside it) is a wrapped scalar:
   it is unwrapped as often as needed and inlined.
 
 Each row holds its own node id and the node id and table of its parent (the foreign key),
-its 1-based place in its list, and its inlined columns as ``MAP<STRING,STRING>``. Scalars
+its 1-based place in its list (a node id names a place only within a list), and its inlined columns as ``MAP<STRING,STRING>``. Scalars
 keep their JSON kind as a prefix: ``n:`` number (text as delivered), ``s:`` string,
 ``b:`` boolean. A column ``#name`` counts the entries of a child list, nulls included.
 
@@ -22,13 +23,15 @@ keys in one object keep the last; the constants NaN and Infinity make a payload
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import cut
+
 ROOT = "$"
 #: Bound of the schema graph that reaches the driver; more key pairs than this is an error.
 MAX_EDGES = 20_000
@@ -72,64 +75,71 @@ class Plan:
     """Which nodes are tables; everything else is inlined."""
 
     tables: frozenset[str]
-    edges: frozenset[tuple[str, str, bool]]
 
 
-def _edges(item: dict, parent: str, found: set[tuple[str, str, bool, bool]]) -> None:
+def _edges(item: dict, parent: str, found: set[tuple[str, str, str]]) -> None:
+    """Adds (parent key, child key, what the child is): list, object, scalar or null."""
     stack = [(item, parent)]
     while stack:
         node, name = stack.pop()
         for key, child in node.items():
             child = _unwrap(child)
-            entries, repeats = (child, True) if isinstance(child, list) else ([child], False)
-            for entry in entries:
-                entry = _unwrap(entry)
-                inner = isinstance(entry, (dict, list))
-                found.add((name, key, repeats, inner))
-                if isinstance(entry, dict):
-                    stack.append((entry, key))
-                elif isinstance(entry, list):
-                    stack.extend((x, key) for x in ({key: e} for e in entry))
-
-
-def schema_graph(payloads: DataFrame, column: str) -> DataFrame:
-    """Distinct edges (parent, child, repeats, inner) of the payloads' schema graph."""
+            if isinstance(child, list):
+                found.add((name, key, "list"))
+                entries = [_unwrap(e) for e in child]
+                stack.extend((e, key) for e in entries if isinstance(e, dict))
+                stack.extend(({key: e}, key) for e in entries if isinstance(e, list))
+            elif isinstance(child, dict):
+                found.add((name, key, "object"))
+                stack.append((child, key))
+            else:
+                found.add((name, key, "null" if child is None else "scalar"))
+
+
+def survey(records: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+    """One row (valid true, keys) for every valid payload, and the edges (parent, child, what) of the
+    payloads' schema graph, each once a task; both from one reading of the payloads."""
+    chosen = records.select(*keys, payload)
+    types = [chosen.schema[k].dataType.simpleString() for k in keys]
 
-    def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[str, str, bool, bool]] = set()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[str, str, str]] = set()
+        names = ["valid", *keys, "parent", "child", "what"]
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            good = []
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
                 if (item := parse_object(text)) is not None:
+                    good.append(i)
                     _edges(item, ROOT, found)
-        rows = sorted(found)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.bool_()),
-                pa.array([r[3] for r in rows], pa.bool_()),
-            ],
-            names=["parent", "child", "repeats", "inner"],
-        )
-
-    return payloads.select(column).mapInArrow(infer, "parent string, child string, repeats boolean, inner boolean").distinct()
-
-
-def inlining_plan(graph: DataFrame, max_edges: int = MAX_EDGES) -> Plan:
-    """Decide the tables from the schema graph (driver side, bounded by ``max_edges``)."""
+            index = pa.array(good, pa.int64())
+            none = pa.nulls(len(good), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(good), pa.bool_()), *(batch.column(k).take(index) for k in range(len(keys))), none, none, none], names=names)
+            kinds = [batch.column(k).type for k in range(len(keys))]
+        if found:
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([False] * len(rows), pa.bool_()), *(pa.nulls(len(rows), t) for t in kinds), *(pa.array([r[c] for r in rows], pa.string()) for c in range(3))], names=names)
+
+    return chosen.mapInArrow(run, ", ".join(["valid boolean", *(f"`{k}` {t}" for k, t in zip(keys, types)), "parent string, child string, what string"]))
+
+
+def schema_graph(payloads: DataFrame, column: str) -> DataFrame:
+    """Distinct edges (parent, child, what) of the payloads' schema graph."""
+    return survey(payloads, column, []).filter("not valid").select("parent", "child", "what").distinct()
+
+
+def inlining_plan(graph: DataFrame, declared: Iterable[str] = (), max_edges: int = MAX_EDGES) -> Plan:
+    """Decide the tables from the schema graph (driver side, bounded by ``max_edges``) and from the
+    keys that are declared as lists, which a given delivery may hold as bare objects only."""
     edges = [tuple(r) for r in graph.limit(max_edges + 1).collect()]
     if len(edges) > max_edges:
         raise ValueError(f"the schema graph has more than {max_edges} edges")
     parents: dict[str, set[str]] = {}
     below: dict[str, set[str]] = {}
-    repeated, inner = set(), set()
-    for parent, child, repeats, is_inner in edges:
+    kinds: dict[str, set[str]] = {}
+    for parent, child, what in edges:
         parents.setdefault(child, set()).add(parent)
         below.setdefault(parent, set()).add(child)
-        if repeats:
-            repeated.add(child)
-        if is_inner:
-            inner.add(child)
+        kinds.setdefault(child, set()).add(what)
 
     def recursive(name: str) -> bool:
         seen, stack = set(), list(below.get(name, ()))
@@ -142,8 +152,10 @@ def inlining_plan(graph: DataFrame, max_edges: int = MAX_EDGES) -> Plan:
                 stack.extend(below.get(node, ()))
         return False
 
-    tables = {ROOT} | repeated | {n for n in inner if len(parents.get(n, ())) > 1 or recursive(n)}
-    return Plan(frozenset(tables), frozenset((p, c, r) for p, c, r, _ in edges))
+    repeated = {n for n, what in kinds.items() if "list" in what}
+    objects = {n for n, what in kinds.items() if "object" in what and "scalar" not in what}
+    shared = {n for n in objects if len(parents[n]) > 1 or recursive(n)}
+    return Plan(frozenset({ROOT} | set(declared) | repeated | shared))
 
 
 SHRED_COLUMNS = "node_table string, node_id string, parent_table string, parent_id string, parent_key string, position int, columns map<string,string>"
@@ -173,7 +185,8 @@ def _shred(item: dict, plan: Plan) -> Iterator[tuple]:
                         if isinstance(entry, list):
                             entry = {key: entry}
                         if entry is not None:
-                            stack.append((entry, key, f"{node_id}.{prefix}{key}[{place}]", table, node_id, f"{prefix}{key}", place))
+                            within = f"[{place}]" if isinstance(child, list) else ""
+                            stack.append((entry, key, f"{node_id}.{prefix}{key}{within}", table, node_id, f"{prefix}{key}", place))
                 elif isinstance(child, dict):
                     inline.append((child, f"{prefix}{key}."))
                 elif (text := _scalar(child)) is not None:
@@ -214,11 +227,6 @@ def figure(column: Column) -> Column:
     return F.when(column.startswith("n:"), F.substring(column, 3, 1 << 30).try_cast("double")).when(column.startswith("s:") & plain, text.try_cast("double"))
 
 
-def first_figure(columns: Column, names: list[str]) -> Column:
-    """The first figure under any of the names, directly or in ``amounts``."""
-    return F.coalesce(*(figure(columns[place + n]) for place in ("", "amounts.") for n in names))
-
-
 LISTS = {"transactions", "nonDerivativeTransaction", "derivativeTransaction", "fills", "reportingOwners"}
 SHARES = ["shares", "transactionShares"]
 PRICES = ["price", "pricePerShare", "transactionPricePerShare"]
@@ -228,17 +236,17 @@ def ownership_rows(records: DataFrame) -> DataFrame:
     """Shredded rows of the latest valid form of every accession number.
 
     Only the row with the latest ``received_at`` among the valid ones counts (ties: the
-    larger record_id); rows without an accession number have no key and are left out.
+    larger record_id); rows without an accession number have no key and are left out. Payloads
+    are read twice: once for the schema graph and for which ones are valid, and once, without
+    those that a later delivery replaces, to be shredded.
     """
     records = records.filter(F.col("accession_number").isNotNull())
-    plan = inlining_plan(schema_graph(records, "payload"))
-    # The declared part of the schema: lists that may happen to hold bare objects only in a
-    # given delivery, and figures, whose own objects stay with their transaction or fill.
-    plan = Plan((plan.tables | LISTS) - {"amounts", *SHARES, *PRICES}, plan.edges)
-    rows = shred(records, "payload", ["record_id", "accession_number", "received_at"], plan)
-    roots = rows.filter(F.col("node_table") == ROOT)
-    latest = roots.groupBy("accession_number").agg(F.max(F.struct("received_at", "record_id")).alias("m")).select("accession_number", F.col("m.record_id").alias("record_id"))
-    return rows.join(latest, ["accession_number", "record_id"], "left_semi")
+    seen = cut(survey(records, "payload", ["record_id", "accession_number", "received_at"]))
+    plan = inlining_plan(seen.filter("not valid").select("parent", "child", "what").distinct(), LISTS)
+    valid = seen.filter("valid").select("accession_number", "record_id", F.struct("received_at", "record_id").alias("__order"))
+    best = valid.groupBy("accession_number").agg(F.max("__order").alias("__best"), F.count("*").alias("__n")).filter("__n > 1")
+    replaced = valid.join(best, "accession_number").filter("__order < __best").select("record_id")
+    return shred(records.join(replaced, "record_id", "left_anti"), "payload", ["record_id", "accession_number", "received_at"], plan)
 
 
 def filings_table(rows: DataFrame) -> DataFrame:
@@ -256,39 +264,56 @@ def owners_table(rows: DataFrame) -> DataFrame:
     return own.select("accession_number", F.col("position").alias("owner_no"), bare("name").alias("owner_name"), bare("relationship.officerTitle").alias("officer_title"), bare("relationship.isDirector").alias("is_director"))
 
 
-#: A transaction's node id, or that of one of its fills; holdings and underlying securities never match.
-TRADE_PATH = r"^\$\.(nonDerivative|derivative)(?:Table(?:\[1\])?\.transactions|Transaction)\[([0-9]+)\](?:\.fills\[([0-9]+)\])?$"
+#: The node id of a transaction or of one of its fills, of its amounts, or of a figure in either that
+#: is a table of its own; holdings and underlying securities never match, nor do lists of figures.
+TRADE_PATH = (
+    r"^(\$\.(nonDerivative|derivative)(?:Table(?:\[1\])?\.transactions|Transaction)(?:\[([0-9]+)\])?(\.fills(?:\[([0-9]+)\])?)?)"
+    rf"(\.amounts)?(?:\.({'|'.join([*SHARES, *PRICES])}))?$"
+)
+
+
+def _figure_of(names: list[str]) -> Column:
+    """(rank, figure) of the best figure in a row: names in their order, direct ones before those in amounts."""
+    c, far = F.col("columns"), F.when(F.col("__amounts") != "", 100).otherwise(0)
+    pairs = [(far + i, figure(c[n])) for i, n in enumerate(names)] + [(F.lit(100 + i), figure(c[f"amounts.{n}"])) for i, n in enumerate(names)]
+    inside = F.coalesce(*(F.when(x.isNotNull(), F.struct(rank.alias("rank"), x.alias("x"))) for rank, x in pairs))
+    alone = F.coalesce(*(F.when((F.col("__leaf") == n) & figure(c["value"]).isNotNull(), F.struct((far + i).alias("rank"), figure(c["value"]).alias("x"))) for i, n in enumerate(names)))
+    return F.when(F.col("__leaf") == "", inside).otherwise(alone)
 
 
-def _kind() -> Column:
-    part = F.regexp_extract("node_id", TRADE_PATH, 1)
-    return F.when(part == "nonDerivative", F.lit("nd")).when(part == "derivative", F.lit("d"))
+def lines(rows: DataFrame) -> DataFrame:
+    """One row per transaction object and per fill object: node_id, its transaction's node id, kind
+    (``nd`` or ``d``), places, fill entries and its own figures, wherever the plan has put them.
+
+    What belongs to a line shares its path, so its rows are merged by one grouping, which is
+    mostly done before the shuffle because a form's rows lie together.
+    """
+    part = lambda i: F.regexp_extract("node_id", TRADE_PATH, i)
+    own = rows.filter(F.col("node_id").rlike(TRADE_PATH)).withColumns({"__path": part(1), "__amounts": part(6), "__leaf": part(7)})
+    itself = (F.col("__amounts") == "") & (F.col("__leaf") == "")
+    found = own.groupBy("accession_number", "record_id", "__path").agg(
+        F.max(F.when(itself, F.coalesce(F.col("columns")["#fills"].cast("int"), F.lit(0)))).alias("fill_entries"),
+        F.min(_figure_of(SHARES)).alias("__shares"), F.min(_figure_of(PRICES)).alias("__price"),
+    ).withColumnRenamed("__path", "node_id")
+    place = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(1))
+    return found.filter("fill_entries is not null").select(
+        "accession_number", "record_id", "node_id", F.regexp_replace("node_id", r"\.fills(?:\[[0-9]+\])?$", "").alias("transaction_id"), F.when(part(2) == "nonDerivative", "nd").otherwise("d").alias("txn_kind"),
+        place(3).alias("txn_no"), F.when(part(4) == "", 0).otherwise(place(5)).alias("fill_no"), "fill_entries", F.col("__shares.x").alias("shares"), F.col("__price.x").alias("price"),
+    )
 
 
 def transactions_table(rows: DataFrame) -> DataFrame:
     """One row per transaction object: kind (``nd`` or ``d``), place, figures and fill entries."""
-    c = F.col("columns")
-    own = rows.filter(~F.col("node_table").isin("fills")).withColumn("txn_kind", _kind()).filter("txn_kind is not null")
-    return own.select(
-        "accession_number", "record_id", "node_id", "txn_kind", F.col("position").alias("txn_no"), F.coalesce(c["#fills"].cast("int"), F.lit(0)).alias("fill_entries"), first_figure(c, SHARES).alias("shares"), first_figure(c, PRICES).alias("price")
-    )
+    return lines(rows).filter("fill_no = 0").select("accession_number", "record_id", "node_id", "txn_kind", "txn_no", "fill_entries", "shares", "price")
 
 
 def fills_table(rows: DataFrame) -> DataFrame:
     """One row per fill object, linked to its transaction by node ids, with its figures."""
-    c = F.col("columns")
-    fills = rows.filter((F.col("node_table") == "fills") & (F.col("parent_key") == "fills"))
-    return fills.select("accession_number", "record_id", F.col("parent_id").alias("node_id"), F.col("position").alias("fill_no"), first_figure(c, SHARES).alias("shares"), first_figure(c, PRICES).alias("price"))
+    return lines(rows).filter("fill_no > 0").select("accession_number", "record_id", F.col("transaction_id").alias("node_id"), "fill_no", "shares", "price")
 
 
 def trades(rows: DataFrame) -> DataFrame:
     """The traded lines of all forms: each fill, or the transaction itself (fill_no 0) where
-    it has no fill entries; only lines whose own shares and price are both figures.
-
-    A node id names the kind and the place of the transaction, so fills need no join to it.
-    """
-    c = F.col("columns")
-    own = rows.withColumns({"txn_kind": _kind(), "txn_no": F.regexp_extract("node_id", TRADE_PATH, 2).try_cast("int"), "fill_no": F.coalesce(F.regexp_extract("node_id", TRADE_PATH, 3).try_cast("int"), F.lit(0))})
-    lines = own.filter((F.col("txn_kind").isNotNull()) & ((F.col("fill_no") > 0) | (F.coalesce(c["#fills"].cast("int"), F.lit(0)) == 0)))
-    found = lines.select("accession_number", "txn_kind", "txn_no", "fill_no", first_figure(c, SHARES).alias("shares"), first_figure(c, PRICES).alias("price"))
-    return found.filter("shares is not null and price is not null")
+    it has no fill entries; only lines whose own shares and price are both figures."""
+    traded = lines(rows).filter("(fill_no > 0 or fill_entries = 0) and shares is not null and price is not null")
+    return traded.select("accession_number", "txn_kind", "txn_no", "fill_no", "shares", "price")

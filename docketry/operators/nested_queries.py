@@ -24,3 +24,13 @@ def p3_filings(spark, folder):
 @query("p3_owners")
 def p3_owners(spark, folder):
     return nested.owners_table(nested.ownership_rows(table(spark, folder, "ownership_raw")))
+
+
+@query("p3_transactions")
+def p3_transactions(spark, folder):
+    return nested.transactions_table(nested.ownership_rows(table(spark, folder, "ownership_raw")))
+
+
+@query("p3_fills")
+def p3_fills(spark, folder):
+    return nested.fills_table(nested.ownership_rows(table(spark, folder, "ownership_raw")))

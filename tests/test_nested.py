@@ -51,12 +51,21 @@ def test_tables_link_by_keys(spark):
     assert all(r["parent_id"] in ids or r["parent_id"] == "" for r in shredded.collect())
 
 
+def test_figures_wherever_the_plan_puts_them(spark):
+    """Lists, cycles and notes under the names of figures in one form change nothing in another."""
+    odd = {"nonDerivativeTransaction": [{"shares": [1, 2], "price": 3}, {"shares": {"shares": 4}, "price": 3}, {"shares": {"footnoteIds": ["F1"]}, "price": 3}, {"amounts": [{"shares": 1, "price": 1}]}, 7, "x"]}
+    good = {"nonDerivativeTransaction": [{"shares": 1, "amounts": {"shares": 9, "price": {"value": "2"}}}, {"amounts": {"shares": "N/A", "transactionShares": 5, "price": [1], "pricePerShare": 6}}], "derivativeTransaction": [{"shares": 1, "price": 1, "fills": [{"amounts": {"shares": 2, "price": 3}}]}]}
+    assert trades(spark, [("a", 1, odd), ("b", 1, good)]) == [("b", "d", 1, 1, 2.0, 3.0), ("b", "nd", 1, 0, 1.0, 2.0), ("b", "nd", 2, 0, 5.0, 6.0)]
+    plan = nested.inlining_plan(nested.schema_graph(forms(spark, [("b", 1, {**good, "x": {"shares": {"note": 1}}})]), "payload"))
+    assert "amounts" in plan.tables and not {"shares", "transactionShares", "pricePerShare"} & plan.tables and "price" in plan.tables
+
+
 def test_plan_finds_repeated_shared_and_recursive(spark):
     df = spark.createDataFrame([(json.dumps({"a": {"x": {"k": 1}}, "b": {"x": {"k": 2}}, "list": [{"v": 1}], "tree": {"child": {"child": {"n": 1}}}, "one": {"deep": {"er": 1}}}),)], "p string")
     plan = nested.inlining_plan(nested.schema_graph(df, "p"))
     assert {"x", "list", "child"} <= plan.tables and not {"a", "one", "deep"} & plan.tables
     got = {r["node_id"]: r for r in nested.shred(df, "p", [], plan).collect()}
-    assert got["$"]["columns"]["one.deep.er"] == "n:1" and got["$.list[1]"]["columns"]["v"] == "n:1" and got["$.tree.child[1].child[1]"]["parent_id"] == "$.tree.child[1]"
+    assert got["$"]["columns"]["one.deep.er"] == "n:1" and got["$.list[1]"]["columns"]["v"] == "n:1" and got["$.tree.child.child"]["parent_id"] == "$.tree.child"
 
 
 def test_empty_table_and_large_payload(spark):
