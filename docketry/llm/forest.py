@@ -13,8 +13,12 @@ blocks. A candidate is dropped only if k others are nearer whatever the 8-bit ve
 cosines. Queries with more than ``CROWD`` such candidates in a block, as in a group of near
 copies, go to their leaves again with full vectors and are ranked exactly there.
 
-Vectors of one direction (to 32-bit floats, whatever their norm) are one representative until the end, so copies fill no leaf; of a
-class of copies only the ``k + 1`` smallest ids can be among anyone's k nearest, ties going to
+A leaf with more than ``FULL`` vectors, as in a dense place below the sample's resolution, is cut
+into blocks by print; its visitors go to every block, so no task holds more than a block of it.
+
+Vectors travel as they were delivered, packed without loss, and the exact cosines are those of
+64-bit floats. Vectors whose directions agree to 32-bit floats, whatever their norm, are copies:
+one representative stands for them until the end, so copies fill no leaf; of a class of copies only the ``k + 1`` smallest ids can be among anyone's k nearest, ties going to
 the smaller id, and only those travel. Different directions at exactly equal cosines may be cut by
 their prints within a leaf.
 
@@ -37,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.llm.shingles import mix
 from docketry.session import cut, spread
 
 BLOCK = 2048
@@ -48,6 +53,10 @@ HANDED = 65536
 CROWD = 64
 #: Pairs whose exact cosines are taken at once.
 PAIRS = 32768
+#: Most vectors of a leaf that one task holds, about, and most such leaves that are sent to the
+#: tasks (16 bytes each); with more of them blocks grow instead.
+FULL = 8192
+FULL_LEAVES = 1_000_000
 
 
 def decode_compressed(text: str | None, width: int) -> np.ndarray | None:
@@ -76,13 +85,53 @@ def _print(vector: np.ndarray) -> int:
 
 
 def _directions(vectors: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-    """(prints, directions) of usable vectors; directions have norm 1, as 32-bit floats."""
-    found = _unit(np.stack(vectors)).astype(np.float32) if vectors else []
-    return pa.array([_print(v) for v in found], pa.int64()), pa.array([v.tobytes() for v in found], pa.binary())
+    """(prints of directions to 32-bit floats, packed vectors) of usable vectors."""
+    if not vectors:
+        return pa.array([], pa.int64()), pa.array([], pa.binary())
+    found = np.stack(vectors)
+    return pa.array([_print(v) for v in _unit(found).astype(np.float32)], pa.int64()), _packed(found)
+
+
+#: Decimal places under which a vector is held as whole numbers of so many bits, if nothing is lost.
+DECIMALS = [(4, np.int16), (4, np.int32), (6, np.int32)]
+
+
+def _packed(vectors: np.ndarray) -> pa.Array:
+    """Vectors without loss: a byte for the form, then whole numbers or 64-bit floats."""
+    out: list[bytes | None] = [None] * len(vectors)
+    left = np.arange(len(vectors))
+    for form, (places, kind) in enumerate(DECIMALS, 1):
+        part = vectors[left]
+        with np.errstate(over="ignore"):
+            whole = np.rint(part * 10.0**places)
+        fits = (np.abs(whole) <= np.iinfo(kind).max).all(axis=1) & (whole / 10.0**places == part).all(axis=1)
+        for i, row in zip(left[fits].tolist(), whole[fits].astype(kind)):
+            out[i] = bytes([form]) + row.tobytes()
+        left = left[~fits]
+    for i in left.tolist():
+        out[i] = b"\0" + vectors[i].tobytes()
+    return pa.array(out, pa.binary())
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors in a packed column."""
+    rows = column.to_pylist()
+    if not rows:
+        return np.empty((0, 0))
+    forms = np.array([row[0] for row in rows])
+    width = (len(rows[0]) - 1) // (8 if forms[0] == 0 else np.dtype(DECIMALS[forms[0] - 1][1]).itemsize)
+    out = np.empty((len(rows), width))
+    for form in np.unique(forms).tolist():
+        here = np.flatnonzero(forms == form)
+        places, kind = (0, np.float64) if form == 0 else DECIMALS[form - 1]
+        out[here] = np.frombuffer(b"".join([rows[i][1:] for i in here]), kind).reshape(len(here), width)
+        if form:
+            out[here] /= 10.0**places
+    return out
 
 
 def compressed_vectors(rows: DataFrame, id_column: str, column: str, width: int) -> DataFrame:
-    """(id, print, vector): the usable vectors; ``vector`` holds the direction, 32-bit floats as bytes."""
+    """(id, print, vector): the usable vectors, packed without loss."""
     source = spread(rows.filter(F.col(id_column).isNotNull() & F.col(column).isNotNull()).select(F.col(id_column).alias("id"), F.col(column).alias("text")), "id")
     kind = source.schema["id"].dataType.simpleString()
 
@@ -258,6 +307,41 @@ class Forest:
         return out_tree, out_leaf
 
 
+def _full_leaves(bodies: DataFrame, forest, trees: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(leaf keys in rising order, blocks) of the leaves with more than FULL vectors, counted over all vectors."""
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.slice(at, BLOCK)
+                leaf = forest.value.leaves(forest.value.values(_unit(_vectors(part.column(0))).astype(np.float32)))
+                key, n = np.unique((np.arange(trees, dtype=np.int64)[None, :] << 48) | leaf, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["leaf", "n"])
+
+    sizes = cut(bodies.select("vector").mapInArrow(homes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") > FULL))
+    most = FULL
+    while sizes.filter(F.col("n") > most).count() > FULL_LEAVES:
+        most *= 2
+    found = sorted((r["leaf"], -(-r["n"] // most)) for r in sizes.filter(F.col("n") > most).collect())
+    return (np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)) if found else None
+
+
+def _in_blocks(full: tuple[np.ndarray, np.ndarray], rows: np.ndarray, key: np.ndarray, visits: np.ndarray, prints: np.ndarray, everyone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, keys, visits) with full leaves in blocks: a vector lives in the block of its print and,
+    where everyone asks, visits the others; visitors go to every block."""
+    leaves, blocks = full
+    at = np.minimum(np.searchsorted(leaves, key), len(leaves) - 1)
+    many = np.where(leaves[at] == key, blocks[at], 1)
+    if not len(many) or many.max() == 1:
+        return rows, key, visits
+    each = np.repeat(np.arange(len(key)), many)
+    block = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+    split, own = many[each] > 1, np.mod(prints[rows[each]], many[each]) == block
+    met = np.where(split, mix(key[each].view(np.uint64) ^ mix(block.astype(np.uint64) + np.uint64(1))).view(np.int64) & np.int64(2**63 - 1), key[each])
+    kept = ~split | own | visits[each] | everyone
+    return rows[each][kept], met[kept], (visits[each] | (split & ~own))[kept]
+
+
 def neighbours(
     vectors: DataFrame, k: int = 5, trees: int = 5, leaf: int = 1024, probes: int = 10, least_cosine: float = -1.0,
     queries: DataFrame | None = None, sample: int = 16384, seed: int = 7, exhaustive: bool = False,
@@ -288,11 +372,12 @@ def neighbours(
         # about ``sample`` vectors wherever they lie.
         line = min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, sample / count)))
         picked = bodies.filter(F.col("print") <= line).select("vector").limit(2 * sample).collect() or bodies.select("vector").limit(1).collect()
-        fitted = _unit(np.frombuffer(b"".join(r[0] for r in picked), np.float32).reshape(len(picked), -1)).astype(np.float32)
+        fitted = _unit(_vectors(pa.array([bytes(r[0]) for r in picked], pa.binary()))).astype(np.float32)
     forest = spark.sparkContext.broadcast(Forest.fit(fitted, trees, depth, seed) if depth else None)
     everyone = queries is None and not exhaustive
 
     opened = max(probes, trees) if everyone else probes
+    full_leaves = _full_leaves(bodies, forest, trees) if depth else None
 
     def place(visit: bool, skip: int, full: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +385,7 @@ def neighbours(
                 step = max(1, min(BLOCK, HANDED // blocks)) if visit and exhaustive else BLOCK
                 for at in range(0, len(batch), step):
                     part = batch.slice(at, step)
-                    unit = _unit(_matrix(part.column(1))).astype(np.float32)
+                    unit = _unit(_vectors(part.column(1))).astype(np.float32)
                     if exhaustive and visit:
                         keys = np.broadcast_to(np.arange(blocks), (len(part), blocks))
                     elif exhaustive:
@@ -316,9 +401,12 @@ def neighbours(
                             tree = np.broadcast_to(np.arange(trees), leaf_no.shape)
                         keys = np.where(leaf_no < 0, -1, (tree.astype(np.int64) << 48) | leaf_no)
                     rows, columns = np.nonzero(keys >= 0)
+                    key, visits = keys[rows, columns], np.full(len(rows), visit)
+                    if full_leaves is not None:
+                        rows, key, visits = _in_blocks(full_leaves, rows, key, visits, part.column(0).to_numpy(), everyone)
                     index = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[rows, columns]), pa.array(np.full(len(rows), visit)), part.column(0).take(index), (part.column(1) if full else _pack(unit)).take(index)],
+                        [pa.array(key), pa.array(visits), part.column(0).take(index), (part.column(1) if full else _pack(unit)).take(index)],
                         names=["leaf", "visits", "print", "packed"],
                     )
 
@@ -362,8 +450,7 @@ def neighbours(
                     other = prints[row] != name[column]
                     row, column = row[other], column[other]
                     if full:
-                        x, y = _unit(query), _unit(part)
-                        score = np.concatenate([np.einsum("ij,ij->i", x[row[i : i + PAIRS]], y[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.empty(0)])
+                        score = np.concatenate([np.einsum("ij,ij->i", query[row[i : i + PAIRS]], part[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)] or [np.empty(0)])
                         order = np.lexsort((name[column], -score, row))
                         row, column, score = row[order], column[order], score[order]
                         few = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -410,7 +497,7 @@ def neighbours(
                     held.clear()
                     names.clear()
                 packed = batch.column(3).slice(a, b - a)
-                vectors_here, error_here = (_matrix(packed), np.zeros(b - a, np.float32)) if full else _unpack(packed)
+                vectors_here, error_here = (_unit(_vectors(packed)), np.zeros(b - a, np.float32)) if full else _unpack(packed)
                 if not visitor[a]:
                     held.append((vectors_here, error_here))
                     names.append(prints[a:b])
@@ -435,7 +522,7 @@ def neighbours(
         for batch in batches:
             if not len(batch):
                 continue
-            cosine = np.einsum("ij,ij->i", _unit(_matrix(batch.column("vector_a"))), _unit(_matrix(batch.column("vector_b"))))
+            cosine = np.einsum("ij,ij->i", _unit(_vectors(batch.column("vector_a"))), _unit(_vectors(batch.column("vector_b"))))
             yield pa.RecordBatch.from_arrays([batch.column("print_a"), batch.column("print_b"), pa.array(np.clip(cosine, -1, 1))], names=["print_a", "print_b", "cosine"])
 
     ranked = pairs.select("print_a", "print_b", "vector_a", "vector_b").mapInArrow(exact, "print_a long, print_b long, cosine double").filter(F.col("cosine") >= least_cosine)
