@@ -275,10 +275,11 @@ TRADE_PATH = (
 def _figure_of(names: list[str]) -> Column:
     """(rank, figure) of the best figure in a row: names in their order, direct ones before those in amounts."""
     c, far = F.col("columns"), F.when(F.col("__amounts") != "", 100).otherwise(0)
-    pairs = [(far + i, figure(c[n])) for i, n in enumerate(names)] + [(F.lit(100 + i), figure(c[f"amounts.{n}"])) for i, n in enumerate(names)]
-    inside = F.coalesce(*(F.when(x.isNotNull(), F.struct(rank.alias("rank"), x.alias("x"))) for rank, x in pairs))
-    alone = F.coalesce(*(F.when((F.col("__leaf") == n) & figure(c["value"]).isNotNull(), F.struct((far + i).alias("rank"), figure(c["value"]).alias("x"))) for i, n in enumerate(names)))
-    return F.when(F.col("__leaf") == "", inside).otherwise(alone)
+    pairs = [(far + i, c[n]) for i, n in enumerate(names)] + [(F.lit(100 + i), c[f"amounts.{n}"]) for i, n in enumerate(names)]
+    pairs += [(far + i, F.when(F.col("__leaf") == n, c["value"])) for i, n in enumerate(names)]
+    kept = F.filter(F.array(*(F.struct(rank.alias("rank"), text.alias("text")) for rank, text in pairs)), lambda p: p["text"].isNotNull())
+    read = F.transform(kept, lambda p: F.struct(p["rank"].alias("rank"), figure(p["text"]).alias("x")))
+    return F.array_min(F.filter(read, lambda p: p["x"].isNotNull()))
 
 
 def lines(rows: DataFrame) -> DataFrame:
