@@ -11,6 +11,7 @@ MODULES = [
     "docketry.sources.feeds",
     "docketry.streaming.events",
     "docketry.plans.questions",
+    "docketry.plans.ingest",
 ]
 
 

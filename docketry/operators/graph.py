@@ -215,7 +215,7 @@ def relation_totals(spark, folder):
 
 
 @query("filings_per_company", f"{MODEL_SQL} select c.ticker, c.name, c.sector, count(*) as filings from company_once c join filing_once f on c.ticker = f.ticker group by 1, 2, 3")
-def filings_per_company(spark, folder):
+def filings_per_company_of(spark, folder):
     known, filed = _model(spark, folder)
     counts = filed.groupBy("ticker").agg(F.count("*").alias("filings"))
     return counts.join(known, "ticker").select("ticker", "name", "sector", "filings")
@@ -337,3 +337,41 @@ def collection_summary(spark, folder):
 def documents_by_source(spark, folder):
     rows = table(spark, folder, "documents").withColumn("source", F.lower(F.trim("source")))
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.countDistinct("ticker").alias("companies"), F.count_if(F.coalesce("text", F.lit("")) == "").alias("blank"), F.max("n_chars").alias("longest"))
+
+
+def coverage_plan(requirements: DataFrame) -> DataFrame:
+    """Adds estimated_filings, the number of companies times that of filing types, to (question, companies, filing_types)."""
+    return requirements.withColumn("estimated_filings", F.size("companies") * F.size("filing_types"))
+
+
+def requirement_coverage(requirements: DataFrame, collected: DataFrame, share: float = 0.8) -> DataFrame:
+    """(question, companies_found, companies_needed, types_found, types_needed, ready): what of each
+    question's companies and filing types is among the collected filings; ready with ``share`` of
+    the companies and all types."""
+    c = requirements.select("question", F.explode("companies").alias("ticker")).join(collected.select("ticker").distinct(), "ticker", "left_semi").groupBy("question").agg(F.countDistinct("ticker").alias("companies_found"))
+    t = requirements.select("question", F.explode("filing_types").alias("filing_type")).join(collected.select("filing_type").distinct(), "filing_type", "left_semi").groupBy("question").agg(F.countDistinct("filing_type").alias("types_found"))
+    zero = F.lit(0)
+    rows = requirements.select("question", F.size("companies").alias("companies_needed"), F.size("filing_types").alias("types_needed")).join(c, "question", "left").join(t, "question", "left")
+    rows = rows.withColumns({"companies_found": F.coalesce("companies_found", zero), "types_found": F.coalesce("types_found", zero)})
+    ready = (F.col("companies_found") >= F.col("companies_needed") * share) & (F.col("types_found") >= F.col("types_needed"))
+    return rows.select("question", "companies_found", "companies_needed", "types_found", "types_needed", ready.alias("ready"))
+
+
+def _requirements(spark, folder) -> DataFrame:
+    """A question a sector: its companies and three filing types."""
+    known = companies(table(spark, folder, "company")).filter("sector is not null")
+    types = F.array(*map(F.lit, ["10-K", "10-Q", "SC 13G"]))
+    return known.groupBy(F.col("sector").alias("question")).agg(F.sort_array(F.collect_set("ticker")).alias("companies")).withColumn("filing_types", types)
+
+
+@query("coverage_plan", f"with {COMPANY_SQL} select sector as question, (count(distinct ticker) * 3)::int as estimated_filings from company_once where sector is not null group by 1")
+def coverage_plan_query(spark, folder):
+    return coverage_plan(_requirements(spark, folder)).select("question", "estimated_filings")
+
+
+@query("requirement_coverage", f"""{MODEL_SQL}, r as (select sector as question, ticker from company_once where sector is not null)
+    select question, count(*) filter (ticker in (select ticker from filing_once)) as companies_found, count(*)::int as companies_needed,
+    (select count(distinct filing_type) from filing_once where filing_type in ('10-K', '10-Q', 'SC 13G')) as types_found, 3 as types_needed,
+    count(*) filter (ticker in (select ticker from filing_once)) >= 0.8 * count(*) and (select count(distinct filing_type) from filing_once where filing_type in ('10-K', '10-Q', 'SC 13G')) >= 3 as ready from r group by 1""")
+def requirement_coverage_query(spark, folder):
+    return requirement_coverage(_requirements(spark, folder), _model(spark, folder)[1])

@@ -6,6 +6,7 @@ come before scores and limits. Plans of searches are kept, so asking again costs
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import cached_property
 
@@ -16,10 +17,12 @@ from docketry.functions.text import snippet, tokens_of_length
 from docketry.functions.vectors import cosine
 from docketry.operators import facts, graph, insider, ranking, retrieval
 from docketry.operators import terms as text_terms
-from docketry.plans.questions import Question, read_question
+from docketry.plans.questions import SECTOR_COMPANIES, Question, analyze_questions, named_in, read_question
 from docketry.sources.feeds import decompress
 from docketry.tables import table
 
+#: Most companies that a question may name; more is an error.
+MOST_NAMED = 1000
 NOTHING = "No relevant sections were found for this question."
 
 
@@ -72,7 +75,7 @@ class Engine:
             scored = scored.select("section_id", cosine(F.col("v"), q).alias("score"))
             found.append(scored.filter(F.col("score") > least) if least is not None else scored)
         if mode != "semantic" and text and text.strip():
-            words = text_terms.widened(text.lower().split())
+            words = text_terms.widened(text_terms.query_words(text))
             found.append(text_terms.bm25_search(rows, "section_id", "content", words).select("section_id", "score"))
         if not found:
             return rows.limit(0).select("section_id", "ticker", "filing_type", "filing_date", "section_type", F.lit(0.0).alias("score"), F.lit("").alias("snippet"))
@@ -103,18 +106,38 @@ class Engine:
         """The best rows whose snippets fit the token budget together."""
         return ranking.within_budget(found, [], [F.desc("score"), "section_id"], tokens_of_length(F.length("snippet")), budget)
 
+    def read(self, text: str) -> Question:
+        """The question with the companies it names; the names stay in their table."""
+        named = named_in(text, self.companies).orderBy("ticker").limit(MOST_NAMED + 1).collect()
+        if len(named) > MOST_NAMED:
+            raise ValueError(f"the question names more than {MOST_NAMED} companies")
+        return read_question(text, [r["ticker"] for r in named])
+
+    def sector_tickers(self, text: str) -> list[str]:
+        """The first tickers of the sector that a question is about; none if it is about none."""
+        focus = analyze_questions(self.spark.range(1).select(F.lit(text).alias("q")), "q").first()["sector_focus"]
+        rows = self.companies.filter(F.lower("sector") == focus).select("ticker").orderBy("ticker").limit(SECTOR_COMPANIES) if focus else None
+        return [r["ticker"] for r in rows.collect()] if rows is not None else []
+
     def ask(self, text: str, k: int = 20) -> dict:
         """Read the question, search, answer from at most ``k`` rows and remember."""
-        names = {n.lower(): t for t, n in self.companies.select("ticker", "name").limit(100_000).collect() if n} if not hasattr(self, "_names") else self._names
-        self._names = names
-        question = read_question(text, names)
-        found = self.search(text, tickers=question.tickers or None, filing_types=question.filing_types, mode="text", k=k).collect()
-        if not found:
-            return {"question": question, "answer": NOTHING, "sources": []}
-        result = {"question": question, "answer": self.answer(question, found), "sources": [r["section_id"] for r in found]}
-        self.history.append(result)
+        began = time.perf_counter()
+        question = self.read(text)
+        tickers = question.tickers or self.sector_tickers(text)
+        found = self.search(text, tickers=tickers or None, filing_types=question.filing_types, mode="text", k=k).collect()
+        answer = self.answer(question, found) if found else NOTHING
+        result = {
+            "question": question, "answer": answer, "sources": [r["section_id"] for r in found],
+            "companies": sorted({r["ticker"] for r in found if r["ticker"]}), "types": sorted({r["filing_type"] for r in found if r["filing_type"]}),
+        }
+        self.history.append(result | {"seconds": time.perf_counter() - began, "ok": bool(found)})
         return result
 
+    def usage(self) -> dict[str, float]:
+        """Questions asked so far, answered and not, total and average seconds."""
+        n, seconds, ok = len(self.history), sum(h["seconds"] for h in self.history), sum(h["ok"] for h in self.history)
+        return {"queries": n, "ok": ok, "failed": n - ok, "seconds": seconds, "average": seconds / n if n else 0.0}
+
     def sql(self, text: str, **values) -> DataFrame:
         """A parameterised statement over the tables of the model."""
         for name in ("companies", "filings", "sections"):
