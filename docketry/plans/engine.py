@@ -6,6 +6,7 @@ come before scores and limits. Plans of searches are kept, so asking again costs
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 from functools import cached_property
@@ -17,7 +18,7 @@ from docketry.functions.text import snippet, tokens_of_length
 from docketry.functions.vectors import cosine
 from docketry.operators import facts, graph, insider, ranking, retrieval
 from docketry.operators import terms as text_terms
-from docketry.plans.questions import SECTOR_COMPANIES, Question, analyze_questions, named_in, read_question
+from docketry.plans.questions import SECTOR_COMPANIES, SECTOR_WORDS, Question, named_in, read_question
 from docketry.sources.feeds import decompress
 from docketry.tables import table
 
@@ -35,6 +36,7 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, answer: Callable[[Question, list], str] = extractive_answer) -> None:
         self.spark, self.folder, self.answer = spark, folder, answer
         self.history: list[dict] = []
+        self._log: list[tuple[float, bool]] = []
         self._plans: dict[tuple, DataFrame] = {}
 
     @cached_property
@@ -114,10 +116,12 @@ class Engine:
         return read_question(text, [r["ticker"] for r in named])
 
     def sector_tickers(self, text: str) -> list[str]:
-        """The first tickers of the sector that a question is about; none if it is about none."""
-        focus = analyze_questions(self.spark.range(1).select(F.lit(text).alias("q")), "q").first()["sector_focus"]
-        rows = self.companies.filter(F.lower("sector") == focus).select("ticker").orderBy("ticker").limit(SECTOR_COMPANIES) if focus else None
-        return [r["ticker"] for r in rows.collect()] if rows is not None else []
+        """The first tickers of the sector that has a word of its own in the question; none without one."""
+        said = f" {re.sub(r'[^a-z0-9]+', ' ', text.lower())} "
+        focus = next((sector for sector, words in SECTOR_WORDS if any(f" {w} " in said for w in words)), None)
+        if focus is None:
+            return []
+        return [r["ticker"] for r in self.companies.filter(F.lower("sector") == focus).select("ticker").orderBy("ticker").limit(SECTOR_COMPANIES).collect()]
 
     def ask(self, text: str, k: int = 20) -> dict:
         """Read the question, search, answer from at most ``k`` rows and remember."""
@@ -130,12 +134,14 @@ class Engine:
             "question": question, "answer": answer, "sources": [r["section_id"] for r in found],
             "companies": sorted({r["ticker"] for r in found if r["ticker"]}), "types": sorted({r["filing_type"] for r in found if r["filing_type"]}),
         }
-        self.history.append(result | {"seconds": time.perf_counter() - began, "ok": bool(found)})
+        self._log.append((time.perf_counter() - began, bool(found)))
+        if found:
+            self.history.append(result)
         return result
 
     def usage(self) -> dict[str, float]:
         """Questions asked so far, answered and not, total and average seconds."""
-        n, seconds, ok = len(self.history), sum(h["seconds"] for h in self.history), sum(h["ok"] for h in self.history)
+        n, seconds, ok = len(self._log), sum(s for s, _ in self._log), sum(ok for _, ok in self._log)
         return {"queries": n, "ok": ok, "failed": n - ok, "seconds": seconds, "average": seconds / n if n else 0.0}
 
     def sql(self, text: str, **values) -> DataFrame:

@@ -37,7 +37,9 @@ def test_similar_ask_and_stats(engine):
     asked = engine.ask("What is said about notes due in annual filings?", 3)
     assert asked["sources"] and asked["answer"].startswith("[1]") and engine.history[-1] is asked
     assert engine.ask("qqqq zzzz xxxx")["answer"] == NOTHING and len(engine.history) == 1
-    assert engine.stats().count() == 5
+    assert engine.stats().count() == 6
+    assert engine.sector_tickers("what is said of trees") == [] and len(engine.sector_tickers("how do banks and energy firms lend")) <= 5
+    assert engine.usage()["queries"] == 2 and engine.usage()["failed"] == 1 and asked["types"] and asked["companies"]
     assert engine.insider(least_shares=0, k=5).count() == 5
 
 
@@ -103,9 +105,54 @@ def test_structure_and_embedder(spark):
     assert vectors[0]["v"] == vectors[1]["v"] and len(vectors[0]["v"]) == 16 and vectors[2]["v"] is None and vectors[3]["v"] is None
 
 
+def test_sections_of_all_forms(spark):
+    from docketry.operators import structure
+
+    for form, entries in structure.FORMS.items():
+        body = "word " * 40
+        text = "".join(f"{structure.heading(p)}\n{body}\n" for p in entries.values())
+        got = structure.filing_sections(spark.createDataFrame([(1, text, form, 5)], "k int, t string, f string, begin_at int"), "k", "t", "f").orderBy("begin_at").collect()
+        assert [r["section"] for r in got] == list(entries)
+        assert "".join(text[r["begin_at"] : r["end_at"]] for r in got) == text
+    words = " ".join(f"w{i}" for i in range(3000))
+    got = structure.filing_sections(spark.createDataFrame([(1, words, "SC 13G"), (2, None, "4"), (3, "short", None)], "k int, t string, f string"), "k", "t", "f").orderBy("begin_at").collect()
+    assert [r["section"] for r in got] == [f"Section {i}" for i in range(1, len(got) + 1)] and " ".join(r["content"] for r in got) == words
+    assert all(5000 <= len(r["content"]) + 1 for r in got[:-1])
+
+
+def test_preferred_sections_have_their_text(spark):
+    from docketry.operators import structure
+
+    body = "text " * 30
+    text = f"Intro\nItem 1A. Risk Factors {body}\nItem 2. Properties {body}\nSignatures\n{body}"
+    got = {r["section"]: r for r in structure.preferred_sections(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t").collect()}
+    assert got["risk_factors"]["content"] == f"Item 1A. Risk Factors {body}".strip() and got["properties"]["content"] == f"Item 2. Properties {body}".strip()
+    assert text[got["properties"]["begin_at"] - 1 :].startswith("Item 2.") and got["properties"]["preference"] == 0
+
+
+def test_whole_ingestion(spark, tmp_path):
+    report = {r["table"]: r["rows"] for r in ingest.run(spark, FOLDER, str(tmp_path / "all")).collect()}
+    assert set(report) == {"company", "filing", "section", "fact", "trade", "executive", "chunk", "vocabulary"} and all(n > 0 for n in report.values())
+    assert report["trade"] == spark.read.parquet(str(tmp_path / "all" / "trade")).count()
+
+
+def test_stream_reads_files_and_folders(spark, tmp_path):
+    from docketry.streaming import events
+
+    spark.read.parquet(f"{FOLDER}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert rows(events.stream_hourly(spark, str(tmp_path))) == rows(events.stream_hourly(spark, FOLDER))
+
+
+def test_company_info(spark):
+    feed = spark.createDataFrame([(json.dumps({"0": {"cik_str": 7, "ticker": "abc", "title": "A"}, "1": {"cik_str": 8, "ticker": "x", "title": "B"}}),)], "j string")
+    subs = spark.createDataFrame([(json.dumps({"cik": "7", "name": "Alpha", "sic": "10", "exchanges": ["N"], "addresses": {}}),), ("{bad",), (None,)], "j string")
+    got = rows(feeds.company_info(feeds.company_tickers(feed, "j"), feeds.company_submissions(subs, "j")).select("ticker", "cik", "name", "sic", "exchanges"))
+    assert got == [("ABC", "0000000007", "Alpha", "10", ["N"]), ("X", "0000000008", "B", None, None)]
+
+
 def test_process_documents(spark):
     body = "word " * 50
     df = spark.createDataFrame([(1, f"<p>Item 1. Business</p>{body}<b>Item 2. Properties</b> {body}", "10-K"), (2, "plain &amp; short", "10-K"), (3, None, "10-K")], "k int, t string, f string")
     got = ingest.process_documents(df, "k", "t", "f", 120, 10).orderBy("k", "section", "chunk_no").collect()
-    assert {(r["k"], r["section"]) for r in got} == {(1, "Item 1"), (1, "Item 2"), (2, "10-K_content")}
+    assert {(r["k"], r["section"]) for r in got} == {(1, "Item 1"), (1, "Item 2"), (2, "10-k_content")}
     assert max(len(r["chunk"]) for r in got) <= 120 and len({r["chunk_id"] for r in got}) == len(got) and all(len(r["chunk_id"]) == 16 for r in got)
