@@ -11,9 +11,14 @@ from pyspark.sql.types import StringType
 
 from docketry.functions.fixed import STOP_WORDS
 
+def plain_ascii(text: Column) -> Column:
+    """Lower-cased, everything but ASCII letters, digits and white space replaced by spaces."""
+    return F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
+
+
 def terms(text: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-cased words of ASCII letters and digits, longer than two, without stop words."""
-    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " ")
+    plain = plain_ascii(text)
     # IN over literals becomes a hash look-up; array_contains would walk the list per word.
     stop = STOP_WORDS if stop_words is None else stop_words
     return F.filter(F.split(plain, r"[\s]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))

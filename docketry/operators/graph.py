@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.registry import query
+from docketry.session import spread
 from docketry.tables import table
 
 
@@ -29,7 +30,7 @@ def latest_rows(df: DataFrame, key: str, by: list[str], unique: str) -> DataFram
     narrow = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(unique).alias("__unique"), order.alias("__order"))
     best = narrow.groupBy("__key").agg(F.max("__order").alias("__best"), F.count("*").alias("__n")).filter("__n > 1")
     losers = narrow.join(best, "__key").filter("__order < __best").select(F.col("__unique").alias(unique))
-    return df.filter(F.col(key).isNotNull()).join(losers, unique, "left_anti")
+    return spread(df.filter(F.col(key).isNotNull()), unique).join(losers, unique, "left_anti")
 
 
 def companies(df: DataFrame) -> DataFrame:

@@ -7,29 +7,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.fixed import FINANCIAL_TERMS, STOP_WORDS, SYNONYMS
-from docketry.functions.text import terms, with_bigrams
+from docketry.functions.text import plain_ascii, terms
 from docketry.operators.graph import SECTION_SQL, latest_rows
 from docketry.registry import query
 from docketry.session import cut
 from docketry.tables import table
 
 
-def _counted(features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, code, n, terms): how often each row's list has each term; one pass over the batch."""
-    flat = features.flatten().dictionary_encode()
-    rows = np.repeat(np.arange(len(features)), np.diff(features.offsets.to_numpy()))
-    width = max(len(flat.dictionary), 1)
-    both, n = np.unique(rows * width + flat.indices.to_numpy(), return_counts=True)
-    return both // width, both % width, n, flat.dictionary
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(row, code, words): the terms of plain texts as codes into the batch's distinct words, in order."""
+    words = pc.ascii_split_whitespace(texts)
+    flat = words.flatten()
+    kept = pc.and_(pc.greater(pc.binary_length(flat), 2), pc.invert(pc.is_in(flat, value_set=_STOP)))
+    rows = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))[kept.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(kept).dictionary_encode()
+    return rows, coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def _features(docs: DataFrame, key: str, text: str, bigrams: bool) -> DataFrame:
-    words = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), terms(F.col(text)).alias("__w"))
-    return words.select("k", (with_bigrams(F.col("__w")) if bigrams else F.col("__w")).alias("f"))
+_STOP = pa.array(sorted(set(STOP_WORDS)))
+
+
+def _ids(rows: np.ndarray, code: np.ndarray, width: int, bigrams: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, id) of words and, from ``width`` on, of pairs of neighbouring words."""
+    if not bigrams or len(code) < 2:
+        return rows, code
+    near = np.flatnonzero(rows[1:] == rows[:-1])
+    return np.concatenate([rows, rows[near]]), np.concatenate([code, width + code[near] * width + code[near + 1]])
+
+
+def _named(ids: np.ndarray, words: pa.Array) -> pa.Array:
+    """The terms that ids stand for."""
+    width = max(len(words), 1)
+    pair = np.maximum(ids - width, 0)
+    second = pc.binary_join_element_wise(words.take(pa.array(pair // width)), words.take(pa.array(pair % width)), " ") if len(words) else words
+    return pc.if_else(pa.array(ids < width), words.take(pa.array(np.where(ids < width, ids, 0))), second) if len(ids) else pa.array([], pa.string())
+
+
+def _counts_of(rows: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, n) of the distinct terms of each row."""
+    span = width + width * width
+    both, n = np.unique(rows * span + ids, return_counts=True)
+    return both // span, both % span, n
+
+
+#: Texts that are counted together.
+TOGETHER = 2000
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), plain_ascii(F.col(text)).alias("t"))
 
 
 def term_counts(docs: DataFrame, key: str, text: str, bigrams: bool = True) -> DataFrame:
@@ -37,16 +68,32 @@ def term_counts(docs: DataFrame, key: str, text: str, bigrams: bool = True) -> D
 
     A document is one row and is counted there, so nothing is shuffled. Null texts have no terms.
     """
-    source = _features(docs, key, text, bigrams)
+    source = _texts(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, code, n, known = _counted(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), known.take(pa.array(code)), pa.array(n.astype(np.int64))], names=[key, "term", "n"])
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, len(b), TOGETHER)):
+            rows, code, words = _coded(batch.column(1))
+            row, ids, n = _counts_of(*_ids(rows, code, len(words), bigrams), max(len(words), 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), _named(ids, words), pa.array(n.astype(np.int64))], names=[key, "term", "n"])
 
     return source.mapInArrow(run, f"`{key}` {source.schema['k'].dataType.simpleString()}, term string, n long")
 
 
+def document_frequencies(docs: DataFrame, text: str, bigrams: bool = True) -> DataFrame:
+    """(term, df): in how many documents each term occurs; added up before the shuffle."""
+    source = docs.withColumn("__one", F.lit(1))
+    source = _texts(source, "__one", text).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, len(b), TOGETHER)):
+            rows, code, words = _coded(batch.column(0))
+            _, ids, _ = _counts_of(*_ids(rows, code, len(words), bigrams), max(len(words), 1))
+            ids, n = np.unique(ids, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_named(ids, words), pa.array(n.astype(np.int64))], names=["term", "n"])
+
+    return source.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
 def is_financial(term: Column) -> Column:
     hit = F.lit(False)
     for t in FINANCIAL_TERMS:
@@ -54,13 +101,12 @@ def is_financial(term: Column) -> Column:
     return hit
 
 
-def vocabulary(counts: DataFrame, documents: Column | int, min_df: int = 2, max_df: float = 0.95, most: int = 10_000) -> DataFrame:
-    """(term_id, term, df): financial terms first, then by document frequency, then by term.
+def vocabulary(frequencies: DataFrame, documents: Column | int, min_df: int = 2, max_df: float = 0.95, most: int = 10_000) -> DataFrame:
+    """(term_id, term, df) of (term, df): financial terms first, then by document frequency, then by term.
 
     Terms in fewer than ``min_df`` or more than ``max_df`` of the documents are left out.
     """
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    df = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.lit(max_df) * documents)))
+    df = frequencies.filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.lit(max_df) * documents)))
     # As a column: an expression in the order would be evaluated at every comparison.
     order = [F.desc("__fin"), F.desc("df"), F.asc("term")]
     # Take the best first (a bounded heap per task), then number the few that are left.
@@ -85,26 +131,37 @@ def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, documents: int
     known = [(r["term"], r["df"]) for r in vocab.select("term", "df").limit(MOST_TERMS + 1).collect()]
     if len(known) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    sent = docs.sparkSession.sparkContext.broadcast(dict(known))
-    source = _features(docs, key, text, True)
+    known.sort()
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    source = _texts(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, code, n, found = _counted(batch.column(1))
-            df = np.array([sent.value.get(t, 0) for t in found.to_pylist()], np.int64)
-            kept = df[code] > 0 if len(code) else np.zeros(0, np.bool_)
-            row, code, n = row[kept], code[kept], n[kept]
+        terms_, df = pa.array([t for t, _ in sent.value], pa.string()), np.array([n for _, n in sent.value], np.int64)
+        halves = [t.split(" ") for t, _ in sent.value]
+        first = pa.array([h[0] for h in halves], pa.string())
+        second = pa.array([h[1] if len(h) > 1 else None for h in halves], pa.string())
+        for batch in (b.slice(at, TOGETHER) for b in batches for at in range(0, len(b), TOGETHER)):
+            rows, code, words = _coded(batch.column(1))
+            width = max(len(words), 1)
+            # The vocabulary under this batch's ids, -1 for terms that it does not have.
+            a, b = (pc.fill_null(pc.index_in(x, value_set=words), -1).to_numpy().astype(np.int64) for x in (first, second))
+            single = second.is_null().to_numpy(zero_copy_only=False)
+            ids = np.where(single, a, np.where((a >= 0) & (b >= 0), width + a * width + b, -1))
+            order = np.argsort(ids, kind="stable")
+            ranked = ids[order]
+            row, term = _ids(rows, code, width, True)
+            at = np.minimum(np.searchsorted(ranked, term), max(len(ranked) - 1, 0))
+            hit = ranked[at] == term if len(ranked) else np.zeros(len(term), np.bool_)
+            both, n = np.unique(row[hit] * max(len(known), 1) + order[at[hit]], return_counts=True)
+            row, term = both // max(len(known), 1), both % max(len(known), 1)
             weight = n.astype(np.float64)
             if method == "tfidf":
-                weight = n / np.bincount(row, n, len(batch))[row] * np.log(documents / df[code])
-                weight = np.array([round(w, 6) for w in weight.tolist()], np.float64)
-            if top is not None and len(row):
-                names = np.empty(len(found), np.int64)
-                names[np.argsort(np.array(found.to_pylist(), object))] = np.arange(len(found))
-                order = np.lexsort((names[code], -weight, row))
+                weight = np.round(n / np.bincount(row, n, len(batch))[row] * np.log(documents / df[term]), 6)
+            if top is not None:
+                order = np.lexsort((term, -weight, row))  # the vocabulary is sorted by term
                 order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < top]
-                row, code, n, weight = row[order], code[order], n[order], weight[order]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), found.take(pa.array(code)), pa.array(n.astype(np.int64)), pa.array(weight)], names=[key, "term", "n", "weight"])
+                row, term, n, weight = row[order], term[order], n[order], weight[order]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), terms_.take(pa.array(term)), pa.array(n.astype(np.int64)), pa.array(weight)], names=[key, "term", "n", "weight"])
 
     return source.mapInArrow(run, f"`{key}` {source.schema['k'].dataType.simpleString()}, term string, n long, weight double")
 
@@ -114,7 +171,7 @@ def sample_vocabulary(docs: DataFrame, key: str, text: str, most: int = 1000, le
     ``least_chars`` characters; an empty vocabulary and 0 if there is none."""
     chosen = cut(docs.filter(F.length(F.trim(F.col(text))) > least_chars).orderBy(key).limit(most).select(key, text))
     n = chosen.count()
-    return vocabulary(term_counts(chosen, key, text), n), n
+    return vocabulary(document_frequencies(chosen, text), n), n
 
 
 def bm25_search(docs: DataFrame, key: str, text: str, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -200,12 +257,12 @@ def term_counts_query(spark, folder):
 
 @query("document_frequency", f"{_COUNT_SQL} select term, count(*) as df from counts group by term")
 def document_frequency(spark, folder):
-    return _counts(spark, folder).groupBy("term").agg(F.count("*").alias("df"))
+    return document_frequencies(_sections(spark, folder), "content")
 
 
 def _vocabulary(spark, folder):
     docs = _sections(spark, folder).filter("content is not null").count()
-    return vocabulary(_counts(spark, folder), docs), docs
+    return vocabulary(document_frequencies(_sections(spark, folder), "content"), docs), docs
 
 
 @query("tfidf_vocabulary", f"{_COUNT_SQL} select term_id, term, df from vocab")

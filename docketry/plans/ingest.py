@@ -108,7 +108,7 @@ def run(spark: SparkSession, folder: str, out: str) -> DataFrame:
     stored["chunk"] = store(chunks, f"{out}/chunk")
     sections = spark.read.parquet(places["section"])
     documents = sections.filter("content is not null").count()
-    save_vocabulary(terms.vocabulary(terms.term_counts(sections, "section_id", "content"), documents), documents, f"{out}/vocabulary")
+    save_vocabulary(terms.vocabulary(terms.document_frequencies(sections, "content"), documents), documents, f"{out}/vocabulary")
     stored["vocabulary"] = spark.read.parquet(f"{out}/vocabulary").count()
     return spark.createDataFrame(list(stored.items()), "table string, rows bigint")
 

@@ -208,8 +208,11 @@ def test_terms_are_counted_inside_rows(spark):
     df = spark.createDataFrame([(1, "alpha beta alpha gamma", "n"), (2, "alpha beta", "n"), (3, None, "n"), (4, "", "n"), (5, "the of", "n")], "term int, t string, n string")
     counts = terms.term_counts(df.withColumnRenamed("term", "k"), "k", "t", bigrams=False)
     assert rows(counts) == [(1, "alpha", 2), (1, "beta", 1), (1, "gamma", 1), (2, "alpha", 1), (2, "beta", 1)]
+    found = terms.document_frequencies(df, "t")
+    assert rows(found) == [("alpha", 2), ("alpha beta", 2), ("alpha gamma", 1), ("beta", 2), ("beta alpha", 1), ("gamma", 1)]
     for documents in (2, F.lit(2)):
-        assert sorted(r["term"] for r in terms.vocabulary(counts, documents, max_df=1.0).collect()) == ["alpha", "beta"]
+        assert sorted(r["term"] for r in terms.vocabulary(found, documents, max_df=1.0).collect()) == ["alpha", "alpha beta", "beta"]
+    assert terms.document_frequencies(df.limit(0), "t").count() == 0
     vocab = spark.createDataFrame([(0, "alpha", 1), (1, "beta", 2)], "term_id int, term string, df long")
     got = rows(terms.tfidf(df.withColumnRenamed("term", "k"), "k", "t", vocab, 4, top=1).select("k", "term", "weight"))
     assert got == [(1, "alpha", round(2 / 3 * math.log(4), 6)), (2, "alpha", round(0.5 * math.log(4), 6))]
