@@ -21,6 +21,7 @@ Spark strings.
 from __future__ import annotations
 
 import base64
+import os
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -28,12 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.session import spread
 
-#: Where the public vocabulary files lie; a parameter of every operator below.
+#: Where the public vocabulary file lies on the driver; a parameter of every operator below.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Most pieces that a worker's cache holds; when full it starts anew.
@@ -265,6 +267,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _sent(documents: DataFrame, path: str) -> str:
+    """Send the vocabulary along with the job, so that only the driver needs its path; the name to find it by."""
+    context = documents.sparkSession.sparkContext
+    key = (context.applicationId, path)
+    if key not in _SENT:
+        context.addFile(path)
+        _SENT.add(key)
+    return os.path.basename(path)
+
+
+_SENT: set[tuple[str, str]] = set()
+
+
 #: Code points laid end to end at a time; bounds a worker's memory whatever the batch holds.
 CHUNK = 1 << 20
 
@@ -285,9 +300,10 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
     """(id, ids[, starts]) of every document; ``starts`` are the byte places of the tokens."""
     source = spread(documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text")), "__id")
     kind = source.schema["__id"].dataType.simpleString()
+    name = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
+        code = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             done = 0
@@ -307,9 +323,10 @@ def count_tokens(documents: DataFrame, keep: list[str], text_column: str = "text
     """The ``keep`` columns and the number of tokens of each text; the ids stay in the worker."""
     source = documents.select(*keep, F.col(text_column).alias("__text"))
     types = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep)
+    name = _sent(documents, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(vocabulary)
+        code = encoder(SparkFiles.get(name))
         for batch in batches:
             counts = []
             for part in _chunks([t or "" for t in batch.column(len(keep)).to_pylist()]):
