@@ -40,10 +40,20 @@ def hybrid(semantic: DataFrame, text: DataFrame, key: str, semantic_weight: floa
     return both.select(key, F.round(score, 4).alias("score"), methods.alias("methods"))
 
 
+#: Most queries that are sent to all tasks; more meet their groups by a shuffle, in so many parts.
+MOST_QUERIES, SALTS = 10_000, 32
+
+
 def nearest_within_group(vectors: DataFrame, queries: DataFrame, key: str, group: str, vector: str, k: int) -> DataFrame:
     """The ``k`` nearest rows of its own group for each query row."""
     asked = queries.select(F.col(key).alias("query_id"), group, F.col(vector).alias("q"))
-    scored = vectors.join(F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked, group).filter(F.col(key) != F.col("query_id"))
+    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        scored = vectors.join(F.broadcast(asked), group)
+    else:
+        # Rows of a group are spread over salts, and each of its queries visits all of them.
+        salted = asked.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        scored = vectors.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, [group, "__salt"]).drop("__salt")
+    scored = scored.filter(F.col(key) != F.col("query_id"))
     scored = scored.select("query_id", key, F.round(cosine(F.col(vector), F.col("q")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -219,3 +219,12 @@ def test_terms_are_counted_inside_rows(spark):
     assert terms.sample_vocabulary(df.withColumnRenamed("term", "k"), "k", "t")[1] == 0
     with pytest.raises(ValueError):
         terms.tfidf(df, "term", "t", vocab, 4, method="other")
+
+
+def test_nearest_within_group_with_many_queries(spark, monkeypatch):
+    from docketry.operators import retrieval
+
+    df = spark.createDataFrame([(i, i % 2, [float(i), float(i * i % 7), 1.0]) for i in range(30)], "k int, g int, v array<double>")
+    want = rows(retrieval.nearest_within_group(df, df, "k", "g", "v", 3))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 5)
+    assert rows(retrieval.nearest_within_group(df, df, "k", "g", "v", 3)) == want and len(want) == 90
