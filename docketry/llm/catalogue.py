@@ -67,6 +67,20 @@ def p2_pieces(spark, folder):
     return splitting.oversized_chunks(table(spark, folder, "document_chunk"))
 
 
+SQL["p2_cover"] = """select chunk_id, any_value(md5(content)) as text_md5, true as within_limit, true as overlapping from document_chunk where length(content) > 8000 and chunk_id is not null group by 1"""
+
+
+@_query
+def p2_cover(spark, folder):
+    """The texts put together again from their pieces, and whether these keep limit and overlap."""
+    made = splitting.oversized_chunks(table(spark, folder, "document_chunk"))
+    rest = F.when(F.col("piece_no") == 1, F.col("piece")).otherwise(F.substring(F.col("piece"), 401, 1 << 20))
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", "piece_start", "piece_end", rest.alias("rest"))))
+    whole = made.groupBy("chunk_id").agg(parts.alias("p"), F.max(F.col("piece_end") - F.col("piece_start")).alias("longest"))
+    met = F.zip_with(F.slice("p", 2, F.size("p") - 1), F.slice("p", 1, F.size("p") - 1), lambda b, a: b["piece_start"] == a["piece_end"] - 400)
+    return whole.select("chunk_id", F.md5(F.array_join(F.transform("p", lambda x: x["rest"]), "")).alias("text_md5"), (F.col("longest") <= 8000).alias("within_limit"), (F.forall(met, lambda x: x) & (F.col("p")[0]["piece_start"] == 0)).alias("overlapping"))
+
+
 @_query
 def p6_ids(spark, folder):
     return byte_bpe.encode(table(spark, folder, "documents"))
