@@ -12,16 +12,17 @@ from docketry.registry import query
 from docketry.tables import table
 
 FACT = T.StructType([T.StructField(n, t) for n, t in [("val", T.DoubleType()), ("start", T.StringType()), ("end", T.StringType()), ("form", T.StringType()), ("filed", T.StringType()), ("frame", T.StringType())]])
-COMPANY_FACTS = T.StructType([T.StructField("facts", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([T.StructField("units", T.MapType(T.StringType(), T.ArrayType(FACT)))]))))])
+TAXONOMIES = T.MapType(T.StringType(), T.MapType(T.StringType(), T.StructType([T.StructField("units", T.MapType(T.StringType(), T.ArrayType(FACT)))])))
+COMPANY_FACTS = T.StructType([T.StructField("facts", TAXONOMIES)])
 
 
 def flatten_facts(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """One row per fact of nested company facts (taxonomy, concept, unit, fact).
+    """One row per fact of nested company facts (taxonomy, concept, unit, fact), under ``facts`` or bare.
 
     Invalid JSON gives no rows; a concept without units and a unit without facts give none.
     """
-    parsed = rows.select(*keep, F.from_json(column, COMPANY_FACTS).alias("j"))
-    taxonomies = parsed.select(*keep, F.explode("j.facts").alias("taxonomy", "concepts"))
+    parsed = rows.select(*keep, F.coalesce(F.from_json(column, COMPANY_FACTS)["facts"], F.from_json(column, TAXONOMIES)).alias("j"))
+    taxonomies = parsed.select(*keep, F.explode("j").alias("taxonomy", "concepts"))
     concepts = taxonomies.select(*keep, "taxonomy", F.explode("concepts").alias("concept", "c"))
     units = concepts.select(*keep, "taxonomy", "concept", F.explode("c.units").alias("unit", "facts"))
     return units.select(*keep, "taxonomy", "concept", "unit", F.explode("facts").alias("f")).select(*keep, "taxonomy", "concept", "unit", F.col("f.val").alias("value"), F.col("f.end").alias("period"), "f.frame", "f.form", "f.filed")

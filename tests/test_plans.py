@@ -150,6 +150,16 @@ def test_company_info(spark):
     assert got == [("ABC", "0000000007", "Alpha", "10", ["N"]), ("X", "0000000008", "B", None, None)]
 
 
+def test_facts_with_and_without_their_wrapper(spark):
+    from docketry.operators.facts import flatten_facts
+
+    bare = {"us-gaap": {"Revenues": {"units": {"USD": [{"val": 10, "form": "10-K", "filed": "2024-02-01", "frame": "CY2023"}, {"val": 11, "end": "2023-12-31"}]}}, "Assets": {"units": {}}}, "dei": {"Shares": {"units": {"shares": [{"val": 5}]}}}}
+    df = spark.createDataFrame([(1, json.dumps(bare)), (2, json.dumps({"facts": bare})), (3, "{bad"), (4, None), (5, "{}")], "k int, j string")
+    got = rows(flatten_facts(df, "j", ["k"]).select("k", "taxonomy", "concept", "unit", "value", "period", "frame", "form", "filed"))
+    one = [("dei", "Shares", "shares", 5.0, None, None, None, None), ("us-gaap", "Revenues", "USD", 10.0, None, "CY2023", "10-K", "2024-02-01"), ("us-gaap", "Revenues", "USD", 11.0, "2023-12-31", None, None, None)]
+    assert got == sorted([(k, *r) for k in (1, 2) for r in one], key=repr)
+
+
 def test_process_documents(spark):
     body = "word " * 50
     df = spark.createDataFrame([(1, f"<p>Item 1. Business</p>{body}<b>Item 2. Properties</b> {body}", "10-K"), (2, "plain &amp; short", "10-K"), (3, None, "10-K")], "k int, t string, f string")
