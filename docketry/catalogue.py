@@ -12,6 +12,7 @@ MODULES = [
     "docketry.streaming.events",
     "docketry.plans.questions",
     "docketry.plans.ingest",
+    "docketry.plans.engine_queries",
 ]
 
 
