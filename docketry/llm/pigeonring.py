@@ -182,7 +182,7 @@ STEPS = ["met", "position", *(f"chain{i}" for i in range(1, SEGMENTS + 1))]
 
 
 def _pairing(t: Fraction, length: int, counting: bool = False):
-    """A mapInArrow function over rows sorted by key and print: pairs that pass all filters, or
+    """A mapInArrow function over rows sorted by key, size and print: pairs that pass all filters, or
     with ``counting`` how many pass each of them."""
     rest = (1 - t) / (1 + t)
     up, down = (1 + t).numerator * t.denominator, t.numerator * (1 + t).denominator
@@ -193,16 +193,18 @@ def _pairing(t: Fraction, length: int, counting: bool = False):
         new[1:] = (key[1:] != key[:-1]) | (prints[1:] != prints[:-1])
         key, prints, size, rank, ring = key[new], prints[new], size[new], rank[new], ring[new]
         firsts, seconds = [], []
+        # Position: a key at rank r leaves at most size - r shared shingles if it is the first
+        # one that both share. There a similar pair always passes, so none is lost. Rows of a key
+        # rise in size, so what the smaller set leaves bounds a stretch of larger ones at once.
         left = size - rank
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) << 32
+        end = np.searchsorted(group + size, group + np.clip(left * up // down - size, 0, 2**32 - 1), side="right")
         at, apart = np.arange(len(key) - 1), 1
         while len(at):
-            at = at[at + apart < len(key)]
-            at = at[key[at] == key[at + apart]]
+            at = at[at + apart < end[at]]
             tally[0] += len(at)
-            # Position: a key at rank r leaves at most size - r shared shingles if it is the
-            # first one that both share. There a similar pair always passes, so none is lost.
             total = size[at] + size[at + apart]
-            near = at[np.minimum(left[at], left[at + apart]) * up >= total * down]
+            near = at[left[at + apart] * up >= total * down]
             tally[1] += len(near)
             if len(near):
                 tau = (size[near] + size[near + apart]) * rest.numerator // rest.denominator
@@ -279,8 +281,8 @@ def similar_groups(documents: DataFrame, id_column: str, text_column: str, simil
 
 
 def pruning(documents: DataFrame, text_column: str, similarity: float = 0.8, k: int = 5, least_words: int = 1, chain: int = SEGMENTS) -> DataFrame:
-    """(stage, pairs): how many pairs meet under a key, and how many are left after the position
-    test and after chains of each length; a pair counts once for every key that it shares."""
+    """(stage, pairs): how many pairs meet under a key within the sizes that the smaller set's
+    position allows, and how many are left after the other set's position and after chains of each length; a pair counts once for every key that it shares."""
     t = Fraction(similarity).limit_denominator(1000)
     rows = _meetings(documents.select(F.col(text_column).alias("text")), t, k, least_words)
     return rows.mapInArrow(_pairing(t, chain, counting=True), "stage string, pairs long").groupBy("stage").agg(F.sum("pairs").alias("pairs"))
@@ -328,7 +330,7 @@ def _meetings(texts: DataFrame, t: Fraction, k: int, least_words: int) -> DataFr
         found = hot.count()
         if found:
             rows = in_blocks(rows, F.broadcast(hot) if found <= HOT_KEYS else hot)
-    return rows.repartition("key").sortWithinPartitions("key", "print")
+    return rows.repartition("key").sortWithinPartitions("key", "size", "print")
 
 
 def _pairs_and_prints(documents: DataFrame, id_column: str, text_column: str, similarity: float, k: int, least_words: int, chain: int) -> tuple[DataFrame, DataFrame]:
